@@ -28,6 +28,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row tables side by side (a union of rows folded into one, no cross join)."""
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, first)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def _running(columns: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
     def add(batches):
         carry = {c: 0 for c in columns}

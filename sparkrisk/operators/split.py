@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import time_axis
-from ..functions.ordering import DIRECT_SORT_ROWS, asc, at_or_before, keys_at_ranks
+from ..functions.ordering import DIRECT_SORT_ROWS, asc, at_or_before, beside, keys_at_ranks
 from ..functions.roles import Roles
 
 PARTS = ["train", "val", "test"]
@@ -41,9 +41,9 @@ def split_metadata(df: DataFrame, roles: Roles) -> DataFrame:
     t, units = time_axis(df, roles.time)
     per = df.select("split", t.alias("t"), F.col(roles.id).alias("i")).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("t").alias("time_min"), F.max("t").alias("time_max"))
-    total = per.agg(F.sum("n_rows").alias("n_total"))
-    return per.join(F.broadcast(total), F.lit(True)).select(
-        "split", "n_rows", (F.col("n_rows") / F.col("n_total")).alias("share"),
+    few = Window.partitionBy(F.lit(0))  # three rows
+    return per.select(
+        "split", "n_rows", (F.col("n_rows") / F.sum("n_rows").over(few)).alias("share"),
         (F.col("time_min") / F.lit(float(units))).alias("time_min"),
         (F.col("time_max") / F.lit(float(units))).alias("time_max"))
 
@@ -73,7 +73,7 @@ def verify_split(df: DataFrame, roles: Roles) -> DataFrame:
     n = reduce(lambda a, b: a + b, [F.col(f"n_{p}") for p in PARTS])
     wide = wide.withColumns({f"share_{p}": F.col(f"n_{p}") / n for p in PARTS})
     overlap = split_overlap(df, roles.id)
-    return wide.join(F.broadcast(overlap), F.lit(True)).withColumn(
+    return beside(wide, overlap).withColumn(
         "disjoint", F.col("n_distinct_ids") == F.col("sum_of_parts"))
 
 
