@@ -1,0 +1,112 @@
+"""Streaming queries built from the batch expressions plus one stateful operator."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ..functions.expressions import time_axis
+from ..functions.roles import Roles, require_columns
+from ..operators.history import WIDTHS, feature_names
+from ..operators.rows import row_errors
+from ..operators.state import entity_state, recent_times
+from .processor import HistoryProcessor
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The stateful operator needs this provider; it also keeps large state out of the heap."""
+    spark.conf.set(PROVIDER_CONF, ROCKSDB)
+
+
+def warm_start_table(history: DataFrame, roles: Roles, as_of=None, width_seconds: int = 86400) -> DataFrame:
+    """Initial state of the stream from a history table (G2): state rows and recent-time rows.
+
+    ``as_of`` (axis units) defaults to the last time of the history.
+    """
+    if as_of is None:
+        t, _ = time_axis(history, roles.time)
+        as_of = history.agg(F.max(t)).first()[0]  # one scalar
+    state = entity_state(history, roles).withColumn("kind", F.lit("state"))
+    times = recent_times(history, roles, as_of, width_seconds).select(
+        "entity", F.col("n").cast("long").alias("n"), F.col("time").alias("last_time"), F.lit("time").alias("kind"))
+    return state.unionByName(times, allowMissingColumns=True)
+
+
+def stream_features(events: DataFrame, roles: Roles, keep: Sequence[str] = (), widths: dict[str, int] = WIDTHS,
+                    initial: DataFrame | None = None, late: str = "accept", ttl_ms: int | None = None) -> DataFrame:
+    """History features of each event from keyed state; the event never sees itself."""
+    require_columns(events, [roles.id, roles.time, roles.entity, roles.amount, *keep], "stream_features")
+    if late not in ("accept", "route"):
+        raise ValueError("late must be 'accept' or 'route'")
+    use_rocksdb(events.sparkSession)
+    time, units = time_axis(events, roles.time)
+    spans = {w: s * units for w, s in widths.items()}
+    extra = [c for c in keep if c != roles.id]
+    narrow = events.select(F.col(roles.entity).alias("entity"), F.col(roles.id).alias("row_id"), time.cast("long").alias("row_time"),
+                           F.col(roles.amount).cast("double").alias("row_amount"),
+                           *[F.col(c).alias(f"k{i}") for i, c in enumerate(extra)])
+    fields = [T.StructField(roles.id, events.schema[roles.id].dataType)]
+    fields += [T.StructField(c, events.schema[c].dataType) for c in extra]
+    names = feature_names(widths)
+    whole = [n for n in names if n == "bhv_prev_txn_count" or n.startswith("bhv_prior_count_")]
+    fields += [T.StructField(n, T.LongType() if n in whole else T.DoubleType()) for n in names] + [T.StructField("is_late", T.BooleanType())]
+    processor = HistoryProcessor(roles.id, extra, names, spans, units, late, ttl_ms)
+    return narrow.groupBy("entity").transformWithStateInPandas(
+        processor, T.StructType(fields), "Append", "ProcessingTime" if ttl_ms else "None",
+        initialState=initial.groupBy("entity") if initial is not None else None)
+
+
+def dedup_stream(events: DataFrame, id_col: str, time_col: str, delay: str = "2 days") -> DataFrame:
+    """Drop repeated ids within the watermark delay; the memory is in the checkpoint."""
+    stamped = events.withColumn("event_time", F.col(time_col).cast("timestamp"))
+    return stamped.withWatermark("event_time", delay).dropDuplicatesWithinWatermark([id_col])
+
+
+def route_invalid(events: DataFrame, roles: Roles) -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid) rows; invalid ones carry error_reason and never reach the state."""
+    checked = row_errors(events, roles)
+    return checked.where(F.col("error_reason").isNull()).drop("error_reason"), checked.where(F.col("error_reason").isNotNull())
+
+
+def score_stream(events: DataFrame, roles: Roles, score: Callable[[DataFrame], DataFrame], keep: Sequence[str] = (),
+                 initial: DataFrame | None = None, dedup: bool = True, delay: str = "2 days",
+                 late: str = "accept") -> DataFrame:
+    """Validate, drop repeats, compute features from state, score and decide.
+
+    ``score`` is a batch function (model.transform, decide) that adds ``score`` and ``decision``.
+    Rejected rows come out of the same query with ``error_reason``, for split_sink.
+    """
+    valid, invalid = route_invalid(events, roles)
+    if dedup:
+        valid = dedup_stream(valid, roles.id, roles.time, delay)
+    scored = score(stream_features(valid, roles, keep=keep, initial=initial, late=late))
+    rejected = invalid.select(roles.id, *[c for c in keep if c != roles.id], "error_reason",
+                              F.to_json(F.struct(*events.columns)).alias("raw_event"))
+    out = scored.withColumns({"error_reason": F.lit(None).cast("string"), "raw_event": F.lit(None).cast("string")})
+    return out.unionByName(rejected, allowMissingColumns=True)
+
+
+def stream_monitor(decisions: DataFrame, time_col: str, decision: str = "decision", width: str = "1 hour",
+                   delay: str = "2 days") -> DataFrame:
+    """Running counts per time window and decision."""
+    stamped = decisions.withColumn("event_time", F.col(time_col).cast("timestamp")).withWatermark("event_time", delay)
+    return stamped.groupBy(F.window("event_time", width).alias("w"), decision).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("window_start"), decision, "n")
+
+
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process what is there, finish the batch in flight and stop (G9); returns the written table.
+
+    Each epoch owns a folder and overwrites it when replayed, so a restart adds nothing twice.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return df.sparkSession.read.schema(T.StructType(df.schema.fields + [T.StructField("epoch", T.LongType())])).parquet(path)
