@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,14 +30,12 @@ def train_logistic(train: DataFrame, id_col: str, label: str = "label", features
     base = LogisticRegression(featuresCol=features_col, labelCol=label, regParam=reg, maxIter=max_iter,
                               rawPredictionCol="margin_vec", probabilityCol="p_raw", predictionCol="pred_raw", **extra)
     out_of_fold = reduce(DataFrame.unionByName, [
-        base.fit(data.where(F.col("__fold") != k)).transform(data.where(F.col("__fold") == k)).select(
-            label, vector_to_array("margin_vec")[1].alias("margin")) for k in range(folds)])
-    to_vector = VectorAssembler(inputCols=["margin"], outputCol="margin_one")
-    sigmoid = LogisticRegression(featuresCol="margin_one", labelCol=label, maxIter=max_iter,
+        base.fit(data.where(F.col("__fold") != k)).transform(data.where(F.col("__fold") == k)).select(label, "margin_vec")
+        for k in range(folds)])
+    # the margin vector is (-m, m): a logistic model on it is the sigmoid a*m + b
+    sigmoid = LogisticRegression(featuresCol="margin_vec", labelCol=label, maxIter=max_iter,
                                  rawPredictionCol="raw_cal", probabilityCol="probability", predictionCol="prediction")
-    fitted = sigmoid.fit(to_vector.transform(out_of_fold))
-    margin = SQLTransformer(statement="SELECT *, vector_to_array(margin_vec)[1] AS margin FROM __THIS__")
-    return PipelineModel(stages=[base.fit(data), margin, to_vector, fitted])
+    return PipelineModel(stages=[base.fit(data), sigmoid.fit(out_of_fold)])
 
 
 def train_boosted_trees(train: DataFrame, val: DataFrame, id_col: str, label: str = "label",
