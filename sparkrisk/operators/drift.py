@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.expressions import (DECISIONS, MISSING, OTHER, PSI_FLOOR, SEVERITIES, count_if, kolmogorov_p,
                                      psi_severity, ratio, severity_rank)
 from ..functions.ordering import asc, exact_quantiles, join_on, running_totals
+from ..functions.session import checkpointed
 from .ranking import sample_n
 
 # --- fixed values ----------------------------------------------------------------
@@ -69,28 +70,30 @@ def _bin_index(value: Column, interior: Column) -> Column:
 
 
 def bin_edges(long: DataFrame) -> DataFrame:
-    """(feature, interior): inner edges from exact deciles, duplicates removed; outer bins are open."""
+    """(feature, interior, median): inner edges from exact deciles, duplicates removed; outer bins
+    are open. Eleven quantiles per feature from one ordering."""
     q = exact_quantiles(long, "value", DECILES, by=["feature"])
-    edges = q.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("e"))
-    return edges.select("feature", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("interior"))
+    edges = q.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("e"),
+                                     F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"))
+    return edges.select("feature", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("interior"), "median")
 
 
 def numeric_profile(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bins, stats) of a (feature, value) table."""
-    q = exact_quantiles(long, "value", [0.5], by=["feature"]).select("feature", F.col("quantile").alias("median"))
     n = F.count(F.lit(1))
-    stats = long.groupBy("feature").agg(
+    plain = long.groupBy("feature").agg(
         F.count("value").alias("n"), ratio(n - F.count("value"), n).alias("null_share"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    stats = stats.join(q, "feature", "left").select("feature", "n", "null_share", "mean", "median", "std", "min", "max")
-    edges = stats.select("feature").join(bin_edges(long), "feature", "left").select(
-        "feature", F.coalesce("interior", F.array().cast("array<double>")).alias("interior"))
+    # one row per feature: kept, so that the rows are not ordered again for every use
+    known = checkpointed(plain.join(bin_edges(long), "feature", "left"))
+    stats = known.select("feature", "n", "null_share", "mean", "median", "std", "min", "max")
+    edges = known.select("feature", F.coalesce("interior", F.array().cast("array<double>")).alias("interior"))
     counts = numeric_bin_counts(long, edges, [])
     bins = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.size("interior")))).join(
         counts, ["feature", "bin"], "left").join(stats.select("feature", "n"), "feature")
     bins = bins.select("feature", "interior", "bin", F.coalesce("cnt", F.lit(0)).alias("ref_count"),
                        F.coalesce(ratio(F.coalesce("cnt", F.lit(0)), F.col("n")), F.lit(0.0)).alias("ref_share"))
-    return bins, stats
+    return checkpointed(bins), stats
 
 
 def numeric_bin_counts(long: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -125,7 +128,7 @@ def reference_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequen
     """Profile of validation rows: numeric, behavioral and score bins, categories, decisions, sample."""
     signals = [*numeric, *behavioral] + ([score] if score else [])
     long = melt_numeric(df, signals)
-    bins, stats = numeric_profile(long)
+    bins, stats = numeric_profile(long)  # the rows are ordered once, for edges and medians
     kind = F.when(F.col("feature").isin(list(behavioral)), "behavioral").when(F.col("feature") == score, "score").otherwise("numeric")
     sample = melt_numeric(sample_n(df, id_col, sample_rows), signals).where(F.col("value").isNotNull())
     cats = categorical_profile(melt_categorical(df, categorical))
@@ -200,8 +203,8 @@ def category_changes(categories: DataFrame, current: DataFrame, by: Sequence[str
     return new.select(*cols, F.lit("new").alias("change")).unionByName(missing.select(*cols, F.lit("missing").alias("change")))
 
 
-def ks_two_sample(reference: DataFrame, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Largest ECDF gap per (by, feature) and its asymptotic p-value.
+def ecdf_runs(reference: DataFrame, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values per (by, feature) in order with running counts of both sides.
 
     Equal values are counted on each side first. With ``by`` the reference is repeated per batch,
     which is why the profile keeps a bounded sample of it.
@@ -213,13 +216,26 @@ def ks_two_sample(reference: DataFrame, current: DataFrame, by: Sequence[str] =
     both = (r.select(*by, "feature", "value", "r", F.lit(0).cast("long").alias("c"))
             .unionByName(c.select(*by, "feature", "value", F.lit(0).cast("long").alias("r"), "c"))
             .groupBy(*by, "feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c")))
-    runs = running_totals(both, [asc("value")], {"r": F.col("r"), "c": F.col("c")}, [*by, "feature"], ["value"])
+    return running_totals(both, [asc("value")], {"r": F.col("r"), "c": F.col("c")}, [*by, "feature"], ["value"])
+
+
+def ks_two_sample(reference: DataFrame, current: DataFrame, by: Sequence[str] = (),
+                  runs: DataFrame | None = None) -> DataFrame:
+    """Largest ECDF gap per (by, feature), its asymptotic p-value and the current median."""
+    runs = runs if runs is not None else ecdf_runs(reference, current, by)
     gap = F.abs(ratio(F.col("cum_r"), F.col("total_r")) - ratio(F.col("cum_c"), F.col("total_c")))
-    d = runs.groupBy(*by, "feature").agg(F.max("total_r").alias("n_reference"), F.max("total_c").alias("n_current"),
-                                         F.max(gap).alias("d"))
+
+    def at(index):  # the current value at a 0-based position
+        return F.max(F.when(index.between(F.col("cum_c") - F.col("c"), F.col("cum_c") - 1), F.col("value")))
+
+    middle = (F.col("total_c") - 1) / 2.0
+    d = runs.groupBy(*by, "feature").agg(
+        F.max("total_r").alias("n_reference"), F.max("total_c").alias("n_current"), F.max(gap).alias("d"),
+        ((at(F.floor(middle)) + at(F.ceil(middle))) / 2.0).alias("current_median"))
     enough = (F.col("n_reference") > 1) & (F.col("n_current") > 1)
     return d.select(*by, "feature", "n_reference", "n_current", F.when(enough, F.col("d")).alias("ks_statistic"),
-                    F.when(enough, kolmogorov_p(F.col("d"), F.col("n_reference"), F.col("n_current"))).alias("ks_p_value"))
+                    F.when(enough, kolmogorov_p(F.col("d"), F.col("n_reference"), F.col("n_current"))).alias("ks_p_value"),
+                    "current_median")
 
 
 # ---- reports -------------------------------------------------------------------------
@@ -228,7 +244,7 @@ def drift_signals(profile: ReferenceProfile, batch: DataFrame, numeric: Sequence
                   by: Sequence[str] = (), decision: str | None = "decision", ks: bool = True) -> DataFrame:
     """One row per (by, signal): PSI, severity and what goes with it."""
     long = melt_numeric(batch, numeric, by)
-    num = numeric_psi(profile.bins, long, by)
+    num = numeric_psi(profile.bins, long, by, medians=not ks)
     ref = profile.stats.select("feature", "kind", F.col("mean").alias("reference_mean"), F.col("median").alias("reference_median"))
     num = num.join(F.broadcast(ref), "feature")
     if ks:

@@ -120,7 +120,7 @@ def metrics_sql(src: str, by: str = "", score: str = "score") -> str:
 
 def ranked_sql(src: str, by: str = "", score: str = "score", id_col: str = "event_id") -> str:
     p = f"partition by {by}" if by else ""
-    return f"""(select *, row_number() over (w) as rank, sum(label) over (w) as cum_y, count(*) over ({p}) as n_rows,
+    return f"""(select *, row_number() over w as rank, sum(label) over w as cum_y, count(*) over ({p}) as n_rows,
   sum(label) over ({p}) as n_positive from {src} r0 window w as ({p} order by {score} desc, {id_col} desc
   rows between unbounded preceding and current row))"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.history import history_features
 from ..operators.policy import policy_report
-from . import evaluation, profiling  # noqa: F401  (importing registers the plans)
+from . import drifting, evaluation, learning, profiling, streams  # noqa: F401  (importing registers the plans)
 from .bindings import EVENTS, labelled_events
 from .registry import ORACLES, PLANS, plan  # noqa: F401
 
