@@ -14,6 +14,7 @@ from ..operators.state import entity_state, recent_times
 from .processor import HistoryProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EMPTY_BATCHES_CONF = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -106,7 +107,14 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    query = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
-             .trigger(availableNow=True).start())
+    conf = df.sparkSession.conf
+    before = conf.get(EMPTY_BATCHES_CONF)
+    # state with a time to live would ask for empty batches for ever, so a bounded run takes none
+    conf.set(EMPTY_BATCHES_CONF, "false")
+    try:
+        query = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
+                 .trigger(availableNow=True).start())
+    finally:
+        conf.set(EMPTY_BATCHES_CONF, before)
     query.awaitTermination()
     return df.sparkSession.read.schema(T.StructType(df.schema.fields + [T.StructField("epoch", T.LongType())])).parquet(path)
