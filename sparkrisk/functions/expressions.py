@@ -44,7 +44,8 @@ def time_axis(df: DataFrame, name: str) -> tuple[Column, int]:
     """A numeric time column and its units per second.
 
     Timestamps become long microseconds since the epoch (wall clock for NTZ values, whatever
-    the session time zone); numeric columns are taken as seconds, unchanged.
+    the session time zone), fractional seconds become long microseconds, whole numbers are taken
+    as seconds, unchanged. Whole units keep every window bound exact.
     """
     dtype = df.schema[name].dataType
     c = F.col(name)
@@ -55,7 +56,9 @@ def time_axis(df: DataFrame, name: str) -> tuple[Column, int]:
         return F.unix_micros(c.cast("timestamp")), MICROS
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c), MICROS
-    if isinstance(dtype, T.NumericType):
+    if isinstance(dtype, T.FractionalType):
+        return F.round(c * MICROS).cast("long"), MICROS
+    if isinstance(dtype, T.IntegralType):
         return c, 1
     raise ValueError(f"{name}: a time column must be numeric or a timestamp, not {dtype}")
 

@@ -6,7 +6,6 @@ Every value describes strictly earlier rows in (time, id) order. NULL amounts ar
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -93,11 +92,9 @@ def _window_history(rows: DataFrame, spans: dict[str, int], units: int) -> DataF
     w = Window.partitionBy("__e", alone).orderBy("__t", "__id")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     by_time = Window.partitionBy("__e", alone).orderBy("__t")
-    exact = rows.schema["__t"].dataType.typeName() in ("byte", "short", "integer", "long")
     # rows before the cut-off are subtracted: growing frames, no sliding re-aggregation
-    older = [F.count(F.lit(1)).over(by_time.rangeBetween(
-        Window.unboundedPreceding, -(span + 1) if exact else -math.nextafter(float(span), math.inf)))
-        .alias(f"__older_{name}") for name, span in spans.items()]
+    older = [F.count(F.lit(1)).over(by_time.rangeBetween(Window.unboundedPreceding, -(span + 1))).alias(f"__older_{name}")
+             for name, span in spans.items()]
     # each window value once, the arithmetic on top of it in a second projection
     moments = rows.select(
         "*", (F.row_number().over(w) - 1).cast("long").alias("__n"), F.avg("__a").over(prior).alias("__mean"),

@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 def make_session():
     from pyspark.sql import SparkSession
-    spark = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "8")
+    spark = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
              .config("spark.sql.session.timeZone", "UTC").config("spark.log.level", "ERROR").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
