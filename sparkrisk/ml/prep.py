@@ -8,10 +8,10 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import MISSING, UNSEEN
-from ..functions.ordering import exact_quantiles
+from ..functions.ordering import asc, exact_quantiles, global_rank
 from ..functions.roles import require_columns
 from ..operators.compare import lookup_encode
 from ..operators.drift import melt_numeric
@@ -76,8 +76,9 @@ def category_vocabulary(train: DataFrame, categorical: Sequence[str]) -> DataFra
     """(feature, category, code): sorted train categories, then the missing and unseen buckets (M2)."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in categorical])
     seen = train.select(F.explode(cells).alias("c")).select("c.*").where(F.col("category").isNotNull()).distinct()
-    w = Window.partitionBy("feature").orderBy("category")  # one row per distinct category
-    codes = seen.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    # a vocabulary can be long, so its order is not left to one task
+    ranked = global_rank(seen, [asc("category")], by=["feature"], keep=["category"])
+    codes = ranked.select("feature", "category", (F.col("rank") - 1).cast("int").alias("code"))
     sizes = codes.groupBy("feature").agg(F.count(F.lit(1)).cast("int").alias("k"))
     extra = sizes.select("feature", F.explode(F.array(
         F.struct(F.lit(MISSING).alias("category"), F.col("k").alias("code")),

@@ -10,8 +10,8 @@ from ..functions.expressions import count_if, ratio, same_within
 from ..functions.ordering import beside, join_on
 from ..functions.roles import require_columns
 from .policy import policy_summary
-from .ranking import (BUDGETS, best_f1_threshold, budget_table, ranked_labels, ranking_metrics, score_curve,
-                      threshold_metrics, top_flag)
+from .ranking import (BUDGETS, budget_table, curve_of_ranked, ranked_labels, ranking_metrics, threshold_metrics,
+                      top_flag)
 
 # --- fixed values: promotion thresholds -----------------------------------------
 MIN_AP = 0.30
@@ -146,10 +146,14 @@ def topk_union(df: DataFrame, score_a: str, score_b: str, k: float, label="label
 
 def split_report(df: DataFrame, by: Sequence[str], threshold: float, budgets: Sequence[float] = BUDGETS,
                  score="score", label="label", id_col="id") -> DataFrame:
-    """Ranking, threshold and budget metrics for all groups as (by, metric, value)."""
-    ranking = ranking_metrics(df, score, label, by, strict=False)
+    """Ranking, threshold and budget metrics for all groups as (by, metric, value).
+
+    The rows are ordered once; curve and budgets are both read from that order.
+    """
+    ranked = ranked_labels(df, score, label, id_col, by)
+    ranking = ranking_metrics(df, by=by, strict=False, curve=curve_of_ranked(ranked, score, by))
     at = threshold_metrics(df, [threshold], score, label, by)
-    table = budget_table(df, budgets, score, label, id_col, by)
+    table = budget_table(df, budgets, score, label, id_col, by, ranked)
 
     ranking_long = _long(ranking, by, ["average_precision", "roc_auc"])
     at_long = _long(at, by, ["tn", "fp", "fn", "tp", "precision", "recall", "f1", "fpr"])

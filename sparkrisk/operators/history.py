@@ -26,6 +26,7 @@ BASE_FEATURES = [
 # -----------------------------------------------------------------------------
 
 HOT_ROWS = 5_000_000
+MAX_LISTED = 100_000
 
 
 def feature_names(widths=WIDTHS) -> list[str]:
@@ -73,13 +74,17 @@ def history_features(df: DataFrame, roles: Roles, widths: dict[str, int] = WIDTH
 
     if hot_rows is None:
         return restore(_window_history(rows, spans, units))
-    hot = checkpointed(rows.where(F.col("__e").isNotNull()).groupBy("__e").count()
-                       .where(F.col("count") > hot_rows).select(F.col("__e").alias("__hot")))
-    n_hot = hot.count()
-    if n_hot == 0:
+    counts = rows.where(F.col("__e").isNotNull()).groupBy("__e").count().where(F.col("count") > hot_rows)
+    found = counts.select(F.col("__e").alias("__hot")).take(MAX_LISTED + 1)
+    if not found:
         return restore(_window_history(rows, spans, units))
-    # at most n_rows / hot_rows keys; broadcast only after counting them
-    keys = F.broadcast(hot) if n_hot <= 100_000 else hot
+    if len(found) <= MAX_LISTED:
+        # the size is known: a short list of keys, at most n_rows / hot_rows of them
+        n_hot, schema = len(found), counts.select(F.col("__e").alias("__hot")).schema
+        keys = F.broadcast(rows.sparkSession.createDataFrame(found, schema))
+    else:
+        keys = checkpointed(counts.select(F.col("__e").alias("__hot")))
+        n_hot = keys.count()
     cold = rows.join(keys, F.col("__e") == F.col("__hot"), "left_anti")
     busy = rows.join(keys, F.col("__e") == F.col("__hot"), "left_semi")
     return restore(_window_history(cold, spans, units)).unionByName(

@@ -89,6 +89,16 @@ def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: S
     return running_totals(counts, [desc("threshold")], {"n": F.col("n"), "p": F.col("p")}, by, ["threshold"])
 
 
+def curve_of_ranked(ranked: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """The score curve from rows already in order (ranked_labels), so they are ordered once.
+
+    Equal scores are neighbours in the same partitions, so the grouping shrinks before it shuffles.
+    """
+    return ranked.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("rank").alias("cum_n"), F.max("n_rows").alias("total_n"),
+        F.sum("y").alias("p"), F.max("cum_y").alias("cum_p"), F.max("total_y").alias("total_p"))
+
+
 def _grouped(df: DataFrame, by: Sequence[str]):
     return df.groupBy(*by) if by else df.groupBy()
 

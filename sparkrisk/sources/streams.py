@@ -67,3 +67,10 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
     return query
+
+
+def publish_decisions(decisions: DataFrame, servers: str, topic: str, checkpoint: str):
+    """Decision records as JSON messages keyed by transaction id; needs the public Kafka package."""
+    messages = decisions.select(F.col("transaction_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    return (messages.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+            .option("checkpointLocation", checkpoint).outputMode("append").start())

@@ -57,10 +57,11 @@ class HistoryProcessor(StatefulProcessor):
     # -- state access -------------------------------------------------------------
 
     def _load(self):
-        if not self.state.exists():
+        stored = self.state.get()
+        if stored is None:
             return dict(n=0, m=0, mean=0.0, m2=0.0, low=None, high=None, last=None,
                         times=_unpack(None), ids=_unpack(None), counts=_unpack(None))
-        n, m, mean, m2, low, high, last, times, ids, counts = self.state.get()
+        n, m, mean, m2, low, high, last, times, ids, counts = stored
         return dict(n=n, m=m, mean=mean, m2=m2, low=low, high=high, last=last,
                     times=_unpack(times), ids=_unpack(ids), counts=_unpack(counts))
 
@@ -114,13 +115,18 @@ class HistoryProcessor(StatefulProcessor):
     # -- events --------------------------------------------------------------------
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame.sort_values([self.time_col, self.id_col], kind="stable", ignore_index=True)
+        # all rows of the key in this micro-batch; the source's rate limit bounds them
+        frames = list(rows)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        ids = frame[self.id_col]
+        ids = ids.rank() if ids.dtype == object else ids
+        order = np.lexsort((ids.to_numpy(), frame[self.time_col].to_numpy()))
+        frame = frame.take(order)
         s = self._load()
         late = np.zeros(len(frame), dtype=bool)
         if self.late == "route" and s["last"] is not None:
             late = (frame[self.time_col] < s["last"]).to_numpy()
-        fresh = frame[~late]
+        fresh = frame[~late] if late.any() else frame
         if len(fresh):
             features = self._advance(s, fresh)
             self._store(s)
@@ -175,8 +181,8 @@ class HistoryProcessor(StatefulProcessor):
             with np.errstate(divide="ignore", invalid="ignore"):
                 by_mean = np.where(mean != 0, a / mean, np.nan)
                 z = np.where(std > 0, (a - mean) / std, np.nan)
-            base = [f["n"], np.log1p(f["n"])] + [_nullable(v) for v in (
-                mean, std, f["low"], f["high"], f["gap"], by_mean, a - mean, z)]
+            # NaN in a float column leaves Python as NULL
+            base = [f["n"], np.log1p(f["n"]), mean, std, f["low"], f["high"], f["gap"], by_mean, a - mean, z]
             counts = [f[w] for w in self.spans]
         out.update(dict(zip(self.names, base + counts)))
         out["is_late"] = late
@@ -197,8 +203,3 @@ class HistoryProcessor(StatefulProcessor):
             s["times"] = np.sort(np.concatenate([s["times"], t]))
         self._store(s)
 
-
-def _nullable(v: np.ndarray):
-    return pd.array(v, dtype="Float64") if not np.isnan(v).any() else pd.arrays.FloatingArray(
-        np.nan_to_num(v), np.isnan(v))
-
