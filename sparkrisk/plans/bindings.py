@@ -113,8 +113,9 @@ def metrics_sql(src: str, by: str = "", score: str = "score") -> str:
     b = f"{by}, " if by else ""
     g = f"group by {by}" if by else ""
     return f"""(select {b}max(tn) as n_rows, max(tp) as n_positive,
-  sum(p * cp / cn) / max(tp) as average_precision,
-  sum((n - p) * (cp - p / 2.0::double)) / (max(tp)::double * (max(tn) - max(tp))) as roc_auc
+  case when max(tp) between 1 and max(tn) - 1 then sum(p * cp / cn) / max(tp) end as average_precision,
+  case when max(tp) between 1 and max(tn) - 1 then
+    sum((n - p) * (cp - p / 2.0::double)) / (max(tp)::double * (max(tn) - max(tp))) end as roc_auc
   from {curve_sql(src, by, score)} k {g})"""
 
 
