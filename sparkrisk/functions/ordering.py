@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .session import checkpointed, shuffle_partitions
+from .session import materialized, shuffle_partitions
 
 DIRECT_SORT_ROWS = 20_000_000
 
@@ -54,7 +54,7 @@ def running_totals(df: DataFrame, order: Sequence[tuple[str, bool]], sums: dict[
     """Inclusive running totals of non-negative ``sums`` in ``order`` inside each ``by`` group.
 
     Returns ``by + keep + name, cum_name, total_name`` for each sum. One range shuffle over the
-    selected columns; the result is a checkpoint, so ranks are the same whenever it is read.
+    selected columns; the result is a written table, so ranks are the same whenever it is read.
     """
     by, keep, names = list(by), list(keep), list(sums)
     spark = df.sparkSession
@@ -68,7 +68,7 @@ def running_totals(df: DataFrame, order: Sequence[tuple[str, bool]], sums: dict[
               .sortWithinPartitions(*keys).drop(*[f"__o{i}" for i in range(len(order))]))
     schema = T.StructType(list(ranged.schema.fields) + [
         T.StructField(f"cum_{n}", ranged.schema[n].dataType) for n in names])
-    local = checkpointed(ranged.mapInArrow(_running(names), schema).withColumn("__pid", F.spark_partition_id()))
+    local = materialized(ranged.mapInArrow(_running(names), schema).withColumn("__pid", F.spark_partition_id()))
 
     # one row per partition: a window over these few rows is not a single-task sort of the data
     pids = Window.partitionBy(F.lit(0)).orderBy("__pid")

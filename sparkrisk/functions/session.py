@@ -36,9 +36,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later plans read fixed rows and survive a lost executor."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, fixed, and safe from lost executors.
+
+    Columnar and compressed, so later plans read only the columns they need; ranks and partition
+    numbers in it never change, however often it is read.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.expressions import (DECISIONS, MISSING, OTHER, PSI_FLOOR, SEVERITIES, count_if, kolmogorov_p,
                                      psi_severity, ratio, severity_rank)
 from ..functions.ordering import asc, exact_quantiles, join_on, running_totals
-from ..functions.session import checkpointed
+from ..functions.session import materialized
 from .ranking import sample_n
 
 # --- fixed values ----------------------------------------------------------------
@@ -85,7 +85,7 @@ def numeric_profile(long: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count("value").alias("n"), ratio(n - F.count("value"), n).alias("null_share"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     # one row per feature: kept, so that the rows are not ordered again for every use
-    known = checkpointed(plain.join(bin_edges(long), "feature", "left"))
+    known = materialized(plain.join(bin_edges(long), "feature", "left"))
     stats = known.select("feature", "n", "null_share", "mean", "median", "std", "min", "max")
     edges = known.select("feature", F.coalesce("interior", F.array().cast("array<double>")).alias("interior"))
     counts = numeric_bin_counts(long, edges, [])
@@ -93,7 +93,7 @@ def numeric_profile(long: DataFrame) -> tuple[DataFrame, DataFrame]:
         counts, ["feature", "bin"], "left").join(stats.select("feature", "n"), "feature")
     bins = bins.select("feature", "interior", "bin", F.coalesce("cnt", F.lit(0)).alias("ref_count"),
                        F.coalesce(ratio(F.coalesce("cnt", F.lit(0)), F.col("n")), F.lit(0.0)).alias("ref_share"))
-    return checkpointed(bins), stats
+    return materialized(bins), stats
 
 
 def numeric_bin_counts(long: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:

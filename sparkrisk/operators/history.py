@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.expressions import count_if, ratio, time_axis
 from ..functions.ordering import exact_quantiles
 from ..functions.roles import Roles, forbid_columns, require_columns
-from ..functions.session import checkpointed, shuffle_partitions
+from ..functions.session import materialized, shuffle_partitions
 
 # --- fixed values: output column names and window widths in seconds ----------
 WIDTHS = {"1h": 3600, "24h": 86400}
@@ -83,7 +83,7 @@ def history_features(df: DataFrame, roles: Roles, widths: dict[str, int] = WIDTH
         n_hot, schema = len(found), counts.select(F.col("__e").alias("__hot")).schema
         keys = F.broadcast(rows.sparkSession.createDataFrame(found, schema))
     else:
-        keys = checkpointed(counts.select(F.col("__e").alias("__hot")))
+        keys = materialized(counts.select(F.col("__e").alias("__hot")))
         n_hot = keys.count()
     cold = rows.join(keys, F.col("__e") == F.col("__hot"), "left_anti")
     busy = rows.join(keys, F.col("__e") == F.col("__hot"), "left_semi")
@@ -134,7 +134,7 @@ def _chunked_history(rows: DataFrame, spans: dict[str, int], units: int, n_hot:
                       *[F.when(event, F.col(p)).alias(p) for p in payload])
               .repartitionByRange(n, "__e", "pos", "is_event", "__id")
               .withColumn("chunk", F.spark_partition_id()))
-    spread = checkpointed(spread)
+    spread = materialized(spread)
 
     w = Window.partitionBy("__e", "chunk").orderBy("pos", "is_event", "__id")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.session import checkpointed, scratch_path
+from ..functions.session import materialized, scratch_path
 from ..operators import drift, history, rows
 from ..operators.split import temporal_split
 from .bindings import EVENTS, SQL_EVENTS, decide_sql, history_sql, labelled_events, split_sql
@@ -26,7 +26,7 @@ def monitored(spark, d):
         # a category that only shows up in later days, and one that disappears
         "k_text": F.when(F.col("user_id") % 40 == 7, F.concat(F.lit("u"), F.date_format("ts", "dd"))).otherwise(k)})
     # every signal reads these rows several times: the history is computed once
-    return checkpointed(temporal_split(out, EVENTS))
+    return materialized(temporal_split(out, EVENTS))
 
 
 def _parts(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.session import checkpointed
+from ..functions.session import materialized
 from ..ml import forest, models, prep, trees
 from ..operators import history, policy, ranking
 from ..operators.split import temporal_split
@@ -23,7 +23,7 @@ def model_table(spark, d):
     # a learnable label: amounts far above the entity's own history, with noise
     odds = F.coalesce(F.col("bhv_amt_zscore"), F.lit(0.0)) - 1.5 + F.col("value") / 100.0
     feats = feats.withColumn("label", (F.col("score_b") < 1.0 / (1.0 + F.exp(-odds))).cast("int"))
-    return checkpointed(temporal_split(feats.drop("props"), EVENTS))
+    return materialized(temporal_split(feats.drop("props"), EVENTS))
 
 
 def _part(df, name):
@@ -158,7 +158,7 @@ def top_contributors(spark, d):
 @plan("isolation_forest")
 def isolation_forest(spark, d):
     df = table(spark, d, "embeddings")
-    grown = checkpointed(forest.train_isolation_forest(df, "vec_id", "embedding", n_trees=50, feature_share=0.5))
+    grown = materialized(forest.train_isolation_forest(df, "vec_id", "embedding", n_trees=50, feature_share=0.5))
     return forest.anomaly_score(df, grown, ["vec_id"], "embedding")
 
 
@@ -167,8 +167,8 @@ def anomaly_scores_of_events(spark, d):
     """Forest on prepared events; validation and test rows scored."""
     df = _gappy_split(spark, d)
     ready = prep.anomaly_prep(df, _part(df, "train"), ["value"], ["event_type"], keep=["event_id", "label", "split"])
-    ready = checkpointed(ready.select("event_id", "label", "split", F.array("value", "event_type_freq").alias("features")))
-    grown = checkpointed(forest.train_isolation_forest(_part(ready, "train"), "event_id", n_trees=50))
+    ready = materialized(ready.select("event_id", "label", "split", F.array("value", "event_type_freq").alias("features")))
+    grown = materialized(forest.train_isolation_forest(_part(ready, "train"), "event_id", n_trees=50))
     scored = forest.anomaly_score(ready.where("split <> 'train'"), grown, ["event_id", "label", "split"])
     return ranking.ranking_metrics(scored, "anomaly_score", by=["split"])
 
@@ -178,6 +178,6 @@ def score_batch(spark, d):
     """Features, model, policy from validation rows, decisions on test rows, report."""
     df = model_table(spark, d)
     ready, _, model, _ = _boosted(df)
-    scored = checkpointed(models.score_rows(model, ready.where("split <> 'train'")).select("event_id", "label", "split", "score"))
+    scored = materialized(models.score_rows(model, ready.where("split <> 'train'")).select("event_id", "label", "split", "score"))
     chosen = policy.as_policy(policy.derive_policies(_part(scored, "val"), [("balanced", 0.2, 0.6)], step=0.01, id_col="event_id").first())
     return policy.policy_report(_part(scored, "test"), approve=chosen.approve_threshold, block=chosen.block_threshold)
