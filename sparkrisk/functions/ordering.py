@@ -70,19 +70,26 @@ def running_totals(df: DataFrame, order: Sequence[tuple[str, bool]], sums: dict[
         T.StructField(f"cum_{n}", ranged.schema[n].dataType) for n in names])
     local = materialized(ranged.mapInArrow(_running(names), schema).withColumn("__pid", F.spark_partition_id()))
 
-    # one row per partition: a window over these few rows is not a single-task sort of the data
-    pids = Window.partitionBy(F.lit(0)).orderBy("__pid")
-    parts = (local.groupBy("__pid").agg(*[F.max(f"cum_{n}").alias(f"__t_{n}") for n in names])
+    # one row per (partition, group) in it: at most partitions + groups rows, made in one pass
+    marks = local.groupBy("__pid", *by).agg(
+        *[F.min(F.col(f"cum_{n}") - F.col(n)).alias(f"__low_{n}") for n in names],
+        *[F.max(f"cum_{n}").alias(f"__high_{n}") for n in names])
+    if by:
+        marks = materialized(marks)
+    # a window over one row per partition is not a single-task sort of the data
+    one, upto = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("__pid")
+    parts = (marks.groupBy("__pid").agg(*[F.max(f"__high_{n}").alias(f"__t_{n}") for n in names])
              .select("__pid",
-                     *[(F.sum(f"__t_{n}").over(pids) - F.col(f"__t_{n}")).alias(f"__off_{n}") for n in names],
-                     *[F.sum(f"__t_{n}").over(Window.partitionBy(F.lit(0))).alias(f"total_{n}") for n in names]))
+                     *[(F.sum(f"__t_{n}").over(upto) - F.col(f"__t_{n}")).alias(f"__off_{n}") for n in names],
+                     *[F.sum(f"__t_{n}").over(one).alias(f"total_{n}") for n in names]))
     out = local.join(F.broadcast(parts), "__pid")
     out = out.withColumns({f"cum_{n}": F.col(f"cum_{n}") + F.col(f"__off_{n}") for n in names})
     if by:
         out = out.drop(*[f"total_{n}" for n in names])
-        groups = out.groupBy(*by).agg(
-            *[F.min(F.col(f"cum_{n}") - F.col(n)).alias(f"__start_{n}") for n in names],
-            *[F.max(f"cum_{n}").alias(f"__end_{n}") for n in names])
+        placed = marks.join(F.broadcast(parts), "__pid")
+        groups = placed.groupBy(*by).agg(
+            *[F.min(F.col(f"__low_{n}") + F.col(f"__off_{n}")).alias(f"__start_{n}") for n in names],
+            *[F.max(F.col(f"__high_{n}") + F.col(f"__off_{n}")).alias(f"__end_{n}") for n in names])
         out = join_on(out, groups, by)
         out = out.withColumns({f"cum_{n}": F.col(f"cum_{n}") - F.col(f"__start_{n}") for n in names})
         out = out.withColumns({f"total_{n}": F.col(f"__end_{n}") - F.col(f"__start_{n}") for n in names})

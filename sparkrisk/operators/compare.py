@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import count_if, ratio, same_within
 from ..functions.ordering import beside, join_on
@@ -193,11 +193,11 @@ def compare_models(df: DataFrame, champion: str, approve: float, block: float, m
     own = ranking.select(model_col, "average_precision", "roc_auc").join(policy, model_col).select(
         model_col, "average_precision", "roc_auc", "recall_review_block", "precision_block", "share_negatives_blocked",
         *[ratio(F.col(f"n_{d}"), F.col("n_rows")).alias(f"share_{d}") for d in ("approve", "review", "block")])
-    best = own.where(F.col(model_col) == champion).select(
-        F.lit(1).alias("__k"), *[F.col(c).alias(f"champion_{c}") for c in (
-            "average_precision", "roc_auc", "recall_review_block", "precision_block", "share_negatives_blocked")])
-    # the champion is one row, so this equi join on a constant attaches it to every candidate
-    both = own.where(F.col(model_col) != champion).withColumn("__k", F.lit(1)).join(F.broadcast(best), "__k").drop("__k")
+    # one row per model: the champion's values are spread by a window over these few rows
+    models = Window.partitionBy(F.lit(0))
+    both = own.select("*", *[F.max(F.when(F.col(model_col) == champion, F.col(c))).over(models).alias(f"champion_{c}") for c in (
+        "average_precision", "roc_auc", "recall_review_block", "precision_block", "share_negatives_blocked")])
+    both = both.where(F.col(model_col) != champion)
     return both.withColumns({
         "delta_ap": F.col("average_precision") - F.col("champion_average_precision"),
         "delta_roc_auc": F.col("roc_auc") - F.col("champion_roc_auc"),
@@ -212,10 +212,10 @@ def promotion_gates(comparison: DataFrame, metadata: DataFrame, champion: str, m
     ``metadata`` has one row per model: schema_version, policy_version. A missing policy
     evaluation asks for review; a missing ranking metric fails.
     """
-    champ = metadata.where(F.col(model_col) == champion).select(
-        F.lit(1).alias("__k"), F.col("schema_version").alias("c_schema"), F.col("policy_version").alias("c_policy"))
-    cand = metadata.select(model_col, "schema_version", "policy_version")
-    t = comparison.join(cand, model_col, "left").withColumn("__k", F.lit(1)).join(F.broadcast(champ), "__k").drop("__k")
+    models = Window.partitionBy(F.lit(0))
+    described = metadata.select(model_col, "schema_version", "policy_version", *[
+        F.max(F.when(F.col(model_col) == champion, F.col(c))).over(models).alias(f"champion_{c}") for c in ("schema_version", "policy_version")])
+    t = comparison.join(described, model_col, "left")
     ap, delta, rise = F.col("average_precision"), F.col("delta_ap"), F.col("delta_negatives_blocked")
 
     def gate(name, ok, otherwise):
@@ -225,12 +225,12 @@ def promotion_gates(comparison: DataFrame, metadata: DataFrame, champion: str, m
         "champion_roc_auc").isNotNull()
     gates = F.array(
         gate("metric_availability", have, "FAIL"),
-        gate("schema_compatibility", F.col("schema_version").eqNullSafe(F.col("c_schema")), "FAIL"),
+        gate("schema_compatibility", F.col("schema_version").eqNullSafe(F.col("champion_schema_version")), "FAIL"),
         gate("candidate_quality", ap >= MIN_AP, "FAIL"),
         gate("no_unacceptable_degradation", delta >= -AP_DROP_REVIEW - GATE_SLACK,
              F.when(delta >= -AP_DROP_FAIL - GATE_SLACK, "REQUIRES_REVIEW").otherwise("FAIL")),
         gate("operational_compatibility", rise <= MAX_BLOCKED_RISE, "REQUIRES_REVIEW"),
-        gate("policy_compatibility", F.col("policy_version").eqNullSafe(F.col("c_policy")), "REQUIRES_REVIEW"))
+        gate("policy_compatibility", F.col("policy_version").eqNullSafe(F.col("champion_policy_version")), "REQUIRES_REVIEW"))
 
     def named(result):
         hits = F.filter("gates", lambda g: g["result"] == result)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import (DECISIONS, MISSING, OTHER, PSI_FLOOR, SEVERITIES, count_if, kolmogorov_p,
                                      psi_severity, ratio, severity_rank)
-from ..functions.ordering import asc, exact_quantiles, join_on, running_totals
+from ..functions.ordering import asc, beside, exact_quantiles, join_on, running_totals
 from ..functions.session import materialized
 from .ranking import sample_n
 
@@ -61,6 +61,11 @@ def melt_categorical(df: DataFrame, features: Sequence[str], by: Sequence[str] =
     return df.select(*by, F.explode(cells).alias("c")).select(*by, "c.feature", "c.category")
 
 
+def melt_decisions(df: DataFrame, decision: str = "decision", by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, category) of the decision column."""
+    return melt_categorical(df.withColumn("decision_distribution", F.col(decision)), ["decision_distribution"], by)
+
+
 # ---- reference side -------------------------------------------------------------------
 
 def _bin_index(value: Column, interior: Column) -> Column:
@@ -115,10 +120,11 @@ def categorical_profile(long: DataFrame, rare: float = RARE_SHARE) -> DataFrame:
 
 def decision_profile(df: DataFrame, decision: str = "decision") -> DataFrame:
     """Shares of the three decisions, absent ones with 0."""
-    cells = F.array(*[F.struct(F.lit(d).alias("category"), count_if(F.col(decision) == d).alias("n")) for d in DECISIONS])
+    cells = F.array(*[F.struct(F.lit("decision_distribution").alias("feature"), F.lit(d).alias("category"),
+                               count_if(F.col(decision) == d).alias("n")) for d in DECISIONS])
     one = df.agg(F.count(F.lit(1)).alias("total"), cells.alias("c"))
     return one.select("total", F.explode("c").alias("c")).select(
-        F.lit("decision_distribution").alias("feature"), "c.category", "c.n",
+        "c.feature", "c.category", "c.n",
         F.coalesce(ratio(F.col("c.n"), F.col("total")), F.lit(0.0)).alias("freq"), F.col("c.category").alias("grouped"))
 
 
@@ -256,8 +262,7 @@ def drift_signals(profile: ReferenceProfile, batch: DataFrame, numeric: Sequence
         out = out.unionByName(cat.withColumnRenamed("feature", "signal").withColumn("kind", F.lit("categorical")),
                               allowMissingColumns=True)
     if decision and decision in batch.columns:
-        named = batch.select(*by, F.lit("decision_distribution").alias("feature"), F.col(decision).alias("category"))
-        dec = categorical_psi(profile.decisions, named, by)
+        dec = categorical_psi(profile.decisions, melt_decisions(batch, decision, by), by)
         out = out.unionByName(dec.withColumnRenamed("feature", "signal").withColumn("kind", F.lit("decision")),
                               allowMissingColumns=True)
     return out
@@ -279,7 +284,7 @@ def drift_report(signals: DataFrame, batch: DataFrame, by: Sequence[str] = ()) -
     if by:
         out = join_on(sizes, worst, by, "left")
     else:
-        out = sizes.withColumn("__k", F.lit(1)).join(worst.withColumn("__k", F.lit(1)), "__k").drop("__k")
+        out = beside(sizes, worst)
     return out.select(*by, "batch_rows", (F.col("batch_rows") < MIN_BATCH_ROWS).alias("low_confidence"),
                       F.coalesce("overall_severity", F.lit(SEVERITIES[0])).alias("overall_severity"),
                       F.coalesce("contributing_signals", F.lit("")).alias("contributing_signals"),

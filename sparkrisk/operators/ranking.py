@@ -23,6 +23,9 @@ F1_EPSILON = 1e-12
 # -----------------------------------------------------------------------------
 
 
+FEW_BUDGETS = 16
+
+
 def budget_grid(points: int = 40, low: float = 0.005, high: float = 0.20) -> list[float]:
     """Evenly spaced budgets for the budget curve."""
     return [low + (high - low) * i / (points - 1) for i in range(points)]
@@ -205,11 +208,18 @@ def budget_table(df: DataFrame, budgets: Sequence[float] = BUDGETS, score="score
     for b in budgets:
         selection_size(1, b)
     r = ranked if ranked is not None else ranked_labels(df, score, label, id_col, by)
-    totals = _grouped(r, by).agg(F.max("n_rows").alias("n_rows"), F.max("total_y").alias("n_positive"))
-    plan = totals.where(F.col("n_rows") > 0).withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets])))
-    plan = plan.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("n_rows") * F.col("budget"))).cast("long"))
-    hits = join_on(r.select(*by, "rank", F.col(score).alias("cutoff_score"), F.col("cum_y").alias("captured")),
-                   plan, [*by, "rank"])
+    size = F.greatest(F.lit(1), F.ceil(F.col("n_rows") * F.col("budget"))).cast("long")
+    every = F.array(*[F.lit(float(b)) for b in budgets])
+    rows = r.select(*by, "rank", "n_rows", F.col("total_y").alias("n_positive"), F.col(score).alias("cutoff_score"),
+                    F.col("cum_y").alias("captured"))
+    if len(budgets) <= FEW_BUDGETS:
+        # each row tests the few budgets itself: nothing is shuffled
+        here = F.filter(every, lambda b: F.greatest(F.lit(1), F.ceil(F.col("n_rows") * b)) == F.col("rank"))
+        hits = rows.withColumn("budget", F.explode(here))
+    else:
+        totals = _grouped(r, by).agg(F.max("n_rows").alias("n_rows")).where(F.col("n_rows") > 0)
+        picks = totals.withColumn("budget", F.explode(every)).withColumn("rank", size).drop("n_rows")
+        hits = join_on(rows, picks, [*by, "rank"])
     return hits.select(*by, "budget", "n_rows", F.col("rank").alias("n_reviewed"), "captured", "n_positive",
                        ratio(F.col("captured"), F.col("n_positive")).alias("recall"),
                        ratio(F.col("captured"), F.col("rank")).alias("precision"), "cutoff_score")

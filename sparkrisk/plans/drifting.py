@@ -149,8 +149,8 @@ def categorical_psi(spark, d):
       f"{WITH}, {cat_psi_sql('dp', 'dref', 'dcur')} select batch, psi, n_current, {severity_sql('psi')} as severity from dp", digits=5)
 def decision_psi(spark, d):
     ref, cur = _parts(spark, d)
-    named = cur.select("batch", F.lit("decision_distribution").alias("feature"), F.col("decision").alias("category"))
-    return drift.categorical_psi(drift.decision_profile(ref), named, ["batch"]).select("batch", "psi", "n_current", "severity")
+    return drift.categorical_psi(drift.decision_profile(ref), drift.melt_decisions(cur, by=["batch"]), ["batch"]).select(
+        "batch", "psi", "n_current", "severity")
 
 
 KS_P = ("greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1.0::double else -1.0::double end) "
