@@ -8,9 +8,12 @@ def long(spark, values, feature="x"):
     return spark.createDataFrame([(feature, None if v is None else float(v)) for v in values], "feature string, value double")
 
 
-def psi(spark, ref, cur):
-    bins, _ = drift.numeric_profile(long(spark, ref))
-    return drift.numeric_psi(bins, long(spark, cur)).first()
+def bins_of(spark, ref):
+    return drift.numeric_profile(long(spark, ref))[0]
+
+
+def psi(spark, bins, cur, **kw):
+    return drift.numeric_psi(bins, long(spark, cur), **{"medians": False, **kw}).first()
 
 
 def brute_psi(ref, cur):
@@ -24,25 +27,28 @@ def brute_psi(ref, cur):
 def test_psi_equals_numpy(spark):
     rng = np.random.default_rng(0)
     ref, cur = rng.gamma(2, 50, 700), rng.gamma(2, 80, 300)
-    assert psi(spark, ref, cur)["psi"] == pytest.approx(brute_psi(ref, cur))
+    r = psi(spark, bins_of(spark, ref), cur, medians=True)
+    assert r["psi"] == pytest.approx(brute_psi(ref, cur)) and r["current_median"] == pytest.approx(np.median(cur))
     counts = rng.poisson(2, 500)  # repeated edges
-    assert psi(spark, counts, counts[:100])["psi"] == pytest.approx(brute_psi(counts, counts[:100]))
+    assert psi(spark, bins_of(spark, counts), counts[:100])["psi"] == pytest.approx(brute_psi(counts, counts[:100]))
 
 
 def test_same_batch_has_no_drift_and_shifted_batch_has(spark):
     rng = np.random.default_rng(2)
     ref = rng.gamma(2, 50, 1000)
-    assert psi(spark, ref, ref)["psi"] == pytest.approx(0)
-    shifted = psi(spark, ref, rng.gamma(2, 500, 300))
+    bins = bins_of(spark, ref)
+    assert psi(spark, bins, ref)["psi"] == pytest.approx(0)
+    shifted = psi(spark, bins, rng.gamma(2, 500, 300))
     assert shifted["psi"] > 0.2 and shifted["severity"] in ("MODERATE_DRIFT", "HIGH_DRIFT")
 
 
 def test_extremes_stay_finite(spark):
-    ref = list(range(100))
-    assert np.isfinite(psi(spark, ref, [1e9] * 50)["psi"])
-    assert np.isfinite(psi(spark, ref, [])["psi"]) and psi(spark, ref, [])["n_current"] == 0
-    assert np.isfinite(psi(spark, ref, [None, None])["psi"])
-    assert psi(spark, [5] * 20, [7] * 10)["psi"] == pytest.approx(0)  # a constant has one open bin
+    bins = bins_of(spark, list(range(100)))
+    assert np.isfinite(psi(spark, bins, [1e9] * 50)["psi"])
+    empty = psi(spark, bins, [])
+    assert np.isfinite(empty["psi"]) and empty["n_current"] == 0
+    assert np.isfinite(psi(spark, bins, [None, None])["psi"])
+    assert psi(spark, bins_of(spark, [5] * 20), [7] * 10)["psi"] == pytest.approx(0)  # a constant has one open bin
 
 
 def test_severity_levels(spark):
