@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, metricjoin, pii, simhash, topk, toxicity, urls, wordpieces
+from . import bpe, metricjoin, mixing, pii, simhash, topk, toxicity, urls, wordpieces
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op2_pii")
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
