@@ -141,14 +141,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 
 def keys_at_ranks(df: DataFrame, order, ranks_of: Callable[[int], Sequence[int]],
                   direct_rows: int = DIRECT_SORT_ROWS) -> tuple[int, list]:
-    """Key rows at given 1-based ranks of a non-NULL total order, as driver scalars.
+    """Key rows at given 1-based ranks of a total order, as driver scalars.
 
-    Returns ``(n_rows, [Row of the order columns or None])``, one entry per requested rank. Small
+    Rows whose first key is NULL have no rank and aren't counted, on either way. Returns ``(n_rows, [Row of the order columns or None])``, one entry per requested rank. Small
     inputs are ranked whole. Large ones are not sorted: an approximate quantile brackets each
     rank, exact counts verify the bracket, and only rows inside brackets are ranked.
     """
     names = [name for name, _ in order]
-    narrow = df.select(*names)
+    narrow = df.select(*names).where(F.col(names[0]).isNotNull())
     n = narrow.count()
     ranks = [int(r) for r in ranks_of(n)]
     wanted = sorted({r for r in ranks if 1 <= r <= n})
@@ -179,10 +179,10 @@ def keys_at_ranks(df: DataFrame, order, ranks_of: Callable[[int], Sequence[int]]
             F.count_if(F.col(lead).between(*spans[r])).alias(f"i{i}"))]).first()
 
     seen = counts(brackets)
-    for i, r in enumerate(wanted):
-        if not seen[f"b{i}"] < r <= seen[f"b{i}"] + seen[f"i{i}"]:
-            brackets[r] = (edges["lo"], edges["hi"])
-    seen = counts(brackets)
+    missed = [r for i, r in enumerate(wanted) if not seen[f"b{i}"] < r <= seen[f"b{i}"] + seen[f"i{i}"]]
+    if missed:
+        brackets.update({r: (edges["lo"], edges["hi"]) for r in missed})
+        seen = counts(brackets)
     offsets = {r: seen[f"b{i}"] for i, r in enumerate(wanted)}
     members = F.filter(F.array(*[F.when(F.col(lead).between(*brackets[r]), F.lit(r)) for r in wanted]),
                        lambda r: r.isNotNull())

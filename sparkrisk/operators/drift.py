@@ -1,7 +1,8 @@
 """Distribution drift of batches against a reference profile.
 
 Signals are kept in long form (feature, value), so all features and all batches are one grouped
-job. A profile is a handful of small tables: bins, stats, categories, decisions, sample.
+job. A profile is a handful of tables: bins, stats, categories, decisions, and the
+reference values with their counts, from which distances of distributions are exact.
 """
 
 from __future__ import annotations
@@ -15,11 +16,9 @@ from ..functions.expressions import (DECISIONS, MISSING, OTHER, PSI_FLOOR, SEVER
                                      psi_severity, ratio, severity_rank)
 from ..functions.ordering import asc, beside, exact_quantiles, join_on, running_totals
 from ..functions.session import materialized
-from .ranking import sample_n
 
 # --- fixed values ----------------------------------------------------------------
 N_BINS = 10
-SAMPLE_ROWS = 5000
 RARE_SHARE = 0.01
 MIN_BATCH_ROWS = 30
 # ---------------------------------------------------------------------------------
@@ -29,13 +28,13 @@ DECILES = [i / N_BINS for i in range(N_BINS + 1)]
 
 @dataclass(frozen=True)
 class ReferenceProfile:
-    """Tables of a reference distribution; all are bounded by features x bins or categories."""
+    """Tables of a reference distribution; all but ``values`` are bounded by features x bins or categories."""
 
     bins: DataFrame        # feature, interior (array of inner edges), bin, ref_count, ref_share
     stats: DataFrame       # feature, kind, n, null_share, mean, median, std, min, max
     categories: DataFrame  # feature, category, n, freq, grouped
     decisions: DataFrame   # feature='decision_distribution', category, n, freq, grouped
-    sample: DataFrame      # feature, value
+    values: DataFrame      # feature, value, r (how often), of every reference row
 
     def save(self, path: str) -> None:
         for name in self.__dataclass_fields__:
@@ -130,16 +129,19 @@ def decision_profile(df: DataFrame, decision: str = "decision") -> DataFrame:
 
 def reference_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], id_col: str,
                       score: str | None = "score", decision: str | None = "decision",
-                      behavioral: Sequence[str] = (), sample_rows: int = SAMPLE_ROWS) -> ReferenceProfile:
-    """Profile of validation rows: numeric, behavioral and score bins, categories, decisions, sample."""
+                      behavioral: Sequence[str] = ()) -> ReferenceProfile:
+    """Profile of validation rows: numeric, behavioral and score bins, categories, decisions, values.
+
+    Each table is written once, so that what uses it several times doesn't read the rows again.
+    """
     signals = [*numeric, *behavioral] + ([score] if score else [])
     long = melt_numeric(df, signals)
     bins, stats = numeric_profile(long)  # the rows are ordered once, for edges and medians
     kind = F.when(F.col("feature").isin(list(behavioral)), "behavioral").when(F.col("feature") == score, "score").otherwise("numeric")
-    sample = melt_numeric(sample_n(df, id_col, sample_rows), signals).where(F.col("value").isNotNull())
-    cats = categorical_profile(melt_categorical(df, categorical))
-    decisions = decision_profile(df, decision) if decision and decision in df.columns else cats.limit(0)
-    return ReferenceProfile(bins, stats.withColumn("kind", kind), cats, decisions, sample)
+    values = materialized(_value_counts(long, [], "r"))
+    cats = materialized(categorical_profile(melt_categorical(df, categorical)))
+    decisions = materialized(decision_profile(df, decision)) if decision and decision in df.columns else cats.limit(0)
+    return ReferenceProfile(bins, stats.withColumn("kind", kind), cats, decisions, values)
 
 
 # ---- current side --------------------------------------------------------------------
@@ -169,7 +171,7 @@ def numeric_psi(bins: DataFrame, current: DataFrame, by: Sequence[str] = (), med
 
 
 def _known(categories: DataFrame) -> DataFrame:
-    # at most 1 / RARE_SHARE individually kept categories per feature
+    # with a rare share above 0 at most 1 / share categories per feature; a plain join lets the size decide
     return categories.where(F.col("grouped") == F.col("category")).select("feature", "category", "grouped")
 
 
@@ -177,7 +179,7 @@ def categorical_psi(categories: DataFrame, current: DataFrame, by: Sequence[str]
     """PSI per (by, feature) over the reference's grouped categories, with new and missing counts."""
     raw = current.groupBy(*by, "feature", "category").agg(F.count(F.lit(1)).alias("n"))
     totals = raw.groupBy(*by, "feature").agg(F.sum("n").alias("n_current"))
-    mapped = raw.join(F.broadcast(_known(categories)), ["feature", "category"], "left")
+    mapped = raw.join(_known(categories), ["feature", "category"], "left")
     cur = mapped.groupBy(*by, "feature", F.coalesce("grouped", F.lit(OTHER)).alias("grouped")).agg(F.sum("n").alias("n"))
     ref = categories.groupBy("feature", "grouped").agg(F.sum("freq").alias("r"))
     ref_rows = (totals.join(ref, "feature") if by else ref.join(totals, "feature", "left")).select(
@@ -189,9 +191,12 @@ def categorical_psi(categories: DataFrame, current: DataFrame, by: Sequence[str]
     share = F.coalesce(ratio(F.col("n"), F.col("n_current")), F.lit(0.0))
     psi = cells.groupBy(*by, "feature").agg(F.sum(_psi_term(share, F.col("r"))).alias("psi"),
                                             F.coalesce(F.max("n_current"), F.lit(0)).alias("n_current"))
-    changed = category_changes(categories, current, by).groupBy(*by, "feature").agg(
-        count_if(F.col("change") == "new").alias("n_new"), count_if(F.col("change") == "missing").alias("n_missing"))
-    psi = join_on(psi, changed, [*by, "feature"], "left")
+    # how many are new or missing follows from how many are shared; no batch meets every reference category
+    shared = raw.join(categories.select("feature", "category", F.lit(1).alias("in_ref")), ["feature", "category"], "left")
+    changed = shared.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n_seen"), F.count("in_ref").alias("n_shared"))
+    sizes = categories.groupBy("feature").agg(F.count(F.lit(1)).alias("n_ref"))
+    psi = join_on(psi, changed, [*by, "feature"], "left").join(sizes, "feature", "left")
+    psi = psi.withColumns({"n_new": F.col("n_seen") - F.col("n_shared"), "n_missing": F.col("n_ref") - F.coalesce("n_shared", F.lit(0))})
     return psi.select(*by, "feature", "psi", "n_current", F.coalesce("n_new", F.lit(0)).alias("n_new_categories"),
                       F.coalesce("n_missing", F.lit(0)).alias("n_missing_categories"), psi_severity(F.col("psi")).alias("severity"))
 
@@ -209,27 +214,36 @@ def category_changes(categories: DataFrame, current: DataFrame, by: Sequence[str
     return new.select(*cols, F.lit("new").alias("change")).unionByName(missing.select(*cols, F.lit("missing").alias("change")))
 
 
+def _value_counts(long: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """How often each value occurs per (by, feature), as column ``name``."""
+    return long.where(F.col("value").isNotNull()).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias(name))
+
+
 def ecdf_runs(reference: DataFrame, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values per (by, feature) in order with running counts of both sides.
+    """Distinct current values per (by, feature) with the running counts of both sides.
 
-    Equal values are counted on each side first. With ``by`` the reference is repeated per batch,
-    which is why the profile keeps a bounded sample of it.
+    ``reference`` holds rows (feature, value) or counted values (feature, value, r). It is ordered once
+    for all batches, with the values that batches look up in it, and never repeated per batch.
     """
-    r = reference.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("r"))
-    c = current.where(F.col("value").isNotNull()).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    if by:
-        r = r.join(current.select(*by, "feature").distinct(), "feature")
-    both = (r.select(*by, "feature", "value", "r", F.lit(0).cast("long").alias("c"))
-            .unionByName(c.select(*by, "feature", "value", F.lit(0).cast("long").alias("r"), "c"))
-            .groupBy(*by, "feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c")))
-    return running_totals(both, [asc("value")], {"r": F.col("r"), "c": F.col("c")}, [*by, "feature"], ["value"])
+    r = reference if "r" in reference.columns else _value_counts(reference, [], "r")
+    c = materialized(_value_counts(current, by, "c"))
+    asked = c.select("feature", "value").distinct().select("feature", "value", F.lit(0).cast("long").alias("r"))
+    both = r.select("feature", "value", "r").unionByName(asked).groupBy("feature", "value").agg(F.sum("r").alias("r"))
+    known = running_totals(both, [asc("value")], {"r": F.col("r")}, ["feature"], ["value"])
+    mine = running_totals(c, [asc("value")], {"c": F.col("c")}, [*by, "feature"], ["value"])
+    return mine.join(known, ["feature", "value"])
 
 
 def ks_two_sample(reference: DataFrame, current: DataFrame, by: Sequence[str] = (),
                   runs: DataFrame | None = None) -> DataFrame:
-    """Largest ECDF gap per (by, feature), its asymptotic p-value and the current median."""
+    """Largest ECDF gap per (by, feature), its asymptotic p-value and the current median.
+
+    The gap is largest at a current value or just before one, so the exact statistic needs nothing else.
+    """
     runs = runs if runs is not None else ecdf_runs(reference, current, by)
-    gap = F.abs(ratio(F.col("cum_r"), F.col("total_r")) - ratio(F.col("cum_c"), F.col("total_c")))
+    r, c = F.nullif(F.col("total_r"), F.lit(0)), F.col("total_c")
+    gap = F.greatest(F.abs(F.col("cum_r") / r - F.col("cum_c") / c),
+                     F.abs((F.col("cum_r") - F.col("r")) / r - (F.col("cum_c") - F.col("c")) / c))
 
     def at(index):  # the current value at a 0-based position
         return F.max(F.when(index.between(F.col("cum_c") - F.col("c"), F.col("cum_c") - 1), F.col("value")))
@@ -254,7 +268,7 @@ def drift_signals(profile: ReferenceProfile, batch: DataFrame, numeric: Sequence
     ref = profile.stats.select("feature", "kind", F.col("mean").alias("reference_mean"), F.col("median").alias("reference_median"))
     num = num.join(F.broadcast(ref), "feature")
     if ks:
-        num = join_on(num, ks_two_sample(profile.sample, long, by).drop("n_reference", "n_current"), [*by, "feature"], "left")
+        num = join_on(num, ks_two_sample(profile.values, long, by).drop("n_reference", "n_current"), [*by, "feature"], "left")
     num = num.withColumnRenamed("feature", "signal")
     out = num
     if categorical:

@@ -1,7 +1,9 @@
 """Leakage-safe history features per entity (W1-W6) and their diagnostics.
 
 Every value describes strictly earlier rows in (time, id) order. NULL amounts are rows of history
-(they count) without an amount (they do not enter mean, deviation, minimum or maximum).
+(they count) without an amount (they do not enter mean, deviation, minimum or maximum). A row
+without an entity or without a time has no place in any history: it stays, with no earlier rows, and
+is nobody's earlier row. Rows that repeat an id are rows of their own; ties go by id, then by amount.
 """
 
 from __future__ import annotations
@@ -74,7 +76,8 @@ def history_features(df: DataFrame, roles: Roles, widths: dict[str, int] = WIDTH
 
     if hot_rows is None:
         return restore(_window_history(rows, spans, units))
-    counts = rows.where(F.col("__e").isNotNull()).groupBy("__e").count().where(F.col("count") > hot_rows)
+    placed = F.col("__e").isNotNull() & F.col("__t").isNotNull()
+    counts = rows.where(placed).groupBy("__e").count().where(F.col("count") > hot_rows)
     found = counts.select(F.col("__e").alias("__hot")).take(MAX_LISTED + 1)
     if not found:
         return restore(_window_history(rows, spans, units))
@@ -85,18 +88,20 @@ def history_features(df: DataFrame, roles: Roles, widths: dict[str, int] = WIDTH
     else:
         keys = materialized(counts.select(F.col("__e").alias("__hot")))
         n_hot = keys.count()
-    cold = rows.join(keys, F.col("__e") == F.col("__hot"), "left_anti")
-    busy = rows.join(keys, F.col("__e") == F.col("__hot"), "left_semi")
+    is_hot = (F.col("__e") == F.col("__hot")) & placed
+    cold = rows.join(keys, is_hot, "left_anti")
+    busy = rows.join(keys, is_hot, "left_semi")
     return restore(_window_history(cold, spans, units)).unionByName(
         restore(_chunked_history(busy, spans, units, n_hot)))
 
 
 def _window_history(rows: DataFrame, spans: dict[str, int], units: int) -> DataFrame:
-    # rows without an entity have no history: each is its own group instead of one huge group
-    alone = F.when(F.col("__e").isNull(), F.col("__id"))
-    w = Window.partitionBy("__e", alone).orderBy("__t", "__id")
+    # rows without an entity or a time have no history: each is its own group instead of one huge group
+    columns = rows.columns
+    rows = rows.withColumn("__alone", F.when(F.col("__e").isNull() | F.col("__t").isNull(), F.monotonically_increasing_id()))
+    w = Window.partitionBy("__e", "__alone").orderBy("__t", "__id", "__a")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    by_time = Window.partitionBy("__e", alone).orderBy("__t")
+    by_time = Window.partitionBy("__e", "__alone").orderBy("__t")
     # rows before the cut-off are subtracted: growing frames, no sliding re-aggregation
     older = [F.count(F.lit(1)).over(by_time.rangeBetween(Window.unboundedPreceding, -(span + 1))).alias(f"__older_{name}")
              for name, span in spans.items()]
@@ -107,8 +112,9 @@ def _window_history(rows: DataFrame, spans: dict[str, int], units: int) -> DataF
         F.max("__a").over(prior).alias("__max"), F.lag("__t").over(w).alias("__last"), *older)
     base = derived_features(F.col("__n"), F.col("__mean"), F.col("__std"), F.col("__min"), F.col("__max"),
                             (F.col("__t") - F.col("__last")) / F.lit(float(units)), F.col("__a"))
-    return moments.select(*rows.columns, *base, *[
-        (F.col("__n") - F.col(f"__older_{name}")).alias(f"bhv_prior_count_{name}") for name in spans])
+    older_than = lambda name: F.when(F.col("__t").isNull(), 0).otherwise(F.col(f"__older_{name}"))
+    return moments.select(*columns, *base, *[
+        (F.col("__n") - older_than(name)).alias(f"bhv_prior_count_{name}") for name in spans])
 
 
 def _chunked_history(rows: DataFrame, spans: dict[str, int], units: int, n_hot: int) -> DataFrame:
@@ -118,7 +124,8 @@ def _chunked_history(rows: DataFrame, spans: dict[str, int], units: int, n_hot:
     are range partitioned together on (entity, position, probe before event, id), which spreads a
     single entity over many partitions. Inside a partition ordinary windows do the work; what came
     before is a carry of one row per (entity, partition). A count at a probe is the number of rows
-    too old for that width.
+    too old for that width. A row is known by a number of its own, fixed when the copies are written,
+    so that a repeated id stays as many rows as it has.
     """
     spark, n = rows.sparkSession, shuffle_partitions(rows.sparkSession)
     names = list(spans)
@@ -128,15 +135,15 @@ def _chunked_history(rows: DataFrame, spans: dict[str, int], units: int, n_hot:
         *[F.struct((F.col("__t") - F.lit(spans[w])).alias("pos"), F.lit(0).alias("is_event"),
                    F.lit(i).alias("width")) for i, w in enumerate(names)])
     event = F.col("c.is_event") == 1
-    spread = (rows.withColumn("c", F.explode(copies))
-              .select("__e", "__id", F.col("c.pos").alias("pos"), F.col("c.is_event").alias("is_event"),
+    spread = (rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("c", F.explode(copies))
+              .select("__e", "__id", "__row", F.col("c.pos").alias("pos"), F.col("c.is_event").alias("is_event"),
                       F.col("c.width").alias("width"), F.when(event, F.col("__a")).alias("a"),
                       *[F.when(event, F.col(p)).alias(p) for p in payload])
-              .repartitionByRange(n, "__e", "pos", "is_event", "__id")
+              .repartitionByRange(n, "__e", "pos", "is_event", "__id", "a", "__row")
               .withColumn("chunk", F.spark_partition_id()))
     spread = materialized(spread)
 
-    w = Window.partitionBy("__e", "chunk").orderBy("pos", "is_event", "__id")
+    w = Window.partitionBy("__e", "chunk").orderBy("pos", "is_event", "__id", "a", "__row")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     event_time = F.when(F.col("is_event") == 1, F.col("pos"))
     local = spread.select(
@@ -169,13 +176,13 @@ def _chunked_history(rows: DataFrame, spans: dict[str, int], units: int, n_hot:
     std = F.when(m >= 2, F.when(low == high, F.lit(0.0)).otherwise(F.sqrt(ratio(m2, m - 1))))
     total = F.col("c_n") + F.col("l_n")
     merged = joined.select(
-        "__e", "__id", "width", "a", *payload, total.alias("n_before"), mean.alias("mean"), std.alias("std"),
+        "__e", "__id", "__row", "width", "a", *payload, total.alias("n_before"), mean.alias("mean"), std.alias("std"),
         low.alias("low"), high.alias("high"),
         ((F.col("pos") - F.greatest("c_last", "l_last")) / F.lit(float(units))).alias("gap"))
     is_event = F.col("width") == -1
     columns = ["n_before", "mean", "std", "low", "high", "gap", "a", *payload]
-    together = merged.groupBy("__e", "__id").agg(
-        *[F.first(F.when(is_event, F.col(c)), ignorenulls=True).alias(c) for c in columns],
+    together = merged.groupBy("__row").agg(
+        F.first("__e").alias("__e"), F.first("__id").alias("__id"), *[F.first(F.when(is_event, F.col(c)), ignorenulls=True).alias(c) for c in columns],
         *[F.max(F.when(F.col("width") == i, F.col("n_before"))).alias(f"older_{i}") for i in range(len(names))])
     return together.select(
         "__e", "__id", *payload,

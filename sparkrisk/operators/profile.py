@@ -87,14 +87,15 @@ def temporal_bins(df: DataFrame, roles: Roles, bins: int = 20) -> DataFrame:
 
 
 def temporal_summary(df: DataFrame, roles: Roles, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """Range of the time axis and the boundary times of the chronological split (A2)."""
+    """Range of the time axis and the boundary times of the chronological split (A2); rows without a time are left out."""
     t, units = time_axis(df, roles.time)
     keyed = df.select(t.alias("t"), F.col(roles.id).alias("id"))
     n, keys = keys_at_ranks(keyed, [asc("t"), asc("id")],
                             lambda n: [1, n, int(n * train), int(n * (train + val))])
     seconds = [None if k is None else k["t"] / units for k in keys]
     first, last, train_end, val_end = seconds
-    row = (n, first, last, last - first, round((last - first) / 86400, 1), train_end, val_end)
+    span = None if first is None else last - first
+    row = (n, first, last, span, None if span is None else round(span / 86400, 1), train_end, val_end)
     return df.sparkSession.createDataFrame(
         [row], "n_rows long, time_min double, time_max double, range_seconds double, range_days double, "
                "train_end_time double, val_end_time double")

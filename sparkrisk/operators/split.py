@@ -18,6 +18,7 @@ def temporal_split(df: DataFrame, roles: Roles, train: float = 0.7, val: float =
                    direct_rows: int = DIRECT_SORT_ROWS) -> DataFrame:
     """Add ``split``: the first int(n*train) rows in (time, id) order are train, and so on.
 
+    Rows without a time aren't counted in n and go to test, so that nothing undated is learned from.
     Only two boundary keys are looked up, on two narrow columns; wide rows are never shuffled.
     """
     if abs(train + val + test - 1.0) > 1e-6:

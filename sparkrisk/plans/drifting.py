@@ -191,10 +191,30 @@ REPORT = f"""{NUMERIC_PSI}, {cat_psi_sql('cp', 'cats', 'tcur')}, {cat_psi_sql('d
 def _report(spark, d):
     ref, cur = _parts(spark, d)
     prof = drift.reference_profile(ref, NUMERIC, CATEGORICAL, "event_id", behavioral=BEHAVIORAL)
-    signals = drift.drift_signals(prof, cur, SIGNALS, CATEGORICAL, ["batch"])
+    signals = drift.drift_signals(prof, cur, SIGNALS, CATEGORICAL, ["batch"], ks=False)
     return drift.drift_report(signals, cur, ["batch"])
 
 
+@plan("drift_signals", "batch:s signal:s psi:d ks_statistic:d ks_p_value:d current_median:d n_current:l severity:s kind:s", f"""{WITH}, {NUMERIC_PSI},
+  {cat_psi_sql('cp', 'cats', 'tcur')}, {cat_psi_sql('dp', 'dref', 'dcur')},
+  keys as (select distinct batch, feature from cur),
+  v as (select batch, feature, value, sum(r) as r, sum(c) as c from (select k.batch, r.feature, value, 1 as r, 0 as c from ref r join keys k using (feature)
+    where value is not null union all select batch, feature, value, 0, 1 from cur where value is not null) u group by 1, 2, 3),
+  s as (select batch, feature, sum(r) over w as cr, sum(c) over w as cc, sum(r) over (partition by batch, feature) as nr, sum(c) over (partition by batch, feature) as nc
+    from v window w as (partition by batch, feature order by value)),
+  g as (select batch, feature, max(nr) as nr, max(nc) as nc, max(abs(cr / nr::double - cc / nc::double)) as dd from s group by 1, 2)
+  select n.batch, n.feature as signal, psi, case when nr > 1 and nc > 1 then dd end as ks_statistic, case when nr > 1 and nc > 1 then {KS_P} end as ks_p_value,
+    current_median, n_current, {severity_sql('psi')} as severity, {KIND_SQL.replace('feature', 'n.feature')} as kind from npsi n join g on g.batch = n.batch and g.feature = n.feature
+  union all select batch, feature, psi, null, null, null, n_current, {severity_sql('psi')}, 'categorical' from cp
+  union all select batch, feature, psi, null, null, null, n_current, {severity_sql('psi')}, 'decision' from dp""", digits=5)
+def drift_signals(spark, d):
+    """Every signal of every batch, with the exact distance to the whole reference."""
+    ref, cur = _parts(spark, d)
+    prof = drift.reference_profile(ref, NUMERIC, CATEGORICAL, "event_id", behavioral=BEHAVIORAL)
+    out = drift.drift_signals(prof, cur, SIGNALS, CATEGORICAL, ["batch"])
+    return out.select("batch", "signal", "psi", "ks_statistic", "ks_p_value", "current_median", "n_current", "severity", "kind")
+
+
 @plan("drift_report", "batch:s batch_rows:l low_confidence:b overall_severity:s contributing_signals:s warnings:s", f"{WITH}, {REPORT} select * from rep")
 def drift_report(spark, d):
     return _report(spark, d)

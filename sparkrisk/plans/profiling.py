@@ -247,6 +247,23 @@ def history_features_hot_entity(spark, d):
     return history.history_features(df, EVENTS, hot_rows=n // 10)
 
 
+TWICE = """(select event_id, value, user_id, case when event_id % 11 = 3 then null else epoch_us(ts) end as t,
+  case when event_id % 3 = 0 then 2 else 1 end as times from events)"""
+SQL_TWICE = f"""(select e.*, row_number() over (order by t, event_id, copy) as rid from (select event_id, value, t, copy,
+  case when user_id % 3 = 0 then 0 else user_id end as user_id from {TWICE} o join (values (1), (2)) c(copy) on copy <= times) e)"""
+
+
+@plan("history_features_hot_duplicates", f"event_id:l {HISTORY_COLUMNS}", f"""
+  select event_id, {', '.join(c.split(':')[0] for c in HISTORY_COLUMNS.split())} from {history_sql(f"(select * from {SQL_TWICE} a where t is not null)", 'rid', 'user_id', 'value', 'event_id')} h
+  union all select event_id, 0, 0, null, null, null, null, null, null, null, null, 0, 0 from {SQL_TWICE} b where t is null""")
+def history_features_hot_duplicates(spark, d):
+    """Each third event is delivered twice, some have no time, and a third of all rows share an entity that is cut into chunks."""
+    e = table(spark, d, "events").withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    e = e.withColumn("ts", F.when(F.col("event_id") % 11 != 3, F.col("ts")))
+    e = e.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1)))).drop("copy")
+    return history.history_features(e, EVENTS, hot_rows=e.count() // 10)
+
+
 @plan("history_diagnostics", "metric:s value:d", f"""
   with h as (select * from {history_sql(SQL_EVENTS, 'event_id', 'user_id', 'value', 'user_id')} q),
   one as (select avg((bhv_prev_txn_count = 0)::int) as cold_start_share, min(bhv_prev_txn_count)::double as prev_count_min,
@@ -342,6 +359,26 @@ def temporal_split_by_brackets(spark, d):
     return split.temporal_split(labelled_orders(spark, d), ORDERS, direct_rows=0).select("o_orderkey", "split")
 
 
+SQL_UNDATED = f"""(select o_orderkey, split from {split_sql("(select o_orderkey, epoch_us(o_orderdate) as t from orders where o_orderkey % 7 <> 1)", "o_orderkey")} a
+  union all select o_orderkey, 'test' from orders where o_orderkey % 7 = 1)"""
+
+
+def _undated(spark, d):
+    return labelled_orders(spark, d).withColumn("o_orderdate", F.when(F.col("o_orderkey") % 7 != 1, F.col("o_orderdate")))
+
+
+@plan("temporal_split_null_times", "o_orderkey:l split:s", f"select o_orderkey, split from {SQL_UNDATED} s")
+def temporal_split_null_times(spark, d):
+    """Rows without a time don't count, and go to test."""
+    return split.temporal_split(_undated(spark, d), ORDERS).select("o_orderkey", "split")
+
+
+@plan("temporal_split_null_times_by_brackets", "o_orderkey:l split:s", f"select o_orderkey, split from {SQL_UNDATED} s")
+def temporal_split_null_times_by_brackets(spark, d):
+    """The same beyond the size at which nothing is sorted."""
+    return split.temporal_split(_undated(spark, d), ORDERS, direct_rows=0).select("o_orderkey", "split")
+
+
 @plan("verify_split", "n_train:l n_val:l n_test:l train_before_val:b val_before_test:b share_train:d share_val:d share_test:d "
       "n_distinct_ids:l sum_of_parts:l overlap_train_val:l overlap_train_test:l overlap_val_test:l disjoint:b", f"""
   select *, n_train / n::double as share_train, n_val / n::double as share_val, n_test / n::double as share_test,
