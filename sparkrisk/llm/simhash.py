@@ -14,7 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.session import materialized
 from .graph import components
@@ -61,14 +61,13 @@ def fingerprint(text: str, n: int = SHINGLE_WORDS) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * totals > count))
 
 
-@F.pandas_udf("long")
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series(np.array([fingerprint(t) for t in batch], dtype=np.uint64).astype(np.int64))
 
 
 def fingerprint_column(text: Column) -> Column:
-    return _fingerprints(text)
+    return F.pandas_udf(_fingerprints, T.LongType())(text)
 
 
 def hex16(fp: Column) -> Column:
