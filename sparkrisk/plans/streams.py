@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..functions.roles import Roles
@@ -20,12 +22,21 @@ def event_stream(spark, d):
     return streams.file_stream(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema)
 
 
-def arrivals(spark, parts):
-    """Write tables one after another into a fresh folder and stream it file by file."""
-    path = scratch_path(spark, "arrivals")
-    for p in parts:
-        p.coalesce(1).write.mode("append").parquet(path)
-    return streams.file_stream(spark, path, parts[0].schema, max_files_per_trigger=1)
+def run_parts(spark, parts, build, mode="append", pause=0.0):
+    """Deliver tables one after another, each as many files, and run the stream over each on one checkpoint."""
+    path, out, state = (scratch_path(spark, n) for n in ("arrivals", "stream-out", "stream-state"))
+    result = None
+    for i, p in enumerate(parts):
+        p.write.mode("append").parquet(path)
+        if i and pause:
+            time.sleep(pause)
+        result = flow.run_available(build(streams.file_stream(spark, path, p.schema)), out, state, mode)
+    return result
+
+
+def by_split(spark, d, names=("train", "val", "test"), change=lambda df: df):
+    parts = change(split_events(spark, d))
+    return [parts.where(F.col("split") == p).drop("split") for p in names]
 
 
 def run(df, mode="append"):
@@ -78,9 +89,7 @@ def dead_letter_sink(spark, d):
 @plan("stream_features", f"event_id:l {HISTORY_COLUMNS}", f"select * from {SQL_HISTORY} h")
 def stream_features(spark, d):
     """Keyed state fed in three micro-batches gives what the windows give."""
-    parts = split_events(spark, d)
-    live = arrivals(spark, [parts.where(F.col("split") == p).drop("split") for p in ("train", "val", "test")])
-    return run(flow.stream_features(live, EVENTS)).select("event_id", *feature_names())
+    return run_parts(spark, by_split(spark, d), lambda live: flow.stream_features(live, EVENTS)).select("event_id", *feature_names())
 
 
 @plan("stream_warm_start", f"event_id:l {HISTORY_COLUMNS}", f"""
@@ -88,9 +97,9 @@ def stream_features(spark, d):
 def stream_warm_start(spark, d):
     """State from the train rows, then only later rows as a stream."""
     parts = split_events(spark, d)
-    live = arrivals(spark, [parts.where(F.col("split") == p).drop("split") for p in ("val", "test")])
     initial = flow.warm_start_table(parts.where("split = 'train'"), EVENTS)
-    return run(flow.stream_features(live, EVENTS, initial=initial)).select("event_id", *feature_names())
+    return run_parts(spark, by_split(spark, d, ("val", "test")),
+                     lambda live: flow.stream_features(live, EVENTS, initial=initial)).select("event_id", *feature_names())
 
 
 VELOCITY_SQL = history_sql("(select event_id, value, epoch_us(ts) as t, user_id % 3 as user_id from events)", "event_id", "user_id", "value")
@@ -100,9 +109,9 @@ VELOCITY_SQL = history_sql("(select event_id, value, epoch_us(ts) as t, user_id
       f"select event_id, bhv_prior_count_1h, bhv_prior_count_24h from {VELOCITY_SQL} h")
 def stream_velocity_hot_entity(spark, d):
     """Three entities hold all events; their recent times spill into buckets."""
-    parts = split_events(spark, d).withColumn("user_id", F.col("user_id") % 3)
-    live = arrivals(spark, [parts.where(F.col("split") == p).drop("split") for p in ("train", "val", "test")])
-    return run(flow.stream_features(live, EVENTS)).select("event_id", "bhv_prior_count_1h", "bhv_prior_count_24h")
+    parts = by_split(spark, d, change=lambda df: df.withColumn("user_id", F.col("user_id") % 3))
+    out = run_parts(spark, parts, lambda live: flow.stream_features(live, EVENTS))
+    return out.select("event_id", "bhv_prior_count_1h", "bhv_prior_count_24h")
 
 
 @plan("stream_state_ttl", f"event_id:l {HISTORY_COLUMNS}", f"select * from {SQL_HISTORY} h")
@@ -111,12 +120,49 @@ def stream_state_ttl(spark, d):
     return run(flow.stream_features(event_stream(spark, d), EVENTS, ttl_ms=86_400_000)).select("event_id", *feature_names())
 
 
+def _in_part(names):
+    return history_sql(f"(select * from {SQL_SPLIT} z where split in ({names}))", "event_id", "user_id", "value")
+
+
+@plan("stream_state_expiry", f"event_id:l {HISTORY_COLUMNS}", f"""
+  select * from {_in_part("'train'")} a union all select * from {_in_part("'val', 'test'")} b""")
+def stream_state_expiry(spark, d):
+    """State older than a second has expired when the second delivery comes: its events begin anew."""
+    parts = split_events(spark, d)
+    two = [parts.where("split = 'train'").drop("split"), parts.where("split <> 'train'").drop("split")]
+    out = run_parts(spark, two, lambda live: flow.stream_features(live, EVENTS, ttl_ms=1000), pause=3.0)
+    return out.select("event_id", *feature_names())
+
+
+@plan("stream_null_entity", f"event_id:l {HISTORY_COLUMNS}", f"""
+  select {', '.join(['event_id', *feature_names()])} from {history_sql("(select event_id, value, user_id, epoch_us(ts) as t from events where event_id % 5 <> 2)", 'event_id', 'user_id', 'value')} h
+  union all select event_id, 0, 0, null, null, null, null, null, null, null, null, 0, 0 from events where event_id % 5 = 2""")
+def stream_null_entity(spark, d):
+    """Events without an entity have no history, in the stream as in the batch."""
+    parts = by_split(spark, d, change=lambda df: df.withColumn("user_id", F.when(F.col("event_id") % 5 != 2, F.col("user_id"))))
+    return run_parts(spark, parts, lambda live: flow.stream_features(live, EVENTS)).select("event_id", *feature_names())
+
+
+LATE_SQL = f"""(select s.event_id, split = 'train' and exists (select 1 from {SQL_SPLIT} v where v.split = 'val' and v.user_id = s.user_id and v.t > s.t) as is_late
+  from {SQL_SPLIT} s)"""
+
+
+@plan("stream_late_events", "event_id:l is_late:b error_reason:s has_score:b", f"""
+  select event_id, is_late, case when is_late then 'late' end as error_reason, not is_late as has_score from {LATE_SQL} x""")
+def stream_late_events(spark, d):
+    """Deliveries out of order, each twice, with a short memory: every event comes out once, late ones by name."""
+    val, train, test = by_split(spark, d, ("val", "train", "test"), lambda df: df.drop("label", "score", "score_b"))
+    out = run_parts(spark, [val, train, train, test], lambda live: flow.score_stream(live, EVENTS, scored, delay="10 minutes", late="route"))
+    return out.select("event_id", "is_late", "error_reason", F.col("score").isNotNull().alias("has_score"))
+
+
 @plan("dedup_stream", "event_id:l value:d", "select event_id, value from events")
 def dedup_stream(spark, d):
     """Every event delivered twice comes out once."""
     events = table(spark, d, "events")
-    live = arrivals(spark, [events, events])
-    return run(flow.dedup_stream(live, "event_id", "ts", "60 days")).select("event_id", "value")
+    # out of order and with a short memory: nothing is late, and nothing comes twice
+    newest_first = [events.where("event_id % 2 = 1"), events, events]
+    return run_parts(spark, newest_first, lambda live: flow.dedup_stream(live, "event_id", "10 minutes")).select("event_id", "value")
 
 
 @plan("route_invalid", "kind:s n:l", """
@@ -134,32 +180,40 @@ GOOD_SQL = "(select event_id, user_id, value, ts, epoch_us(ts) as t from events
   select h.event_id, case when score < 0.3 then 'APPROVE' when score < 0.6 then 'REVIEW' else 'BLOCK' end as decision, null as error_reason, score
   from (select event_id, 1.0 / (1.0 + exp(-coalesce(bhv_amt_zscore, 0) / 2.0)) as score
     from {history_sql(GOOD_SQL, 'event_id', 'user_id', 'value')} q) h
-  union all select event_id, null, {BAD_SQL}, null from events where event_id % 17 = 0 or event_id % 19 = 0""")
+  union all select event_id, null, {BAD_SQL}, null from events, (values (1), (2)) twice(n) where event_id % 17 = 0 or event_id % 19 = 0""")
 def score_stream(spark, d):
     """Validation, deduplication, state, score, decision and rejection in one streaming query."""
     events = _sometimes_bad(table(spark, d, "events"))
-    live = arrivals(spark, [events, events])
     # valid repeats are dropped; a rejected event is reported each time it arrives
-    out = run(flow.score_stream(live, EVENTS, scored, delay="60 days"))
-    return out.select("event_id", "decision", "error_reason", "score").distinct()
+    out = run_parts(spark, [events, events], lambda live: flow.score_stream(live, EVENTS, scored, delay="10 minutes"))
+    return out.select("event_id", "decision", "error_reason", "score")
 
 
-@plan("stream_monitor", "window_start:s decision:s n:l", f"""
-  select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as window_start, {decide_sql('score', 0.1, 0.4)} as decision, count(*) as n
-  from {SQL_EVENTS} e group by 1, 2""")
+@plan("stream_monitor", "window_start:s metric:s value:s n:l", f"""
+  with e as (select time_bucket(interval 1 hour, ts) as w, event_id, score, case when event_id % 13 = 0 then 'bad' end as error,
+    case when event_id % 13 <> 0 then {decide_sql('score', 0.1, 0.4)} end as decision from {SQL_EVENTS} q),
+  m as (select w, 'decision' as metric, decision as value from e union all
+    select w, 'score_bucket', least(floor(score * 10)::int, 9)::varchar from e union all select w, 'failure', error from e)
+  select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, metric, value, count(*) as n from m where value is not null group by 1, 2, 3""")
 def stream_monitor(spark, d):
-    live = rows.decided(event_stream(spark, d).withColumn("score", F.least(F.col("value") / 500.0, F.lit(1.0))), "score", 0.1, 0.4)
-    counts = run(flow.stream_monitor(live, "ts"), mode="update")
+    """Decisions, score buckets and failures per hour, the later half of the events delivered first."""
+    events = table(spark, d, "events")
+
+    def build(live):
+        live = rows.decided(live.withColumn("score", F.least(F.col("value") / 500.0, F.lit(1.0))), "score", 0.1, 0.4)
+        bad = F.col("event_id") % 13 == 0
+        live = live.withColumns({"error": F.when(bad, "bad"), "decision": F.when(~bad, F.col("decision"))})
+        return flow.stream_monitor(live, "ts", score="score", error="error")
+    middle = F.lit(events.agg(F.median("event_id")).first()[0])
+    counts = run_parts(spark, [events.where(F.col("event_id") > middle), events.where(F.col("event_id") <= middle)], build, mode="update")
     # update mode writes a window again whenever it grows; the largest count is the last one
-    return counts.groupBy(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "decision").agg(F.max("n").alias("n"))
+    return counts.groupBy(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "metric", "value").agg(F.max("n").alias("n"))
 
 
 @plan("bounded_run", "n_rows:l n_epochs:l", "select count(*) as n_rows, 3 as n_epochs from events")
 def bounded_run(spark, d):
-    """availableNow takes the three waiting files in three batches and stops."""
-    parts = split_events(spark, d)
-    live = arrivals(spark, [parts.where(F.col("split") == p).drop("split") for p in ("train", "val", "test")])
-    return run(live).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("epoch").alias("n_epochs"))
+    """availableNow takes what each of three deliveries brought in one batch, and stops."""
+    return run_parts(spark, by_split(spark, d), lambda live: live).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("epoch").alias("n_epochs"))
 
 
 @plan("replay_parity", "n_rows_compared:l n_features_compared:l n_rows_matching:l n_mismatches:l max_abs_diff:d scores_compared:l "
@@ -169,9 +223,8 @@ def bounded_run(spark, d):
 def replay_parity(spark, d):
     """Later events replayed as a stream against the batch result: features, scores, decisions."""
     parts = split_events(spark, d)
-    live = arrivals(spark, [parts.where(F.col("split") == p).drop("split") for p in ("val", "test")])
     initial = flow.warm_start_table(parts.where("split = 'train'"), EVENTS)
-    online = run(scored(flow.stream_features(live, EVENTS, initial=initial)))
+    online = run_parts(spark, by_split(spark, d, ("val", "test")), lambda live: scored(flow.stream_features(live, EVENTS, initial=initial)))
     offline = scored(history.history_features(parts, EVENTS))
     from ..functions.ordering import beside
     f = compare.feature_parity(online, offline, "event_id", feature_names(), tolerance=1e-4)

@@ -39,7 +39,11 @@ def warm_start_table(history: DataFrame, roles: Roles, as_of=None, width_seconds
 
 def stream_features(events: DataFrame, roles: Roles, keep: Sequence[str] = (), widths: dict[str, int] = WIDTHS,
                     initial: DataFrame | None = None, late: str = "accept", ttl_ms: int | None = None) -> DataFrame:
-    """History features of each event from keyed state; the event never sees itself."""
+    """History features of each event from keyed state; the event never sees itself.
+
+    Events without an entity or a time belong to no history: they pass beside the state, with no
+    earlier rows, as in the batch operator, so they are no key that all of them would share.
+    """
     require_columns(events, [roles.id, roles.time, roles.entity, roles.amount, *keep], "stream_features")
     if late not in ("accept", "route"):
         raise ValueError("late must be 'accept' or 'route'")
@@ -47,7 +51,8 @@ def stream_features(events: DataFrame, roles: Roles, keep: Sequence[str] = (), w
     time, units = time_axis(events, roles.time)
     spans = {w: s * units for w, s in widths.items()}
     extra = [c for c in keep if c != roles.id]
-    narrow = events.select(F.col(roles.entity).alias("entity"), F.col(roles.id).alias("row_id"), time.cast("long").alias("row_time"),
+    placed = F.col(roles.entity).isNotNull() & F.col(roles.time).isNotNull()
+    narrow = events.where(placed).select(F.col(roles.entity).alias("entity"), F.col(roles.id).alias("row_id"), time.cast("long").alias("row_time"),
                            F.col(roles.amount).cast("double").alias("row_amount"),
                            *[F.col(c).alias(f"k{i}") for i, c in enumerate(extra)])
     fields = [T.StructField(roles.id, events.schema[roles.id].dataType)]
@@ -56,15 +61,23 @@ def stream_features(events: DataFrame, roles: Roles, keep: Sequence[str] = (), w
     whole = [n for n in names if n == "bhv_prev_txn_count" or n.startswith("bhv_prior_count_")]
     fields += [T.StructField(n, T.LongType() if n in whole else T.DoubleType()) for n in names] + [T.StructField("is_late", T.BooleanType())]
     processor = HistoryProcessor(roles.id, extra, names, spans, units, late, ttl_ms)
-    return narrow.groupBy("entity").transformWithStateInPandas(
+    known = narrow.groupBy("entity").transformWithStateInPandas(
         processor, T.StructType(fields), "Append", "ProcessingTime" if ttl_ms else "None",
         initialState=initial.groupBy("entity") if initial is not None else None)
+    zero = [*whole, "bhv_prev_txn_count_log1p"]
+    alone = events.where(~placed).select(roles.id, *extra, *[
+        (F.lit(0) if f.name in zero else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields[1 + len(extra):-1]],
+        F.lit(False).alias("is_late"))
+    return known.unionByName(alone)
+
 
+def dedup_stream(events: DataFrame, id_col: str, delay: str = "2 days") -> DataFrame:
+    """Drop repeated ids; an id is remembered for ``delay`` after its arrival, also after a restart.
 
-def dedup_stream(events: DataFrame, id_col: str, time_col: str, delay: str = "2 days") -> DataFrame:
-    """Drop repeated ids within the watermark delay; the memory is in the checkpoint."""
-    stamped = events.withColumn("event_time", F.col(time_col).cast("timestamp"))
-    return stamped.withWatermark("event_time", delay).dropDuplicatesWithinWatermark([id_col])
+    The clock is the arrival, not the event's own time, so no event is ever too late to be taken.
+    """
+    arrived = events.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", delay)
+    return arrived.dropDuplicatesWithinWatermark([id_col]).drop("__arrived")
 
 
 def route_invalid(events: DataFrame, roles: Roles) -> tuple[DataFrame, DataFrame]:
@@ -79,24 +92,48 @@ def score_stream(events: DataFrame, roles: Roles, score: Callable[[DataFrame], D
     """Validate, drop repeats, compute features from state, score and decide.
 
     ``score`` is a batch function (model.transform, decide) that adds ``score`` and ``decision``.
-    Rejected rows come out of the same query with ``error_reason``, for split_sink.
+    Rejected rows come out of the same query with ``error_reason``, for split_sink; with
+    ``late="route"`` an event older than its entity's last one is such a row (``late``), without a score.
     """
     valid, invalid = route_invalid(events, roles)
     if dedup:
-        valid = dedup_stream(valid, roles.id, roles.time, delay)
+        valid = dedup_stream(valid, roles.id, delay)
     scored = score(stream_features(valid, roles, keep=keep, initial=initial, late=late))
     rejected = invalid.select(roles.id, *[c for c in keep if c != roles.id], "error_reason",
                               F.to_json(F.struct(*events.columns)).alias("raw_event"))
-    out = scored.withColumns({"error_reason": F.lit(None).cast("string"), "raw_event": F.lit(None).cast("string")})
+    in_time = ~F.col("is_late")
+    out = scored.withColumns({"error_reason": F.when(F.col("is_late"), "late"), "raw_event": F.lit(None).cast("string"),
+                              "score": F.when(in_time, F.col("score")), "decision": F.when(in_time, F.col("decision"))})
     return out.unionByName(rejected, allowMissingColumns=True)
 
 
 def stream_monitor(decisions: DataFrame, time_col: str, decision: str = "decision", width: str = "1 hour",
-                   delay: str = "2 days") -> DataFrame:
-    """Running counts per time window and decision."""
-    stamped = decisions.withColumn("event_time", F.col(time_col).cast("timestamp")).withWatermark("event_time", delay)
-    return stamped.groupBy(F.window("event_time", width).alias("w"), decision).agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("w.start").alias("window_start"), decision, "n")
+                   score: str | None = None, error: str | None = None, buckets: int = 10) -> DataFrame:
+    """Running counts per time window of decisions, score buckets and failures by reason.
+
+    Rows (window_start, metric, value, n) for update mode. No watermark: a late event still counts in its
+    window, and the state is a handful of rows for each window there is.
+    """
+    cells = [F.struct(F.lit("decision").alias("metric"), F.col(decision).cast("string").alias("value"))]
+    if score:
+        low = F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1))
+        cells.append(F.struct(F.lit("score_bucket").alias("metric"), low.cast("string").alias("value")))
+    if error:
+        cells.append(F.struct(F.lit("failure").alias("metric"), F.col(error).alias("value")))
+    long = decisions.select(F.window(F.col(time_col).cast("timestamp"), width).alias("w"), F.explode(F.array(*cells)).alias("c"))
+    return long.where("c.value is not null").groupBy("w", "c.metric", "c.value").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("window_start"), "metric", "value", "n")
+
+
+def stop_after_batch(query, seconds: float = 60.0) -> bool:
+    """Stop a running query between two micro-batches (G9); False if one was still running after ``seconds``."""
+    import time
+    end = time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        time.sleep(0.05)
+    idle = not (query.isActive and query.status["isTriggerActive"])
+    query.stop()
+    return idle
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -63,7 +63,7 @@ def test_duplicate_is_processed_once(spark):
     schema = "id long, time timestamp, entity long, amount double"
     import datetime as dt
     rows = [(i, dt.datetime(2024, 1, 1, 0, i), 1, 1.0) for i in range(5)]
-    live = flow.dedup_stream(arrivals(spark, [rows, rows[:3]], schema), "id", "time", "1 day")
+    live = flow.dedup_stream(arrivals(spark, [rows, rows[:3]], schema), "id", "1 day")
     out = run(flow.stream_features(live, R)).collect()
     assert sorted(r["bhv_prev_txn_count"] for r in out) == [0, 1, 2, 3, 4]
 
