@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.session import materialized
+
 EULER = 0.5772156649015329
 NODE_FIELDS = "tree int, node int, feature int, threshold double, left int, right int, size int"
 
@@ -107,3 +109,20 @@ def anomaly_score(df: DataFrame, forest: DataFrame, keep: Sequence[str], feature
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     return source.mapInPandas(run, f"{fields}, {score} double")
+
+
+def choose_forest(train: DataFrame, val: DataFrame, id_col: str, configurations: Sequence[dict], label: str = "label",
+                  features_col: str = "features") -> tuple[DataFrame, list]:
+    """The forest of the configuration with the best average precision on ``val`` (M7), and all their values.
+
+    Configurations are keyword arguments of ``train_isolation_forest``; of equals the first is taken.
+    """
+    from ..operators.ranking import ranking_metrics
+    tried = []
+    for options in configurations:
+        grown = materialized(train_isolation_forest(train, id_col, features_col, **options))
+        scored = anomaly_score(val, grown, [id_col, label], features_col)
+        value = ranking_metrics(scored, "anomaly_score", label, strict=False).first()["average_precision"]
+        tried.append((grown, options, value))
+    best = max(tried, key=lambda t: -1.0 if t[2] is None else t[2])
+    return best[0], [(options, value) for _, options, value in tried]

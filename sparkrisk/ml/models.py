@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -38,41 +39,52 @@ def train_logistic(train: DataFrame, id_col: str, label: str = "label", features
     return PipelineModel(stages=[base.fit(data), sigmoid.fit(out_of_fold)])
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """A boosted model: as trained, cut at the chosen round, and the table of rounds (stage, value, chosen)."""
+
+    model: GBTClassificationModel
+    ensemble: Ensemble
+    history: DataFrame
+
+
 def train_boosted_trees(train: DataFrame, val: DataFrame, id_col: str, label: str = "label",
                         features_col: str = "features", rounds: int = 20, depth: int = 5, step: float = 0.1,
                         subsample: float = 0.8, feature_subset: str = "0.8", balanced: bool = False, seed: int = 7,
-                        metric: Callable[[DataFrame], DataFrame] | None = None,
-                        grid: int = 5) -> tuple[GBTClassificationModel, DataFrame]:
+                        metric: Callable[[DataFrame], DataFrame] | None = None, patience: int = 50) -> Boosted:
     """Boosted trees with the number of rounds chosen by validation average precision (M5).
 
-    All candidate numbers of rounds are evaluated in one job over (stage, id, label, score) rows.
-    ``metric`` maps that table to (stage, value). Returns the model and the table of stages.
+    One training. Every number of rounds is evaluated in one job over (stage, id, label, score) rows; as when
+    training stops early, rounds after ``patience`` ones without a better value aren't looked at.
+    ``metric`` maps that table to (stage, value).
     """
     data, extra = _weighted(train, label, balanced)
     gbt = GBTClassifier(featuresCol=features_col, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
                         subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed, **extra)
     model = gbt.fit(data)
-    stages = sorted({max(1, round(rounds * (i + 1) / grid)) for i in range(grid)})
-    staged = staged_margins(val, Ensemble.of(model), stages, [id_col, label], features_col)
+    grown = Ensemble.of(model)
+    staged = staged_margins(val, grown, list(range(1, len(grown.trees) + 1)), [id_col, label], features_col)
     if metric is None:
         scored = ranking_metrics(staged, "score", label, ["stage"], strict=False).select(
             "stage", F.col("average_precision").alias("value"))
     else:
         scored = metric(staged)
-    table = scored.collect()  # one row per candidate number of rounds
-    best = max(table, key=lambda r: (r["value"] if r["value"] is not None else -1.0, -r["stage"]))["stage"]
-    if best < rounds:
-        # the same seed grows the same trees, so this is the model cut at the best round
-        model = gbt.copy({gbt.maxIter: int(best)}).fit(data)
+    table = sorted(scored.collect(), key=lambda r: r["stage"])  # one row per round
+    best, best_value = len(grown.trees), None
+    for r in table:
+        if r["value"] is not None and (best_value is None or r["value"] > best_value):
+            best, best_value = r["stage"], r["value"]
+        elif best_value is not None and r["stage"] - best >= patience:
+            break
     history = train.sparkSession.createDataFrame([(int(r["stage"]), r["value"], r["stage"] == best) for r in table],
                                                  "stage int, value double, chosen boolean")
-    return model, history
+    return Boosted(model, grown.first(int(best)), history)
 
 
 def feature_importance(model, names: Sequence[str]) -> DataFrame:
     """Features by normalised split gain (M6): (feature, importance, rank)."""
     from pyspark.sql import SparkSession, Window
-    values = model.featureImportances.toArray()
+    values = model.importances() if isinstance(model, Ensemble) else model.featureImportances.toArray()
     spark = SparkSession.getActiveSession()
     df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")  # one row per feature

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import MISSING, UNSEEN
 from ..functions.ordering import asc, exact_quantiles, global_rank
 from ..functions.roles import require_columns
+from ..functions.session import materialized
 from ..operators.compare import lookup_encode
 from ..operators.drift import melt_numeric
 
@@ -99,22 +101,41 @@ def encode_categories(df: DataFrame, vocabulary: DataFrame, categorical: Sequenc
     return out
 
 
+@dataclass(frozen=True)
+class TreePrep:
+    """What ``tree_prep`` fitted: the vocabulary of category codes, as a table, and the rest as a pipeline."""
+
+    categorical: tuple
+    vocabulary: DataFrame | None
+    pipeline: PipelineModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = encode_categories(df, self.vocabulary, self.categorical) if self.categorical else df
+        return self.pipeline.transform(out)
+
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        if self.categorical:
+            self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, categorical: Sequence[str]) -> "TreePrep":
+        vocabulary = spark.read.parquet(f"{path}/vocabulary") if categorical else None
+        return cls(tuple(categorical), vocabulary, PipelineModel.load(f"{path}/pipeline"))
+
+
 def tree_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], sentinel: float = -1e9,
-              features_col: str = "features") -> PipelineModel:
+              features_col: str = "features") -> TreePrep:
     """Category codes and numbers for trees (M2).
 
     Spark's trees do not route NULLs: a sentinel far below all values plus an indicator column
-    lets a split send missing values either way.
+    lets a split send missing values either way. Categories are their codes in sorted order, with a code
+    for missing and another for unseen values; the vocabulary stays a table, however long it is.
     """
-    stages = [FillMissing(numeric, sentinel)]
-    indexed = [f"{c}_ix" for c in categorical]
-    if categorical:
-        stages += [CategoryText(categorical),
-                   StringIndexer(inputCols=[f"{c}_s" for c in categorical], outputCols=indexed, handleInvalid="keep",
-                                 stringOrderType="alphabetAsc")]
-    inputs = [f"{c}_f" for c in numeric] + [f"{c}_na" for c in numeric] + indexed
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=features_col))
-    return Pipeline(stages=stages).fit(train)
+    vocabulary = materialized(category_vocabulary(train, categorical)) if categorical else None
+    inputs = [f"{c}_f" for c in numeric] + [f"{c}_na" for c in numeric] + [f"{c}_code" for c in categorical]
+    stages = [FillMissing(numeric, sentinel), VectorAssembler(inputCols=inputs, outputCol=features_col)]
+    return TreePrep(tuple(categorical), vocabulary, PipelineModel(stages=stages))
 
 
 class FillMissing(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -133,19 +154,6 @@ class FillMissing(Transformer, DefaultParamsReadable, DefaultParamsWritable):
                                **{f"{c}_na": F.col(c).isNull().cast("double") for c in names}})
 
 
-class CategoryText(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    inputs = Param(Params._dummy(), "inputs", "categorical columns", TypeConverters.toListString)
-
-    def __init__(self, inputs=()):
-        super().__init__()
-        self._set(inputs=list(inputs))
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        names = self.getOrDefault(self.inputs)
-        require_columns(df, names, "category_text")
-        return df.withColumns({f"{c}_s": F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in names})
-
-
 def category_frequencies(train: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """(feature, category, freq) on train rows, NULL as its own category (M3)."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(

@@ -15,7 +15,7 @@ from ..functions.session import scratch_path
 
 @dataclass(frozen=True)
 class Ensemble:
-    """Arrays per tree: feature (-1 at a leaf), threshold, left, right, value, cover."""
+    """Arrays per tree: feature (-1 at a leaf), threshold, left, right, value, cover, gain."""
 
     trees: list
     weights: list
@@ -39,9 +39,22 @@ class Ensemble:
                 feature=np.array([s["featureIndex"] for s in split], dtype=np.int64),
                 threshold=np.array([s["leftCategoriesOrThreshold"][0] if s["featureIndex"] >= 0 else 0.0 for s in split]),
                 left=g["leftChild"].to_numpy(np.int64), right=g["rightChild"].to_numpy(np.int64),
-                value=g["prediction"].to_numpy(float), cover=g["rawCount"].to_numpy(float)))
+                value=g["prediction"].to_numpy(float), cover=g["rawCount"].to_numpy(float), gain=g["gain"].to_numpy(float)))
         return cls(trees, [float(w) for w in model.treeWeights], int(model.numFeatures))
 
+    def first(self, k: int) -> "Ensemble":
+        """The ensemble after its first k trees."""
+        return Ensemble(self.trees[:k], self.weights[:k], self.n_features)
+
+    def importances(self) -> np.ndarray:
+        """Split gain times rows by feature, each tree normalised, then all of them; zeros without a split."""
+        total = np.zeros(self.n_features)
+        for t in self.trees:
+            inner = t["feature"] >= 0
+            own = np.bincount(t["feature"][inner], (t["gain"] * t["cover"])[inner], self.n_features)
+            total += own / own.sum() if own.sum() > 0 else 0
+        return total / total.sum() if total.sum() > 0 else total
+
 
 def _matrix(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return np.stack(pdf[col].to_numpy()).astype(float) if len(pdf) else np.empty((0, 0))
@@ -85,6 +98,11 @@ def staged_margins(df: DataFrame, ensemble: Ensemble, stages: list[int], keep: l
         *keep, F.element_at(F.array(*[F.lit(s) for s in wanted]), F.col("__i") + 1).alias("stage"), "score")
 
 
+def ensemble_scores(df: DataFrame, ensemble: Ensemble, keep: list[str], score: str = "score", features_col: str = "features") -> DataFrame:
+    """``keep`` columns and the probability that the whole ensemble gives (M8)."""
+    return staged_margins(df, ensemble, [len(ensemble.trees)], keep, features_col).drop("stage").withColumnRenamed("score", score)
+
+
 def _leaf_tables(tree: dict) -> tuple[list, float]:
     """Per leaf: its distinct features, their intervals and the SHAP value of every match pattern.
 

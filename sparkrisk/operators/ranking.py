@@ -77,10 +77,17 @@ def top_per_group(df: DataFrame, group: Sequence[str], magnitude: str, k: int, t
     return pre.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("__r")
 
 
-def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """Repeatable sample of n rows without replacement: the n smallest id hashes (T5)."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    return df.orderBy(h, F.col(id_col)).limit(n)
+def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42, direct_rows: int = DIRECT_SORT_ROWS) -> DataFrame:
+    """Repeatable sample of n rows without replacement: the n smallest digests of seed and id (T5).
+
+    Only the boundary is looked up; the rows are compared with it where they are, however many n is.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    keyed = df.withColumns({"__h": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), "__i": F.col(id_col)})
+    order = [asc("__h"), asc("__i")]
+    size, keys = keys_at_ranks(keyed, order, lambda rows: [min(n, rows)], direct_rows)
+    kept = keyed.where(at_or_before(order, keys[0])) if keys[0] is not None else keyed.where(F.lit(False))
+    return kept.drop("__h", "__i")
 
 
 # ---- curves -----------------------------------------------------------------------

@@ -79,8 +79,16 @@ def verify_split(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def first_n_by_time(df: DataFrame, roles: Roles, n: int) -> DataFrame:
-    """The first n rows in (time, id) order."""
-    return df.orderBy(roles.time, roles.id).limit(n)
+    """The first n rows in (time, id) order (P13); rows without a time have no place in it.
+
+    The boundary row is looked up, and every row compared with it where it is.
+    """
+    t, _ = time_axis(df, roles.time)
+    order = [asc("__t"), asc("__id")]
+    keyed = df.withColumns({"__t": t, "__id": F.col(roles.id)})
+    _, keys = keys_at_ranks(keyed, order, lambda rows: [min(n, rows)])
+    kept = keyed.where(at_or_before(order, keys[0])) if keys[0] is not None else keyed.where(F.lit(False))
+    return kept.drop("__t", "__id")
 
 
 def union_partitions(parts: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:

@@ -132,7 +132,8 @@ def top_per_group(spark, d):
     return ranking.top_per_group(df, ["event_type"], "deviation", 20, "event_id").select("event_type", "event_id", "rank")
 
 
-@plan("sample_n")
+@plan("sample_n", "event_id:l value:d", """
+  select event_id, value from events order by ('0x' || substr(md5('42:' || event_id), 1, 15))::bigint, event_id limit 5000""")
 def sample_n(spark, d):
     return ranking.sample_n(table(spark, d, "events"), "event_id", 5000).select("event_id", "value")
 
@@ -256,9 +257,16 @@ def score_correlation(spark, d):
     return ranking.score_correlation(labelled_events(spark, d), "score", "score_b").drop("pearson_p", "spearman_p")
 
 
-@plan("score_correlation_p_values")
+@plan("score_correlation_p_values", "n:l in_range:b near_normal:b", "select count(*) as n, true as in_range, true as near_normal from events")
 def score_correlation_p_values(spark, d):
-    return ranking.score_correlation(labelled_events(spark, d), "score", "score_b")
+    """With this many rows the t distribution is the normal one to three digits."""
+    got = ranking.score_correlation(labelled_events(spark, d), "score", "score_b")
+    import math
+    r = got.first()
+    normal = lambda c: math.erfc(abs(c) * math.sqrt((r["n"] - 2) / (1 - c * c)) / math.sqrt(2))
+    near = all(abs(normal(r[c]) - r[p]) < 1e-3 for c, p in (("pearson_r", "pearson_p"), ("spearman_rho", "spearman_p")))
+    inside = F.col("pearson_p").between(0, 1) & F.col("spearman_p").between(0, 1)
+    return got.select("n", inside.alias("in_range"), F.lit(near).alias("near_normal"))
 
 
 # ---- overlap ------------------------------------------------------------------------------------

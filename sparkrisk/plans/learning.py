@@ -8,7 +8,7 @@ from ..functions.session import materialized
 from ..ml import forest, models, prep, trees
 from ..operators import history, policy, ranking
 from ..operators.split import temporal_split
-from .bindings import (EVENTS, SQL_GAPS, SQL_SPLIT, labelled_documents, labelled_events, split_events, split_sql, table, with_gaps)
+from .bindings import (EVENTS, SQL_DOCUMENTS, SQL_EVENTS, SQL_GAPS, history_sql, labelled_documents, labelled_events, split_sql, table, with_gaps)
 from .registry import plan
 
 NUMERIC = ["value", "k", "hour", *history.feature_names()]
@@ -18,10 +18,12 @@ SQL_GAPPY_SPLIT = split_sql(SQL_GAPS)
 def model_table(spark, d):
     """Events with history features, a noisy label and the split; kept because fitting rereads it."""
     df = labelled_events(spark, d)
-    feats = history.history_features(df, EVENTS, keep=["ts", "value", "props", "score_b"]).withColumns({
+    feats = history.history_features(df, EVENTS, keep=["ts", "value", "props", "score_b", "event_type"]).withColumns({
         "k": F.get_json_object("props", "$.k").cast("double"), "hour": F.hour("ts").cast("double")})
     # a learnable label: amounts far above the entity's own history, with noise
     odds = F.coalesce(F.col("bhv_amt_zscore"), F.lit(0.0)) - 1.5 + F.col("value") / 100.0
+    # two categories: one with a value that no train row has, one with values missing
+    feats = feats.withColumns({"kind": F.when(F.col("event_id") % 9 != 4, F.col("event_type")), "k_text": F.col("k").cast("int").cast("string")})
     feats = feats.withColumn("label", (F.col("score_b") < 1.0 / (1.0 + F.exp(-odds))).cast("int"))
     return materialized(temporal_split(feats.drop("props"), EVENTS))
 
@@ -79,57 +81,101 @@ def anomaly_prep(spark, d):
     return prep.anomaly_prep(df, _part(df, "train"), ["value"], ["event_type"], keep=["event_id"])
 
 
+@plan("tree_features", "event_id:l kind_code:l k_code:l", f"""
+  with e as (select event_id, split, case when split <> 'train' and event_id % 50 = 0 then 'new' else event_type end as kind, json_extract_string(props, '$.k') as k
+    from {split_sql(SQL_GAPS.replace("select event_id,", "select props, event_id,"))} s),
+  v as (select kind, row_number() over (order by kind) - 1 as code, count(*) over () as n from (select distinct kind from e where split = 'train' and kind is not null) q),
+  w as (select k, row_number() over (order by k) - 1 as code, count(*) over () as n from (select distinct k from e where split = 'train' and k is not null) q)
+  select event_id, case when kind is null then (select max(n) from v) else coalesce(v.code, (select max(n) + 1 from v)) end as kind_code,
+    case when e.k is null then (select max(n) from w) else coalesce(w.code, (select max(n) + 1 from w)) end as k_code
+  from e left join v using (kind) left join w on w.k = e.k""")
+def tree_features(spark, d):
+    """Encoded rows as the trees see them: codes in sorted order, one for missing, one for unseen."""
+    df = _gappy_split(spark, d).withColumns({"k": F.get_json_object("props", "$.k"), "kind": F.when(
+        (F.col("split") != "train") & (F.col("event_id") % 50 == 0), "new").otherwise(F.col("event_type"))})
+    from pyspark.ml.functions import vector_to_array
+    x = vector_to_array("features")
+    return prep.tree_prep(_part(df, "train"), ["value"], ["kind", "k"]).transform(df).select(
+        "event_id", x[2].cast("long").alias("kind_code"), x[3].cast("long").alias("k_code"))
+
+
+CATEGORIES = ["kind", "k_text"]
+TREE_NAMES = [*NUMERIC, *[f"{c}_missing" for c in NUMERIC], *CATEGORIES]
+
+
 def _prepared(df):
-    fitted = prep.tree_prep(_part(df, "train"), NUMERIC, [])
-    return fitted.transform(df).select("event_id", "label", "split", "features"), [
-        *NUMERIC, *[f"{c}_missing" for c in NUMERIC]]
+    fitted = prep.tree_prep(_part(df, "train"), NUMERIC, CATEGORIES)
+    return materialized(fitted.transform(df).select("event_id", "label", "split", "features")), TREE_NAMES
 
 
-@plan("train_logistic")
+SQL_LABELLED = f"""(select event_id, split, (score_b < 1.0 / (1.0 + exp(-(coalesce(bhv_amt_zscore, 0) - 1.5 + value / 100.0::double))))::int as label
+  from {split_sql(f"(select h.* from {history_sql(SQL_EVENTS, 'event_id', 'user_id', 'value', 't, value, score_b')} h)")} s)"""
+IN_RANGE = lambda c: F.col(c).between(0.0, 1.0)
+
+
+@plan("train_logistic", "split:s n_rows:l n_positive:l better_than_chance:b", f"""
+  select split, count(*) as n_rows, sum(label) as n_positive, true as better_than_chance from {SQL_LABELLED} e where split <> 'train' group by split""")
 def train_logistic(spark, d):
     """Calibrated logistic model: ranking metrics on validation and test rows."""
     df = model_table(spark, d)
     ready = prep.linear_prep(_part(df, "train"), NUMERIC, []).transform(df).select("event_id", "label", "split", "features")
     model = models.train_logistic(_part(ready, "train"), "event_id", balanced=True)
-    return ranking.ranking_metrics(models.score_rows(model, ready.where("split <> 'train'")), by=["split"])
+    got = ranking.ranking_metrics(models.score_rows(model, ready.where("split <> 'train'")), by=["split"])
+    better = (F.col("average_precision") > 1.2 * F.col("n_positive") / F.col("n_rows")) & (F.col("roc_auc") > 0.6)
+    return got.select("split", "n_rows", "n_positive", better.alias("better_than_chance"))
+
 
+DOC_PARTS = "doc_id % 10 >= 7"
 
-@plan("train_logistic_documents")
+
+@plan("train_logistic_documents", "n:l n_positive:l all_in_range:b residual_near_zero:b", f"""
+  select count(*) as n, sum(label) as n_positive, true as all_in_range, true as residual_near_zero from {SQL_DOCUMENTS} d where {DOC_PARTS}""")
 def train_logistic_documents(spark, d):
+    """Fitted on seven tenths of the documents; the others are scored. On its own rows a logistic fit has a mean residual of 0."""
     df = labelled_documents(spark, d)
-    ready = prep.linear_prep(df, ["score"], ["lang", "source"]).transform(df).select("doc_id", "label", "features")
-    model = models.train_logistic(ready, "doc_id")
-    return models.score_rows(model, ready).select("doc_id", "label", "score")
+    learn, rest = df.where(f"not ({DOC_PARTS})"), df.where(DOC_PARTS)
+    fitted = prep.linear_prep(learn, ["score"], ["lang", "source"])
+    ready = lambda x: fitted.transform(x).select("doc_id", "label", "features")
+    model = models.train_logistic(ready(learn), "doc_id")
+    from pyspark.ml.functions import vector_to_array
+    own = model.stages[0].transform(ready(learn)).agg(F.avg(F.col("label") - vector_to_array("p_raw")[1])).first()[0]
+    out = models.score_rows(model, ready(rest))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_positive"), F.every(IN_RANGE("score")).alias("all_in_range"),
+                   F.lit(abs(own) < 1e-3).alias("residual_near_zero"))
 
 
 def _boosted(df):
     ready, names = _prepared(df)
-    model, stages = models.train_boosted_trees(_part(ready, "train"), _part(ready, "val"), "event_id", rounds=10, depth=4)
-    return ready, names, model, stages
+    return ready, names, models.train_boosted_trees(_part(ready, "train"), _part(ready, "val"), "event_id", rounds=10, depth=4)
 
 
-@plan("train_boosted_trees")
+@plan("train_boosted_trees", "stage:l in_range:b n_chosen:l", "select unnest(range(1, 11)) as stage, true as in_range, 1 as n_chosen")
 def train_boosted_trees(spark, d):
-    """Validation average precision by number of rounds, and the chosen one."""
-    return _boosted(model_table(spark, d))[3]
+    """Validation average precision of every number of rounds; one of them is chosen, and none is better."""
+    history = _boosted(model_table(spark, d))[2].history
+    best = history.agg(F.max("value"), F.sum(F.col("chosen").cast("int")), F.max(F.when(F.col("chosen"), F.col("value")))).first()
+    return history.select("stage", (IN_RANGE("value") & F.lit(best[0] == best[2])).alias("in_range"), F.lit(best[1]).alias("n_chosen"))
 
 
-@plan("feature_importance")
+@plan("feature_importance", "feature:s in_range:b adds_up:b", "select unnest([" + ", ".join(f"'{n}'" for n in TREE_NAMES) + "]) as feature, true as in_range, true as adds_up")
 def feature_importance(spark, d):
-    _, names, model, _ = _boosted(model_table(spark, d))
-    return models.feature_importance(model, names)
+    _, names, made = _boosted(model_table(spark, d))
+    got = models.feature_importance(made.ensemble, names)
+    total = got.agg(F.sum("importance")).first()[0]
+    return got.select("feature", IN_RANGE("importance").alias("in_range"), F.lit(abs(total - 1) < 1e-9).alias("adds_up"))
 
 
-@plan("score_rows")
+@plan("score_rows", "event_id:l split:s label:l in_range:b", f"select event_id, split, label, true as in_range from {SQL_LABELLED} e")
 def score_rows(spark, d):
-    ready, _, model, _ = _boosted(model_table(spark, d))
-    return models.score_rows(model, ready).select("event_id", "split", "label", "score")
+    ready, _, made = _boosted(model_table(spark, d))
+    return trees.ensemble_scores(ready, made.ensemble, ["event_id", "split", "label"]).select("event_id", "split", "label", IN_RANGE("score").alias("in_range"))
 
 
 @plan("explain_scores", "event_id:l n_contributions:l adds_up:b", "select event_id, 5 as n_contributions, true as adds_up from events")
 def explain_scores(spark, d):
     """Contributions plus base value give the margin of the model for every row."""
-    ready, names, model, _ = _boosted(model_table(spark, d))
+    ready, names, made = _boosted(model_table(spark, d))
+    model = made.model
     from pyspark.ml.functions import vector_to_array
     margin = model.transform(ready).select("event_id", vector_to_array("rawPrediction")[1].alias("model_margin"), "features")
     out = trees.shap_contributions(margin, trees.Ensemble.of(model), names, ["event_id", "model_margin"])
@@ -148,36 +194,53 @@ def explain_linear(spark, d):
     return out.select("event_id", F.size("contributions").alias("n_contributions"), ok.alias("adds_up"))
 
 
-@plan("top_contributors")
+@plan("top_contributors", "event_id:l position:l known:b falling:b", "select event_id, unnest([0, 1, 2]) as position, true as known, true as falling from events")
 def top_contributors(spark, d):
-    ready, names, model, _ = _boosted(model_table(spark, d))
-    out = trees.shap_contributions(ready, trees.Ensemble.of(model), names, ["event_id"], top=3)
-    return out.select("event_id", F.posexplode("contributions").alias("position", "c")).select("event_id", "position", "c.*")
+    """Three contributions a row, of known features, the largest first."""
+    ready, names, made = _boosted(model_table(spark, d))
+    out = trees.shap_contributions(ready, made.ensemble, names, ["event_id"], top=3)
+    size = lambda i: F.abs(F.get("contributions", i)["contribution"])
+    rows = out.select("event_id", F.posexplode("contributions").alias("position", "c"), "contributions")
+    return rows.select("event_id", "position", F.col("c.feature").isin(names).alias("known"),
+                       ((F.col("position") == 0) | (size(F.col("position")) <= size(F.col("position") - 1))).alias("falling"))
 
 
-@plan("isolation_forest")
+@plan("isolation_forest", "vec_id:l in_range:b", "select vec_id, true as in_range from embeddings")
 def isolation_forest(spark, d):
     df = table(spark, d, "embeddings")
     grown = materialized(forest.train_isolation_forest(df, "vec_id", "embedding", n_trees=50, feature_share=0.5))
-    return forest.anomaly_score(df, grown, ["vec_id"], "embedding")
+    scored = forest.anomaly_score(df, grown, ["vec_id"], "embedding")
+    return scored.select("vec_id", ((F.col("anomaly_score") > 0) & (F.col("anomaly_score") < 1)).alias("in_range"))
 
 
-@plan("anomaly_scores_of_events")
+@plan("anomaly_scores_of_events", "split:s n_rows:l n_positive:l in_range:b", f"""
+  select split, count(*) as n_rows, sum(label) as n_positive, true as in_range from {SQL_GAPPY_SPLIT} e where split <> 'train' group by split""")
 def anomaly_scores_of_events(spark, d):
-    """Forest on prepared events; validation and test rows scored."""
+    """Forest on prepared events, its configuration chosen on validation rows; validation and test rows scored."""
     df = _gappy_split(spark, d)
     ready = prep.anomaly_prep(df, _part(df, "train"), ["value"], ["event_type"], keep=["event_id", "label", "split"])
     ready = materialized(ready.select("event_id", "label", "split", F.array("value", "event_type_freq").alias("features")))
-    grown = materialized(forest.train_isolation_forest(_part(ready, "train"), "event_id", n_trees=50))
+    grown, _ = forest.choose_forest(_part(ready, "train"), _part(ready, "val"), "event_id", [{"n_trees": 30}, {"n_trees": 50, "sample_rows": 128}])
     scored = forest.anomaly_score(ready.where("split <> 'train'"), grown, ["event_id", "label", "split"])
-    return ranking.ranking_metrics(scored, "anomaly_score", by=["split"])
+    got = ranking.ranking_metrics(scored, "anomaly_score", by=["split"])
+    return got.select("split", "n_rows", "n_positive", IN_RANGE("average_precision").alias("in_range"))
 
 
-@plan("score_batch")
+@plan("score_batch", "n_test:l n_reported:l n_agree:l shares_add_up:b", f"""
+  select count(*) as n_test, count(*) as n_reported, count(*) as n_agree, true as shares_add_up from {SQL_LABELLED} e where split = 'test'""")
 def score_batch(spark, d):
-    """Features, model, policy from validation rows, decisions on test rows, report."""
+    """Features, model with categories, policy from validation rows, decisions on test rows, report.
+
+    The report counts every test row, and its counts are those of the thresholds applied anew to the scores.
+    """
     df = model_table(spark, d)
-    ready, _, model, _ = _boosted(df)
-    scored = materialized(models.score_rows(model, ready.where("split <> 'train'")).select("event_id", "label", "split", "score"))
+    ready, _, made = _boosted(df)
+    scored = materialized(trees.ensemble_scores(ready.where("split <> 'train'"), made.ensemble, ["event_id", "label", "split"]))
     chosen = policy.as_policy(policy.derive_policies(_part(scored, "val"), [("balanced", 0.2, 0.6)], step=0.01, id_col="event_id").first())
-    return policy.policy_report(_part(scored, "test"), approve=chosen.approve_threshold, block=chosen.block_threshold)
+    test = _part(scored, "test")
+    report = policy.policy_report(test, approve=chosen.approve_threshold, block=chosen.block_threshold)
+    low, high = F.col("score") < chosen.approve_threshold, F.col("score") >= chosen.block_threshold
+    anew = test.agg(F.count(F.lit(1)).alias("n"), F.count_if(low).alias("APPROVE"), F.count_if(~low & ~high).alias("REVIEW"), F.count_if(~low & high).alias("BLOCK")).first()
+    want = F.coalesce(*[F.when(F.col("decision") == k, F.lit(anew[k])) for k in ("APPROVE", "REVIEW", "BLOCK")])
+    return report.agg(F.lit(anew["n"]).alias("n_test"), F.sum("n").alias("n_reported"), F.sum(F.when(F.col("n") == want, F.col("n")).otherwise(0)).alias("n_agree"),
+                      (F.abs(F.sum("share") - 1) < 1e-9).alias("shares_add_up"))
