@@ -76,7 +76,8 @@ def _units(text: str) -> tuple[np.ndarray, ...]:
     """Kind (0 line, 1 window), start, end, hash of each unit of a text, and band keys (empty for windows)."""
     h, starts, ends, line = _words(text)
     if len(h) < LEAST_WORDS:
-        return (), (), (), (), ()
+        none = np.zeros(0, dtype=np.int64)  # typed: an untyped empty array would turn hashes beside it into doubles
+        return none, none, none, none, []
     first, after = _lines(h, line)
     s = _shingles(h)
     bands = []
