@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import count_if, ratio, same_within
 from ..functions.ordering import beside, join_on
+from ..functions.session import materialized
 from ..functions.roles import require_columns
 from .policy import policy_summary
 from .ranking import (BUDGETS, budget_table, curve_of_ranked, ranked_labels, ranking_metrics, threshold_metrics,
@@ -41,8 +42,8 @@ def attach_features(base: DataFrame, features: DataFrame, on: str, check: bool =
     require_columns(features, [on], "attach_features")
     if not check:
         return base.join(features, on, "left")
-    marked = features.withColumn("__found", F.lit(True))
-    per = marked.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    features = materialized(features)  # read by both checks and the join
+    per = features.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
     if per.where(F.col("n") > 1).limit(1).count():
         raise ValueError(f"attach_features: '{on}' is repeated in the features")
     if base.select(on).join(per, on, "left_anti").limit(1).count():
@@ -60,29 +61,32 @@ def join_one_to_one(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 # ---- parity ---------------------------------------------------------------------
 
-def feature_pairs(online: DataFrame, offline: DataFrame, id_col: str, names: Sequence[str],
-                  tolerance: float = 1e-6) -> DataFrame:
-    """Long comparison (id, feature, online, offline, match); ids absent offline give one row."""
+def _sides(online: DataFrame, offline: DataFrame, id_col: str, names: Sequence[str], tolerance: float) -> DataFrame:
+    """Per online row the id and ``cells``: (feature, online, offline, match), one cell without a feature if absent offline."""
     b = offline.select(F.col(id_col).alias("__id"), F.lit(True).alias("__there"),
                        *[F.col(n).cast("double").alias(f"__off_{n}") for n in names])
     both = online.join(b, F.col(id_col) == F.col("__id"), "left")
-    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("online"),
-                               F.col(f"__off_{n}").alias("offline")) for n in names])
-    absent = F.array(F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("online"),
-                              F.lit(None).cast("double").alias("offline")))
-    long = both.select(F.col(id_col), F.explode(F.when(F.col("__there"), cells).otherwise(absent)).alias("c"))
-    long = long.select(id_col, "c.*")
-    return long.withColumn("match", F.when(F.col("feature").isNull(), False).otherwise(
-        same_within(F.col("online"), F.col("offline"), tolerance)))
+
+    def cell(name, x, y, ok):
+        return F.struct(F.lit(name).cast("string").alias("feature"), x.cast("double").alias("online"), y.cast("double").alias("offline"), ok.alias("match"))
+    cells = F.array(*[cell(n, F.col(n), F.col(f"__off_{n}"), same_within(F.col(n).cast("double"), F.col(f"__off_{n}"), tolerance)) for n in names])
+    absent = F.array(cell(None, F.lit(None), F.lit(None), F.lit(False)))
+    return both.select(F.col(id_col), F.when(F.col("__there"), cells).otherwise(absent).alias("cells"))
+
+
+def feature_pairs(online: DataFrame, offline: DataFrame, id_col: str, names: Sequence[str],
+                  tolerance: float = 1e-6) -> DataFrame:
+    """Long comparison (id, feature, online, offline, match); ids absent offline give one row."""
+    return _sides(online, offline, id_col, names, tolerance).select(id_col, F.explode("cells").alias("c")).select(id_col, "c.*")
 
 
 def feature_parity(online: DataFrame, offline: DataFrame, id_col: str, names: Sequence[str],
                    tolerance: float = 1e-6) -> DataFrame:
-    """One row of parity counts."""
-    pairs = feature_pairs(online, offline, id_col, names, tolerance)
-    diff = F.when(~F.col("match"), F.abs(F.col("online") - F.col("offline")))
-    per_row = pairs.groupBy(id_col).agg(count_if(F.col("feature").isNotNull()).alias("n"),
-                                        count_if(~F.col("match")).alias("bad"), F.max(diff).alias("d"))
+    """One row of parity counts (J3), counted inside each row before anything is gathered."""
+    bad = F.filter("cells", lambda c: ~c["match"])
+    per_row = _sides(online, offline, id_col, names, tolerance).select(
+        F.size(F.filter("cells", lambda c: c["feature"].isNotNull())).alias("n"), F.size(bad).alias("bad"),
+        F.array_max(F.transform(bad, lambda c: F.abs(c["online"] - c["offline"]))).alias("d"))
     return per_row.agg(F.count(F.lit(1)).alias("n_rows_compared"), F.sum("n").alias("n_features_compared"),
                        count_if(F.col("bad") == 0).alias("n_rows_matching"), F.sum("bad").alias("n_mismatches"),
                        F.coalesce(F.max("d"), F.lit(0.0)).alias("max_abs_diff"))
@@ -224,13 +228,13 @@ def promotion_gates(comparison: DataFrame, metadata: DataFrame, champion: str, m
     have = ap.isNotNull() & F.col("roc_auc").isNotNull() & F.col("champion_average_precision").isNotNull() & F.col(
         "champion_roc_auc").isNotNull()
     gates = F.array(
-        gate("metric_availability", have, "FAIL"),
-        gate("schema_compatibility", F.col("schema_version").eqNullSafe(F.col("champion_schema_version")), "FAIL"),
-        gate("candidate_quality", ap >= MIN_AP, "FAIL"),
-        gate("no_unacceptable_degradation", delta >= -AP_DROP_REVIEW - GATE_SLACK,
+        gate("metrics_known", have, "FAIL"),
+        gate("same_schema", F.col("schema_version").eqNullSafe(F.col("champion_schema_version")), "FAIL"),
+        gate("precision_floor", ap >= MIN_AP, "FAIL"),
+        gate("precision_held", delta >= -AP_DROP_REVIEW - GATE_SLACK,
              F.when(delta >= -AP_DROP_FAIL - GATE_SLACK, "REQUIRES_REVIEW").otherwise("FAIL")),
-        gate("operational_compatibility", rise <= MAX_BLOCKED_RISE, "REQUIRES_REVIEW"),
-        gate("policy_compatibility", F.col("policy_version").eqNullSafe(F.col("champion_policy_version")), "REQUIRES_REVIEW"))
+        gate("blocking_held", rise <= MAX_BLOCKED_RISE, "REQUIRES_REVIEW"),
+        gate("same_policy", F.col("policy_version").eqNullSafe(F.col("champion_policy_version")), "REQUIRES_REVIEW"))
 
     def named(result):
         hits = F.filter("gates", lambda g: g["result"] == result)

@@ -52,7 +52,7 @@ def leakage_guard(df: DataFrame, label: str, required: Sequence[str]) -> DataFra
 
 
 def row_errors(df: DataFrame, roles: Roles, raw: str | None = None) -> DataFrame:
-    """Add ``error_reason``: the first failed check per row, or NULL.
+    """Add ``error_reason``: the code of the first failed check per row (``check:column``), or NULL.
 
     The order is fixed: label present, field absent or null, not a number, not finite, negative
     amount. When a raw JSON column is given, the label and absent keys are tested on the text.
@@ -70,20 +70,20 @@ def row_errors(df: DataFrame, roles: Roles, raw: str | None = None) -> DataFrame
         reason = F.when(cond, F.lit(text)) if reason is None else reason.when(cond, F.lit(text))
 
     if raw:
-        check(field(roles.label).isNotNull(), f"label '{roles.label}' present")
+        check(field(roles.label).isNotNull(), f"label_present:{roles.label}")
     elif roles.label in df.columns:
-        check(F.col(roles.label).isNotNull(), f"label '{roles.label}' present")
+        check(F.col(roles.label).isNotNull(), f"label_present:{roles.label}")
     for c in required:
-        check(field(c).isNull(), f"required field '{c}' is missing")
+        check(field(c).isNull(), f"field_null:{c}")
     for c in (roles.time, roles.amount):
         dtype = None if raw else df.schema[c].dataType
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
             continue
         number = as_number(field(c))
-        check(number.isNull(), f"field '{c}' must be numeric")
-        check(F.isnan(number) | F.abs(number).isin(float("inf")), f"field '{c}' must be finite")
+        check(number.isNull(), f"not_a_number:{c}")
+        check(F.isnan(number) | F.abs(number).isin(float("inf")), f"not_finite:{c}")
         if c == roles.amount:
-            check(number < 0, f"'{c}' cannot be negative")
+            check(number < 0, f"negative:{c}")
     return df.withColumn("error_reason", reason)
 
 

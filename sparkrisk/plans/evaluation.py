@@ -451,13 +451,13 @@ def compare_models(spark, d):
 
 @plan("promotion_gates", "model_id:s passed_gates:s review_gates:s failed_gates:s recommendation:s", f"""
   with g as (select model_id, unnest([
-      struct_pack(o := 1, g := 'metric_availability', r := case when average_precision is not null and roc_auc is not null then 'PASS' else 'FAIL' end),
-      struct_pack(o := 2, g := 'schema_compatibility', r := case when model_id <> 'reverse' then 'PASS' else 'FAIL' end),
-      struct_pack(o := 3, g := 'candidate_quality', r := case when average_precision >= 0.30 then 'PASS' else 'FAIL' end),
-      struct_pack(o := 4, g := 'no_unacceptable_degradation', r := case when delta_ap >= -0.005 - 1e-9 then 'PASS'
+      struct_pack(o := 1, g := 'metrics_known', r := case when average_precision is not null and roc_auc is not null then 'PASS' else 'FAIL' end),
+      struct_pack(o := 2, g := 'same_schema', r := case when model_id <> 'reverse' then 'PASS' else 'FAIL' end),
+      struct_pack(o := 3, g := 'precision_floor', r := case when average_precision >= 0.30 then 'PASS' else 'FAIL' end),
+      struct_pack(o := 4, g := 'precision_held', r := case when delta_ap >= -0.005 - 1e-9 then 'PASS'
         when delta_ap >= -0.02 - 1e-9 then 'REQUIRES_REVIEW' else 'FAIL' end),
-      struct_pack(o := 5, g := 'operational_compatibility', r := case when delta_negatives_blocked <= 0.005 then 'PASS' else 'REQUIRES_REVIEW' end),
-      struct_pack(o := 6, g := 'policy_compatibility', r := case when model_id <> 'rounded' then 'PASS' else 'REQUIRES_REVIEW' end)]) as s
+      struct_pack(o := 5, g := 'blocking_held', r := case when delta_negatives_blocked <= 0.005 then 'PASS' else 'REQUIRES_REVIEW' end),
+      struct_pack(o := 6, g := 'same_policy', r := case when model_id <> 'rounded' then 'PASS' else 'REQUIRES_REVIEW' end)]) as s
     from {compare_sql()} c)
   select model_id, {', '.join(f"coalesce(string_agg(s.g, ',' order by s.o) filter (s.r = '{r}'), '') as {n}"
                              for r, n in (('PASS', 'passed_gates'), ('REQUIRES_REVIEW', 'review_gates'), ('FAIL', 'failed_gates')))},

@@ -41,6 +41,15 @@ def narrow_schema(spark, d):
         F.sum(F.col("l_extendedprice").cast("double")).alias("sum_price"))
 
 
+@plan("sampled_schema", "name:s kind:s", """select * from (values ('event_id', 'bigint'), ('user_id', 'int'), ('event_type', 'string'), ('value', 'float')) v(name, kind)""")
+def sampled_schema(spark, d):
+    """The schema of a CSV copy, inferred from a tenth of its rows; the id stays wide."""
+    path = scratch_path(spark, "csv")
+    table(spark, d, "events").select("event_id", "user_id", "event_type", "value").write.option("header", True).csv(path)
+    fields = tables.sampled_schema(spark, path, 0.1, ids=["event_id"]).fields
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in fields], "name string, kind string")
+
+
 VALIDATE_COLUMNS = ("n_rows:l n_duplicate_ids:l n_bad_labels:l n_missing_time:l time_is_numeric:b problems:s")
 
 
@@ -146,10 +155,10 @@ def _texts(spark, d):
         amount.alias("value"), F.when(F.col("event_id") % 23 == 0, 1).cast("int").alias("label"))
 
 
-SQL_ERRORS = """case when event_id % 23 = 0 then 'label ''label'' present'
-  when event_id % 19 = 0 then 'required field ''user_id'' is missing'
-  when event_id % 11 = 0 then 'field ''value'' must be numeric' when event_id % 13 = 0 then 'field ''value'' must be finite'
-  when event_id % 17 = 0 and value > 0 then '''value'' cannot be negative' end"""
+SQL_ERRORS = """case when event_id % 23 = 0 then 'label_present:label'
+  when event_id % 19 = 0 then 'field_null:user_id'
+  when event_id % 11 = 0 then 'not_a_number:value' when event_id % 13 = 0 then 'not_finite:value'
+  when event_id % 17 = 0 and value > 0 then 'negative:value' end"""
 
 
 @plan("validate_rows", "event_id:l error_reason:s", f"select event_id, {SQL_ERRORS} as error_reason from events")
@@ -429,6 +438,17 @@ def merge_entity_state(spark, d):
                                     state.entity_state(parts.where("split <> 'train'"), EVENTS))
 
 
+@plan("merge_recent_times", "entity:l time:l n:l", f"""
+  select user_id as entity, t as time, count(*) as n from {SQL_EVENTS} s where t >= (select max(t) from {SQL_EVENTS} q) - 86400000000 group by 1, 2""")
+def merge_recent_times(spark, d):
+    """The last day's times of two parts of the table, merged, are those of the whole."""
+    e = table(spark, d, "events")
+    t, _ = time_axis(e, "ts")
+    as_of = e.agg(F.max(t)).first()[0]
+    odd, even = (state.recent_times(e.where(F.col("event_id") % 2 == k), EVENTS, as_of) for k in (1, 0))
+    return state.merge_recent_times(odd, even, as_of, 86_400_000_000)
+
+
 # ---- logs ----------------------------------------------------------------------------------------
 
 def _log(spark, d):

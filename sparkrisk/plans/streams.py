@@ -71,8 +71,8 @@ def _sometimes_bad(df):
                            "user_id": F.when(F.col("event_id") % 19 != 0, F.col("user_id"))})
 
 
-BAD_SQL = """case when event_id % 19 = 0 then 'required field ''user_id'' is missing'
-  when event_id % 17 = 0 then '''value'' cannot be negative' end"""
+BAD_SQL = """case when event_id % 19 = 0 then 'field_null:user_id'
+  when event_id % 17 = 0 then 'negative:value' end"""
 
 
 @plan("dead_letter_sink", "event_id:l error:s", f"select event_id, {BAD_SQL} as error from events where event_id % 17 = 0 or event_id % 19 = 0")

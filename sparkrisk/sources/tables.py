@@ -57,8 +57,17 @@ def narrow_types(schema: T.StructType, ids: Sequence[str] = ()) -> T.StructType:
 
 
 def narrow_schema(df: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
-    """The same rows with narrowed column types (casts in one projection)."""
-    target = narrow_types(df.schema, ids)
+    """The same rows with narrowed column types (casts in one projection).
+
+    A long column with a value that an int can't hold stays long; one aggregate over the columns tells.
+    """
+    longs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.LongType) and f.name not in ids]
+    wide = []
+    if longs:
+        ends = df.agg(*[F.min(c).alias(f"low_{c}") for c in longs], *[F.max(c).alias(f"high_{c}") for c in longs]).first()
+        fits = lambda c: ends[f"low_{c}"] is None or (ends[f"low_{c}"] >= -2 ** 31 and ends[f"high_{c}"] < 2 ** 31)
+        wide = [c for c in longs if not fits(c)]
+    target = narrow_types(df.schema, [*ids, *wide])
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
 
 

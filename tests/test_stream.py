@@ -118,5 +118,5 @@ def test_invalid_rows_reach_the_dead_letters_not_the_state(spark):
         return df.withColumns({"score": F.lit(0.5), "decision": F.lit("REVIEW")})
     live = flow.score_stream(arrivals(spark, [rows]), R, score, dedup=False)
     out = {r["id"]: r for r in run(live).collect()}
-    assert "negative" in out[2]["error_reason"] and "missing" in out[3]["error_reason"]
+    assert "negative" in out[2]["error_reason"] and "field_null" in out[3]["error_reason"]
     assert out[4]["bhv_prev_txn_count"] == 1 and out[4]["decision"] == "REVIEW" and out[4]["error_reason"] is None
