@@ -18,6 +18,7 @@ from itertools import chain, islice
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,19 +28,20 @@ LONG_PIECE = 128
 #: Characters of text and token rows handled at a time, new pieces of one recursive query, and pieces a worker keeps.
 TEXT_STEP, ROW_STEP, PIECE_STEP, KEPT = 2_000_000, 400_000, 20_000, 300_000
 
+#: key: piece * 256 + position, so one order serves all pieces; best: rank * 256 + position of the pair to contract.
 _CONTRACT = """
-with recursive parts(piece, pos, tok, step) as (
-  select piece, pos, tok, 0 from started
-  union all
-  select piece, pos, case when pos = best & 4294967295 then (best >> 32)::int else tok end, step + 1
-  from (
-    select p.*, min((m.merged::bigint << 32) | p.pos) over (partition by p.piece) as best
-    from (select *, lead(tok) over w as following, lag(pos) over w as before from parts
-          window w as (partition by piece order by pos)) p
-    left join merges m on m.a = p.tok and m.b = p.following) ranked
-  where best is not null and before is distinct from best & 4294967295
-)
-select piece, tok from parts qualify step = max(step) over (partition by piece) order by piece, pos
+with recursive parts(key, tok, step) as (
+  select key, tok, 0 from started
+  union all (
+    with paired as materialized (
+      select key, tok, step, lead(tok) over (order by key) as following, lead(key) over (order by key) as other from parts),
+    chosen as (
+      select key >> 8 as piece, min(m.merged::bigint << 8 | (key & 255)) as best, arg_min(other, m.merged::bigint << 8 | (key & 255)) as gone
+      from paired join merges m on m.a = tok and m.b = following where other >> 8 = key >> 8 group by key >> 8)
+    select key, case when key & 255 = best & 255 then (best >> 8)::int else tok end, step + 1
+    from paired join chosen on piece = key >> 8 where key <> gone)
+), last as (select key >> 8 as piece, max(step) as step from parts group by key >> 8)
+select p.key >> 8 as piece, tok from parts p join last l on l.piece = p.key >> 8 and l.step = p.step order by p.key
 """
 _DECODE = "select i.part, string_agg(v.spelt, '' order by i.pos) as spelt from ids i join vocabulary v on v.id = i.id group by i.part order by i.part"
 
@@ -90,10 +92,9 @@ class Contractor:
     def _recursive(self, pieces: list[bytes]) -> Iterator[np.ndarray]:
         lengths = np.array([len(p) for p in pieces])
         first = np.cumsum(lengths) - lengths
-        total = int(lengths.sum())
+        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
         self.db.register("started", pa.table({
-            "piece": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths),
-            "pos": (np.arange(total) - np.repeat(first, lengths)).astype(np.int32),
+            "key": np.repeat(np.arange(len(pieces), dtype=np.int64), lengths) << 8 | place,
             "tok": self.byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]}))
         got = self.db.execute(_CONTRACT).fetchnumpy()
         return iter(np.split(np.asarray(got["tok"], dtype="<u4"), np.searchsorted(got["piece"], np.arange(1, len(pieces)))))
@@ -116,10 +117,9 @@ class Contractor:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         cut = [self.cut.findall(t) for t in texts]
-        new = set(chain.from_iterable(cut)) - self.known.keys()
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = set(chain.from_iterable(cut))
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        if len(self.known) + len(new) > KEPT:  # what these texts use stays
+            self.known = {p: self.known[p] for p in set(chain.from_iterable(cut)).intersection(self.known)}
         self.learn(new)
         for pieces in cut:
             yield b"".join(map(self.known.__getitem__, pieces))
@@ -130,7 +130,7 @@ class Contractor:
         while block := [m.group() for m in islice(matches, 200_000)]:
             if len(self.known) > KEPT:
                 self.known.clear()
-            self.learn(set(block) - self.known.keys())
+            self.learn(set(block).difference(self.known))
             out.append(b"".join(map(self.known.__getitem__, block)))
         return b"".join(out)
 
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", t
             if not batch.num_rows:
                 continue
             ids, texts = batch.column(0), batch.column(1)
-            for a, b in _steps((len(t) for t in map(pa.Scalar.as_py, texts)), TEXT_STEP):
+            for a, b in _steps(pc.utf8_length(texts).to_pylist(), TEXT_STEP):
                 some = texts.slice(a, b - a).to_pylist()
                 out = [own.encode_long(some[0])] if len(some) == 1 and len(some[0]) > TEXT_STEP else list(own.encode(some))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(out, pa.binary())], names=["id", "ids"])
