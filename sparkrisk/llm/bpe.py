@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -51,11 +52,37 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+_BEYOND = re.compile("[^\x00-\u024f]")
+
+
+def _plain(pattern: str) -> re.Pattern | None:
+    """The pattern for texts without a character that ``_BEYOND`` finds, in the built-in engine, which is faster.
+
+    Letters, numbers and white space are listed one by one. None if the pattern has other escapes.
+    """
+    sets = {e: "".join(re.escape(chr(c)) for c in range(0x250) if regex.match(e, chr(c))) for e in (r"\p{L}", r"\p{N}", r"\s")}
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        escape = next((e for e in sets if pattern.startswith(e, at)), None)
+        if escape:
+            out.append(sets[escape] if inside else f"[{sets[escape]}]")
+        elif pattern.startswith(r"\S", at) and not inside:
+            escape = r"\S"
+            out.append(f"[^{sets[r'\s']}]")
+        elif pattern[at] == "\\":
+            return None
+        else:
+            inside = pattern[at] == "[" or inside and pattern[at] != "]"
+            out.append(pattern[at])
+        at += len(escape or " ")
+    return re.compile("".join(out))
+
+
 class Contractor:
     """The merge table in DuckDB, and the pieces met so far with their ids (little-endian 32 bits)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.cut, self.known = ranks, regex.compile(pattern), {}
+        self.ranks, self.cut, self.plain, self.known = ranks, regex.compile(pattern), _plain(pattern), {}
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a, b, merged = (np.array(c, dtype=np.int32) for c in (zip(*rows) if rows else ((), (), ())))
@@ -116,7 +143,7 @@ class Contractor:
                 self.known[piece] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [self.cut.findall(t) for t in texts]
+        cut = [(self.cut if self.plain is None or _BEYOND.search(t) else self.plain).findall(t) for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.known)
         if len(self.known) + len(new) > KEPT:  # what these texts use stays
             self.known = {p: self.known[p] for p in set(chain.from_iterable(cut)).intersection(self.known)}

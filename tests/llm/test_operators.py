@@ -217,6 +217,15 @@ def test_bpe_small_steps(monkeypatch):
     assert list(own.decode(got)) == [t.encode() for t in texts]
 
 
+def test_plain_pattern_cuts_alike():
+    plain = bpe._plain(public_tokenizers.PATTERN)
+    import regex
+    every = [chr(c) for c in range(0x250)]
+    texts = ["a" + c + "b " + c + "1" + c + c + " 's" for c in every] + ["".join(R.choices(every + list(" ab1\n'") * 40, k=400)) for _ in range(200)]
+    assert all(plain.findall(t) == regex.findall(public_tokenizers.PATTERN, t) for t in texts)
+    assert bpe._plain(r"\w+") is None
+
+
 def test_word_pieces(spark):
     vocabulary = set(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
