@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.session import materialized
 from .graph import components
@@ -70,16 +70,19 @@ def _compare(cosine: float):
     return block
 
 
-def _pivots(points: DataFrame, sizes: list, seed_order) -> dict:
-    """At most MOST_PIVOTS unit vectors of each label and length: those of the least hash."""
-    from pyspark.sql import Window
-    wanted = {(r["label"], r["width"]): min(MOST_PIVOTS, -(-r["n"] // ROWS_PER_PIVOT)) for r in sizes}
-    first = F.row_number().over(Window.partitionBy("label", "width").orderBy(seed_order, "node"))
-    chosen = points.select("label", "width", "node", "v", first.alias("k")).where(F.col("k") <= MOST_PIVOTS).collect()
+def _pivots(points: DataFrame) -> dict:
+    """Unit vectors of each label and length that has more than ROWS_PER_PIVOT points: those of the least hash.
+
+    One for so many points, MOST_PIVOTS at most; the driver holds no more than one in ROWS_PER_PIVOT of all
+    points. Smaller labels are one cell and need none.
+    """
+    large = points.groupBy("label", "width").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_PIVOT)
+    order = F.row_number().over(Window.partitionBy("label", "width").orderBy(F.xxhash64("v"), "node"))
+    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / ROWS_PER_PIVOT))
+    first = points.join(large, ["label", "width"]).withColumn("k", order).where(F.col("k") <= MOST_PIVOTS)
     out: dict = {}
-    for r in sorted(chosen, key=lambda r: r["k"]):
-        if r["k"] <= wanted[r["label"], r["width"]]:
-            out.setdefault((r["label"], r["width"]), []).append(r["v"])
+    for r in first.where(F.col("k") <= wanted).select("label", "width", "k", "v").orderBy("label", "width", "k").collect():
+        out.setdefault((r["label"], r["width"]), []).append(r["v"])
     return {key: _unit(pd.Series(v)) for key, v in out.items()}
 
 
@@ -101,8 +104,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_i
     points = (rows.where("v is not null").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
               .withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("v")))
     points = materialized(points)
-    sizes = points.groupBy("label", "width").agg(F.count("*").alias("n")).collect()  # one row per label and length
-    pivots = _pivots(points, sizes, F.xxhash64("v"))
+    pivots = _pivots(points)
     placed = materialized(points.select("label", "width", "node", "copies", "v").mapInPandas(
         _assign(pivots, float(np.sqrt(2 - 2 * cosine))), "label int, width int, node long, copies long, v array<double>, cell int, home boolean"))
     cells = placed.groupBy("label", "width", "cell").agg(F.count_if("home").alias("own"), F.count("*").alias("all"))
