@@ -128,9 +128,12 @@ def units(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, at long, text_key long, kind int, start long, end long, hash long, bands array<long>")
 
 
-def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """``hash`` and ``set`` (sorted shingle hashes) of the lines in ``wanted`` (text_key, hash)."""
-    listed = wanted.groupBy("text_key").agg(F.collect_set("hash").alias("hashes"))
+def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``hash`` and ``set`` (sorted shingle hashes) of the lines in ``wanted`` (hash, text_key, id).
+
+    The id belongs to the key, so that of many copies of a text only the one that is asked for is read again.
+    """
+    listed = wanted.groupBy("text_key", F.col("id").alias("of")).agg(F.collect_set("hash").alias("hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,8 +149,9 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                         sets.append(np.unique(_shingles(h[a:b])).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "set"])
 
-    texts = docs.select(F.xxhash64(whole_text(text)).alias("text_key"), whole_text(text).alias("text"))
-    return texts.join(listed, "text_key").select("text", "hashes").mapInArrow(run, "hash long, set array<long>").dropDuplicates(["hash"])
+    texts = docs.select(F.xxhash64(whole_text(text)).alias("key"), F.col(f"`{id}`").cast("long").alias("id"), whole_text(text).alias("text"))
+    same = (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("of"))
+    return texts.join(listed, same).select("text", "hashes").mapInArrow(run, "hash long, set array<long>").dropDuplicates(["hash"])
 
 
 def _by_prefix(sets: DataFrame) -> DataFrame:
@@ -169,15 +173,15 @@ def _pairs(members: DataFrame, key: str) -> DataFrame:
     return x.join(y, key).where("a < b").select("a", "b")
 
 
-def _similar(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
+def _similar(docs: DataFrame, id: str, text: str, rows: DataFrame) -> DataFrame:
     """Edges between hashes of different lines that are similar enough."""
     keyed = rows.where("kind = 0").select("hash", F.explode("bands").alias("band"))
     shared = materialized(keyed.groupBy("band").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("band"))
-    met = materialized(rows.where("kind = 0").select("hash", "text_key", F.explode("bands").alias("band")).join(shared, "band")
-                       .groupBy("band", "hash").agg(F.min("text_key").alias("text_key")))
+    met = materialized(rows.where("kind = 0").select("hash", F.struct("id", "text_key").alias("place"), F.explode("bands").alias("band"))
+                       .join(shared, "band").groupBy("band", "hash").agg(F.min("place").alias("place")))
     sizes = materialized(met.groupBy("band").agg(F.count("*").alias("n")))
     met = materialized(met.join(sizes, "band"))
-    sets = materialized(_sets(docs, text, met.groupBy("hash").agg(F.min("text_key").alias("text_key"))))
+    sets = materialized(_sets(docs, id, text, met.groupBy("hash").agg(F.min("place").alias("place")).select("hash", "place.*")))
     full = met.where(F.col("n") > BUCKET).select("hash").distinct()
     pairs = _pairs(met.where(F.col("n") <= BUCKET), "band").union(_by_prefix(sets.join(full, "hash"))).distinct()
     both = pairs.join(sets.select(F.col("hash").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("hash").alias("b"), F.col("set").alias("sb")), "b")
@@ -194,7 +198,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     a line cost one row each and no pair.
     """
     rows = materialized(units(docs, id, text))
-    near = components(_similar(docs, text, rows))
+    near = components(_similar(docs, id, text, rows))
     near = near.select(F.lit(0).alias("kind"), F.col("node").alias("hash"), F.col("component").alias("cluster"))
     once = rows.groupBy("kind", "hash").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min(F.struct(F.col("id").isNull(), "id", "at", "start")).alias("first"))
     once = once.join(near, ["kind", "hash"], "left").withColumn("similar", F.col("cluster").isNotNull()).withColumn("cluster", F.coalesce("cluster", "hash"))

@@ -53,7 +53,19 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-@query("op6_embedding_near_dedup")
+OP6_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.93),
+  reach(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from reach r join links l on l.x = r.y),
+  lowest as (select x, min(y) as low from reach group by x)
+select vec_id, (select count(*) from links l where l.x = vec_id) as n_links, low as component_id, vec_id = low as kept
+from embeddings join lowest on x = vec_id"""
+
+
+@query("op6_embedding_near_dedup", OP6_SQL)
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metricjoin.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -72,7 +84,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(read(spark, sf_dir, "documents"))
 
 
-@query("op9_exact_top_k")
+OP9_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0)::bigint as score
+    from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 10"""
+
+
+@query("op9_exact_top_k", OP9_SQL)
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 

@@ -76,7 +76,7 @@ class Automaton:
 
     def total(self, words: list[str]) -> int:
         known = self.known
-        new = set(words) - known.keys()
+        new = set(words).difference(known)
         if len(known) + len(new) > KEPT:
             known.clear()
             new = set(words)
@@ -103,7 +103,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_
         own, cut = _automaton(vocabulary.value), regex.compile(pattern)
         for batch in batches:
             counts = []
-            for text_ in map(pa.Scalar.as_py, batch.column(1)):
+            for value in batch.column(1):
+                text_ = value.as_py()
                 if len(text_) <= TEXT_STEP:
                     counts.append(own.total(cut.findall(text_)))
                 else:
