@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_RUNS: list[str] = []
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="run-")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -28,12 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="run-")
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder (stream checkpoints, intermediate tables)."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    below = _RUNS[-1] if _RUNS else shared_dir(spark).rstrip("/")
+    return f"{below}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Put everything written meanwhile into one folder of the shared one, and drop that at the end.
+
+    Results that read from it must be written elsewhere, or collected, before the block ends.
+    """
+    path = scratch_path(spark, "run")
+    _RUNS.append(path)
+    try:
+        yield path
+    finally:
+        _RUNS.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialized(df: DataFrame) -> DataFrame:
