@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -61,13 +61,15 @@ def fingerprint(text: str, n: int = SHINGLE_WORDS) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * totals > count))
 
 
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.Series(np.array([fingerprint(t) for t in batch], dtype=np.uint64).astype(np.int64))
+        yield pa.array(np.array([fingerprint(t.as_py()) for t in batch], dtype=np.uint64).astype(np.int64))
+        del batch
+        pa.default_memory_pool().release_unused()  # an idle worker stays alive, its buffers needn't
 
 
 def fingerprint_column(text: Column) -> Column:
-    return F.pandas_udf(_fingerprints, T.LongType())(text)
+    return F.arrow_udf(_fingerprints, T.LongType())(text)
 
 
 def hex16(fp: Column) -> Column:
