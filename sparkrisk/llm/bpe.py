@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from .tables import whole_text
 
 LONG_PIECE = 128
-#: Characters of text and token rows handled at a time, new pieces of one recursive query, and pieces a worker keeps.
-TEXT_STEP, ROW_STEP, PIECE_STEP, KEPT = 2_000_000, 400_000, 20_000, 300_000
+#: Characters of text and token rows handled at a time, squared bytes of the new pieces of one recursive query
+#: (what its steps may add up to), and pieces a worker keeps.
+TEXT_STEP, ROW_STEP, PIECE_STEP, KEPT = 1_500_000, 250_000, 1_500_000, 250_000
 
 #: key: piece * 256 + position, so one order serves all pieces; best: rank * 256 + position of the pair to contract.
 _CONTRACT = """
@@ -86,7 +87,7 @@ class Contractor:
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a, b, merged = (np.array(c, dtype=np.int32) for c in (zip(*rows) if rows else ((), (), ())))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         self.db.register("given", pa.table({"a": a, "b": b, "merged": merged}))
         self.db.execute("create table merges as select * from given")
         # bytes as the characters 256 to 511: any bytes then make a valid string
@@ -137,8 +138,8 @@ class Contractor:
                 self.known[piece] = np.array(self._heap(data), dtype="<u4").tobytes()
             else:
                 new.append((piece, data))
-        for at in range(0, len(new), PIECE_STEP):
-            part = new[at:at + PIECE_STEP]
+        for a, b in _steps([len(data) ** 2 for _, data in new], PIECE_STEP) if new else ():
+            part = new[a:b]
             for (piece, _), ids in zip(part, self._recursive([data for _, data in part])):
                 self.known[piece] = ids.tobytes()
 
@@ -198,14 +199,7 @@ def _ranks_file(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id and ``ids``: the text's token ids as little-endian unsigned 32-bit integers, one binary per row.
-
-    Same ids as tiktoken's ``encode_ordinary`` with these ranks and this pattern; no special tokens. Null
-    counts as empty, an empty text has no ids, repeated rows are encoded each. The rank file is read on the
-    driver and travels with the tasks (under 1 MB). No shuffle; a worker holds a step of texts and at most
-    KEPT pieces.
-    """
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id: str, text: str, decoded: str | None) -> DataFrame:
     packed = docs.sparkSession.sparkContext.broadcast(_ranks_file(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +211,30 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", t
             for a, b in _steps(pc.utf8_length(texts).to_pylist(), TEXT_STEP):
                 some = texts.slice(a, b - a).to_pylist()
                 out = [own.encode_long(some[0])] if len(some) == 1 and len(some[0]) > TEXT_STEP else list(own.encode(some))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(out, pa.binary())], names=["id", "ids"])
+                columns, names = [ids.slice(a, b - a), pa.array(out, pa.binary())], ["id", "ids"]
+                if decoded:
+                    columns, names = [*columns, pa.array(list(own.decode(out)), pa.binary())], [*names, decoded]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kept = docs.select(F.col(f"`{id}`").alias("id"), whole_text(text).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id)
+    return kept.mapInArrow(run, f"id {kind}, ids binary" + (f", `{decoded}` binary" if decoded else "")).withColumnRenamed("id", id)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The id and ``ids``: the text's token ids as little-endian unsigned 32-bit integers, one binary per row.
+
+    Same ids as tiktoken's ``encode_ordinary`` with these ranks and this pattern; no special tokens. Null
+    counts as empty, an empty text has no ids, repeated rows are encoded each. The rank file is read on the
+    driver and travels with the tasks (under 1 MB). No shuffle; a worker holds a step of texts and at most
+    KEPT pieces.
+    """
+    return _encoded(docs, ranks_path, pattern, id, text, None)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text", to: str = "decoded") -> DataFrame:
+    """``encode``, and what ``decode`` makes of its ids as column ``to``, in one pass by one worker a task."""
+    return _encoded(docs, ranks_path, pattern, id, text, to)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

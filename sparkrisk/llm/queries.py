@@ -36,8 +36,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_byte_level_bpe")
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks, public_tokenizers.PATTERN).select(
+    return bpe.round_trip(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -200,6 +200,8 @@ def test_bpe_round_trip(spark, monkeypatch):
     got = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).collect()
     want = [(d, np.array(library.encode_ordinary(t or ""), dtype="<u4").tobytes(), (t or "").encode()) for d, t in rows]
     assert sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got), key=str) == sorted(want, key=str)
+    once = bpe.round_trip(docs(spark, rows), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in once), key=str) == sorted(want, key=str)
     assert bpe.encode(docs(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
