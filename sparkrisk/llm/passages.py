@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.session import materialized
 from .graph import components
-from .tables import whole_text
+from .tables import short_batches, whole_text
 
 SHINGLE, LEAST_WORDS, WINDOW, ANCHORS, JACCARD = 5, 24, 24, 26, 0.8
 #: Two rows a band: a pair at 0.8 meets in one of six bands with probability 1 - (1 - 0.64) ** 6 = 0.998.
@@ -197,7 +197,8 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     come last; a repeated row is a document of its own. Lines are joined through their hashes, so copies of
     a line cost one row each and no pair.
     """
-    rows = materialized(units(docs, id, text))
+    with short_batches(docs.sparkSession):
+        rows = materialized(units(docs, id, text))
     near = components(_similar(docs, id, text, rows))
     near = near.select(F.lit(0).alias("kind"), F.col("node").alias("hash"), F.col("component").alias("cluster"))
     once = rows.groupBy("kind", "hash").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min(F.struct(F.col("id").isNull(), "id", "at", "start")).alias("first"))

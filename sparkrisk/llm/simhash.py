@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.session import materialized
 from .graph import components
-from .tables import whole_text
+from .tables import short_batches, whole_text
 
 SHINGLE_WORDS, SEED, DISTANCE = 3, 42, 2
 #: Pairs that one key may give; the fingerprints of fuller keys are linked by ``_linked_by_neighbours``, as exactly.
@@ -124,7 +124,8 @@ def links(fps: DataFrame, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
 
 def _grouped(docs: DataFrame, id: str, text: str, carry: list[str]) -> DataFrame:
     """Each row's ``__id``, ``fp``, ``component`` (the least fingerprint of it) and ``component_id``."""
-    base = materialized(docs.select(F.col(f"`{id}`").alias("__id"), fingerprint_column(whole_text(text)).alias("fp"), *carry))
+    with short_batches(docs.sparkSession):
+        base = materialized(docs.select(F.col(f"`{id}`").alias("__id"), fingerprint_column(whole_text(text)).alias("fp"), *carry))
     fps = materialized(base.groupBy("fp").agg(F.min("__id").alias("low")))
     found = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     placed = materialized(fps.join(found, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -17,3 +20,16 @@ def whole_text(column: str = "text") -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so extra columns of the caller can't clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is executed meanwhile: texts can be long, and a batch is
+    held by the JVM and by Python at once. The session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
