@@ -26,7 +26,9 @@ PATTERNS = {
 }
 #: A document without it has no match; a plain search is much cheaper than the pattern.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CONTEXT_WORDS, PREFIX_LETTERS, LEAST_DOCS, THRESHOLD = 5, 4, 2, 0.8
+CONTEXT_WORDS, PREFIX_LETTERS, THRESHOLD = 5, 4, 0.8
+#: What a pair seen in one document only counts for: one sighting may be chance (rule of succession, 1 of 1 + 2).
+ONCE = 1 / 3
 _BLOCK = 256
 
 
@@ -124,16 +126,17 @@ def _stem(term: Column) -> Column:
 def _disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``entity``, ``term``, ``removed``: words that say too much of an entity, from counts of all documents.
 
-    Counts are documents: with the entity, with the word, with the word beside the entity. A pair needs
-    ``LEAST_DOCS`` documents, else it says nothing of the two. Everything is counted before it is shuffled.
+    Counts are documents: with the entity, with the word, with the word beside the entity. A pair in a single
+    document counts as ``ONCE``, so it is over the threshold if the corpus is large enough for its word to be
+    telling: for a word and an entity that occur once each, from ONCE ** (1 / (THRESHOLD - 1)) = 243 documents
+    on. Everything is counted before it is shuffled.
     """
     n = found.count()
     pairs = F.array_distinct(F.flatten(F.transform("near", lambda w: F.array(
         F.struct(w["entity"].alias("entity"), w["term"].alias("term")), F.struct(w["entity"].alias("entity"), _stem(w["term"]).alias("term"))))))
-    pairs = (found.where(F.size("near") > 0).select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
-             .where(F.col("both") >= LEAST_DOCS))
-    pairs = materialized(pairs)
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= LEAST_DOCS)
+    pairs = (found.where(F.size("near") > 0).select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both")))
+    pairs = materialized(pairs.withColumn("both", F.when(F.col("both") > 1, F.col("both")).otherwise(ONCE)))
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     words = F.filter(F.split(F.lower(whole_text(text)), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
     words = docs.select(F.array_distinct(words).alias("w")).select(F.explode(F.concat("w", F.array_distinct(F.transform("w", _stem)))).alias("term"))
     words = words.groupBy("term").agg(F.count("*").alias("with_term"))

@@ -346,6 +346,14 @@ def test_disclosing_words(spark):
     assert clean[200].text.startswith("alone once [email] hapax")
 
 
+def test_words_that_one_document_alone_ties_to_an_entity(spark):
+    rows = [(i, f"the plain text {words(5)}") for i in range(400)] + [(500, "the plain xylophonist only@mail.org text")]
+    found = {r.doc_id: r for r in pii.find(docs(spark, rows)).collect()}
+    got = {rows[-1][1][s.start:s.end] for s in found[500].spans if pii.KINDS[s.kind] == "term"}
+    assert got == {"xylophonist"} and found[500].n_removed == 1
+    assert not any(pii.KINDS[s.kind] == "term" for i in range(400) for s in found[i].spans)
+
+
 def test_sanitised_text_has_no_base_span_left_whole(spark):
     rows = private_rows()
     want = {}
