@@ -1,7 +1,8 @@
 """Repeated paragraphs and passages: MinHash banding, exact Jaccard, removals by component.
 
-A paragraph is a line of at least LEAST_WORDS words; near-duplicates of it are found by banding its MinHash
-signature and verified by the Jaccard similarity of their sets of five-word shingles. A passage copied into
+A paragraph is a line, or, where text is wrapped, the lines between two blank ones; near-duplicates of it are
+found by banding its MinHash signature and verified by the Jaccard similarity of their sets of five-word
+shingles. Those of fewer than SHINGLE words have no shingle and are compared as they are. A passage copied into
 the middle of a line is no paragraph, so windows of WINDOW words are compared too, as they are. They begin
 at anchors, words whose hash is the least of ANCHORS neighbours, so the same passage has the same windows
 wherever it stands: every run of ANCHORS + WINDOW - 1 words holds at least one.
@@ -20,7 +21,9 @@ from ..functions.session import materialized
 from .graph import components
 from .tables import short_batches, whole_text
 
-SHINGLE, LEAST_WORDS, WINDOW, ANCHORS, JACCARD = 5, 24, 24, 26, 0.8
+SHINGLE, LEAST_WORDS, WINDOW, ANCHORS, JACCARD = 5, 1, 24, 26, 0.8
+#: Text is wrapped if all lines between two blank ones are shorter than this, in words.
+WRAPPED = 24
 #: Two rows a band: a pair at 0.8 meets in one of six bands with probability 1 - (1 - 0.64) ** 6 = 0.998.
 BANDS, ROWS = 6, 2
 #: Members that a band's bucket is joined with itself at; fuller ones go through ``_by_prefix``, which misses nothing.
@@ -57,36 +60,38 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return _mixed(sum(h[k:len(h) - SHINGLE + 1 + k] * p[k] for k in range(SHINGLE)))
 
 
-def _lines(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and word after the last of each line that is long enough."""
+def _paragraphs(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word after the last, and hash of each line that has words, then of each wrapped paragraph."""
     first = np.flatnonzero(np.diff(line, prepend=-1))
     after = np.append(first[1:], len(line))
-    long = after - first >= LEAST_WORDS
-    return first[long], after[long]
-
-
-def _line_hash(h: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
-    place = np.arange(len(h)) - np.repeat(first, after - first) if len(h) == int((after - first).sum()) else None
-    if place is not None:
-        return _mixed(np.add.reduceat(h * _powers(int((after - first).max()))[place], first))
-    return np.array([_mixed((h[a:b] * _powers(b - a)).sum(dtype=np.uint64, keepdims=True))[0] for a, b in zip(first, after)], dtype=np.uint64)
+    place = np.arange(len(h)) - np.repeat(first, after - first)
+    hashes = np.add.reduceat(h * _powers(int((after - first).max()))[place], first)
+    # lines without words count too, so blocks begin where the number of the line goes up by more than one
+    block = np.flatnonzero(np.diff(line[first], prepend=-2) > 1)
+    beyond = np.append(block[1:], len(first))
+    wrapped = (beyond - block > 1) & (np.maximum.reduceat(after - first, block) < WRAPPED)
+    begin, end = first[block[wrapped]], after[beyond[wrapped] - 1]
+    joined = np.array([(h[a:b] * _powers(b - a)).sum(dtype=np.uint64) for a, b in zip(begin, end)], dtype=np.uint64)
+    return np.concatenate([first, begin]), np.concatenate([after, end]), _mixed(np.concatenate([hashes, joined]))
 
 
 def _units(text: str) -> tuple[np.ndarray, ...]:
     """Kind (0 line, 1 window), start, end, hash of each unit of a text, and band keys (empty for windows)."""
     h, starts, ends, line = _words(text)
-    if len(h) < LEAST_WORDS:
+    if len(h) < LEAST_WORDS:  # no words
         none = np.zeros(0, dtype=np.int64)  # typed: an untyped empty array would turn hashes beside it into doubles
         return none, none, none, none, []
-    first, after = _lines(h, line)
+    first, after, own = _paragraphs(h, line)
     s = _shingles(h)
-    bands = []
-    if len(first):
-        bounds = np.stack([first, after - SHINGLE + 1], axis=1).ravel()
+    bands = [np.zeros(0, dtype=np.int64)] * len(first)
+    long = np.flatnonzero(after - first >= SHINGLE)
+    if len(long):
+        bounds = np.stack([first[long], after[long] - SHINGLE + 1], axis=1).ravel()
         padded = np.append(s, np.full(SHINGLE + 1, np.iinfo(np.uint64).max, dtype=np.uint64))
         least = [np.minimum.reduceat(_mixed(padded * odd), bounds)[::2] for odd in _ODD]
         keys = [_mixed(least[b * ROWS] * _STEP + least[b * ROWS + 1] * np.uint64(3) + np.uint64(b)) for b in range(BANDS)]
-        bands = list(np.stack(keys, axis=1).astype(np.int64))
+        for k, key in zip(long, np.stack(keys, axis=1).astype(np.int64)):
+            bands[k] = key
     pair = _mixed(h[:-1] + np.uint64(3) * h[1:])
     at = np.zeros(0, dtype=np.int64)
     if len(pair) >= ANCHORS:
@@ -97,7 +102,7 @@ def _units(text: str) -> tuple[np.ndarray, ...]:
     kind = np.concatenate([np.zeros(len(first), dtype=np.int32), np.ones(len(at), dtype=np.int32)])
     begin = np.concatenate([starts[first], starts[at]])
     end = np.concatenate([ends[after - 1], ends[at + WINDOW - 1]])
-    hashes = np.concatenate([_line_hash(h, first, after) if len(first) else np.zeros(0, np.uint64), windows]).astype(np.int64)
+    hashes = np.concatenate([own, windows]).astype(np.int64)
     return kind, begin, end, hashes, [*bands, *[np.zeros(0, dtype=np.int64)] * len(at)]
 
 
@@ -140,9 +145,9 @@ def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
             hashes, sets = [], []
             for t, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, _, _, line = _words(t)
-                first, after = _lines(h, line)
+                first, after, own = _paragraphs(h, line)
                 want = set(want)
-                for key, a, b in zip(_line_hash(h, first, after).astype(np.int64).tolist() if len(first) else (), first, after):
+                for key, a, b in zip(own.astype(np.int64).tolist(), first, after):
                     if key in want:
                         want.discard(key)
                         hashes.append(key)
@@ -193,7 +198,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     """One row per repeated paragraph or window: id, ``start``, ``end`` (code points), ``kind``, ``cluster_id``, ``removed``.
 
     Only what two or more documents share is listed; a cluster's first occurrence (least id, then place) is
-    the one that isn't removed. Null, empty and short texts have no units. Rows without an id take part and
+    the one that isn't removed. Texts without words have no units. Rows without an id take part and
     come last; a repeated row is a document of its own. Lines are joined through their hashes, so copies of
     a line cost one row each and no pair.
     """

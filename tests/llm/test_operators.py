@@ -482,6 +482,20 @@ def test_repeated_passages(spark):
     assert passages.repeated(docs(spark, [])).count() == 0
 
 
+def test_short_lines_and_wrapped_paragraphs(spark):
+    short, tiny, wrapped, near = "all rights of this text are reserved", "Read more", words(44).split(), words(20).split()
+    fill = lambda: words(12)
+    wrap = lambda n: "\n".join(" ".join(wrapped[i:i + n]) for i in range(0, len(wrapped), n))
+    rows = [(1, f"{fill()}\n{short}\n{fill()}"), (2, f"{fill()}\n{short.title()}"), (3, f"{tiny}\n{fill()}"), (4, tiny), (5, f"{fill()}\n\n{wrap(9)}\n\n{fill()}"),
+            (6, f"{wrap(13)}\n \n{fill()}"), (7, " ".join(near)), (8, " ".join([*near[:-1], "changed"])), (9, fill()), (10, "\n\n"), (11, "alone")]
+    texts = dict(rows)
+    got = {(r.doc_id, texts[r.doc_id][r.start:r.end]): r for r in passages.repeated(docs(spark, rows)).where("kind = 'paragraph'").collect()}
+    want = [(1, short), (2, short.title()), (3, tiny), (4, tiny), (5, wrap(9)), (6, wrap(13)), (7, texts[7]), (8, texts[8])]
+    assert set(got) == set(want)
+    for a, b in zip(want[::2], want[1::2]):
+        assert got[a].cluster_id == got[b].cluster_id and (got[a].removed, got[b].removed) == (False, True)
+
+
 @pytest.mark.parametrize("bucket", [0, 48])
 def test_similar_lines_by_brute_force(spark, bucket, monkeypatch):
     """Full buckets take the way by prefixes; either finds what brute force finds among lines that share a band."""
