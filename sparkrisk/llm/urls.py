@@ -24,8 +24,7 @@ UNWANTED = ("cheap-pills spam-farm casino-bonus free-viagra adult-cams xxx-video
             "poker-win bet-now hot-singles crack-keygen warez-download torrent-hub clickbait-daily lottery-winner weight-loss-pills "
             "get-rich-quick miracle-cure fake-followers link-farm seo-spam phishing-login escort-girls gambling-online pills-shop").split()
 WANTED = ("news library university museum weather science history recipes gardening travel city-council school hospital docs "
-          "encyclopedia journal archive music sports cinema theatre astronomy biology chemistry physics mathematics language books "
-          "theren ththan thering therou ththed tionsh ththble").split()
+          "encyclopedia journal archive music sports cinema theatre astronomy biology chemistry physics mathematics language books").split()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

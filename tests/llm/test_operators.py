@@ -547,6 +547,10 @@ def test_url_rules_and_scores(spark):
     assert urls.judge(pages.limit(0), model).count() == 0
 
 
+def test_labelled_words_are_not_those_of_the_generated_pages():
+    assert not {"theren", "ththan", "thering", "therou", "ththed", "tionsh", "ththble"} & {*urls.WANTED, *urls.UNWANTED}
+
+
 # ---- the registered queries and the pipeline ------------------------------------------------------------------
 
 def test_queries_are_listed():
