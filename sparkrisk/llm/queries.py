@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, metricjoin, mixing, passages, pii, simhash, topk, toxicity, urls, wordpieces
+from . import bpe, codebooks, collocations, licences, metricjoin, mixing, passages, pii, simhash, topk, toxicity, urls, wordpieces
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,66 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filters")
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)))
+
+
+OP11_SQL = r"""
+with d as (select doc_id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+  pieces as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+  w as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as w from pieces),
+  grams as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from (select lang, w, unnest(range(1, 5)) as k from w))),
+  f as materialized (select lang, k, phrase, string_split(phrase, ' ') as w, count(*) as a from grams group by lang, k, phrase having count(*) >= 30),
+  totals as (select lang, sum(len(w))::bigint as n from w group by lang),
+  cuts as (select lang, phrase, a, k, w, unnest(range(1, k)) as c from f where k > 1),
+  sides as (select x.lang, x.phrase, x.a, x.c, l.a as l, r.a as r, ((2000000::hugeint * x.a) // (l.a + r.a))::bigint as score from cuts x
+    join f l on l.lang = x.lang and l.phrase = array_to_string(x.w[1:x.c], ' ') join f r on r.lang = x.lang and r.phrase = array_to_string(x.w[x.c + 1:x.k], ' ')),
+  best as (select * from sides qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+  inner_ as (select lang, a, k, w, unnest(range(2, k)) as m from f where k > 2),
+  covered as (select lang, phrase, max(a) as longer from (select lang, a, array_to_string(w[i:i + m - 1], ' ') as phrase
+    from (select *, unnest(range(1, k - m + 2)) as i from inner_)) group by lang, phrase),
+  kept as (select b.* from best b left join covered c using (lang, phrase) where c.longer is null or 100 * c.longer < 80 * b.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join totals using (lang) qualify rank <= 2000"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def _op12_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """Every round as two steps, because SQL has no other way to fix their number."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (select vec_id, part, (min(d * 16 + entry) % 16)::int as entry, (min(d * 16 + entry) // 16)::bigint as error, any_value(x) as x
+    from (select p.vec_id, p.part, b.entry, p.x, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::hugeint as d
+      from p join b{r} b on b.part = p.part) group by vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} as materialized (select b.part, b.entry, coalesce(n.x, b.x) as x from b{r} b left join (select part, entry, list(m order by i) as x from (
+      select part, entry, i, ((sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*))::bigint as m
+      from (select part, entry, unnest(x) as c, generate_subscripts(x, 1) as i from a{r}) group by part, entry, i) group by part, entry) n
+    on n.part = b.part and n.entry = b.entry)""")
+    return f"""
+with v as (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  p as materialized (select vec_id, part, e[part * (len(e) // 8) + 1:(part + 1) * (len(e) // 8)] as x from (select vec_id, e, unnest(range(8)) as part from v)),
+  b0 as materialized (select part, (n - 1)::int as entry, x from (select *, row_number() over (partition by part order by vec_id) as n from p) where n <= 16),
+  {", ".join(steps)},
+  coded as (select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, sum(error)::bigint as error from a{rounds} group by vec_id),
+  digest as (select sha256(string_agg(c::varchar, ',' order by part, entry, i)) as codebooks_sha256
+    from (select part, entry, unnest(x) as c, generate_subscripts(x, 1) as i from b{rounds}))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded join v using (vec_id) cross join digest"""
+
+
+OP12_SQL = _op12_sql()
+
+
+@query("op12_vector_codes", OP12_SQL)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_licence_scan")
+def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(read(spark, sf_dir, "documents"))
