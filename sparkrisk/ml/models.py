@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.profile import class_balance
-from ..operators.ranking import ranking_metrics
-from .trees import Ensemble, staged_margins, top_contributions
+from . import boosting
+from .boosting import Booster
+from .trees import top_contributions
 
 
 def _weighted(df: DataFrame, label: str, balanced: bool) -> tuple[DataFrame, dict]:
@@ -24,11 +24,11 @@ def _weighted(df: DataFrame, label: str, balanced: bool) -> tuple[DataFrame, dic
 
 
 def train_logistic(train: DataFrame, id_col: str, label: str = "label", features_col: str = "features",
-                   reg: float = 1e-4, balanced: bool = False, folds: int = 3, max_iter: int = 50) -> PipelineModel:
+                   reg: float = 1e-4, balanced: bool = False, folds: int = 3, max_iter: int = 50, tol: float = 1e-6) -> PipelineModel:
     """L2 logistic model with sigmoid calibration on out-of-fold margins of the train rows (M4)."""
     data, extra = _weighted(train, label, balanced)
     data = data.withColumn("__fold", F.pmod(F.xxhash64(id_col), F.lit(folds)))
-    base = LogisticRegression(featuresCol=features_col, labelCol=label, regParam=reg, maxIter=max_iter,
+    base = LogisticRegression(featuresCol=features_col, labelCol=label, regParam=reg, maxIter=max_iter, tol=tol,
                               rawPredictionCol="margin_vec", probabilityCol="p_raw", predictionCol="pred_raw", **extra)
     out_of_fold = reduce(DataFrame.unionByName, [
         base.fit(data.where(F.col("__fold") != k)).transform(data.where(F.col("__fold") == k)).select(label, "margin_vec")
@@ -39,56 +39,19 @@ def train_logistic(train: DataFrame, id_col: str, label: str = "label", features
     return PipelineModel(stages=[base.fit(data), sigmoid.fit(out_of_fold)])
 
 
-@dataclass(frozen=True)
-class Boosted:
-    """A boosted model: as trained, cut at the chosen round, and the table of rounds (stage, value, chosen)."""
-
-    model: GBTClassificationModel
-    ensemble: Ensemble
-    history: DataFrame
+def train_boosted_trees(train: DataFrame, val: DataFrame, id_col: str, numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "label",
+                        balanced: bool = False, metric: Callable[[DataFrame], DataFrame] | None = None, **params) -> Booster:
+    """Boosted trees that stop while they train, by validation average precision or a metric of the caller's (M5).
 
+    ``params`` are those of ``boosting.Params``. Columns go in as they are: NULLs and categories are the splits' matter.
+    """
+    weight = float(class_balance(train, label).first()["positive_weight"]) if balanced else None  # one scalar
+    return boosting.train(train, val, id_col, numeric, categorical, label, weight, boosting.Params(**params), metric=metric)
 
-def train_boosted_trees(train: DataFrame, val: DataFrame, id_col: str, label: str = "label",
-                        features_col: str = "features", rounds: int = 20, depth: int = 5, step: float = 0.1,
-                        subsample: float = 0.8, feature_subset: str = "0.8", balanced: bool = False, seed: int = 7,
-                        metric: Callable[[DataFrame], DataFrame] | None = None, patience: int = 50) -> Boosted:
-    """Boosted trees with the number of rounds chosen by validation average precision (M5).
 
-    One training. Every number of rounds is evaluated in one job over (stage, id, label, score) rows; as when
-    training stops early, rounds after ``patience`` ones without a better value aren't looked at.
-    ``metric`` maps that table to (stage, value).
-    """
-    data, extra = _weighted(train, label, balanced)
-    gbt = GBTClassifier(featuresCol=features_col, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
-                        subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed, **extra)
-    model = gbt.fit(data)
-    grown = Ensemble.of(model)
-    staged = staged_margins(val, grown, list(range(1, len(grown.trees) + 1)), [id_col, label], features_col)
-    if metric is None:
-        scored = ranking_metrics(staged, "score", label, ["stage"], strict=False).select(
-            "stage", F.col("average_precision").alias("value"))
-    else:
-        scored = metric(staged)
-    table = sorted(scored.collect(), key=lambda r: r["stage"])  # one row per round
-    best, best_value = len(grown.trees), None
-    for r in table:
-        if r["value"] is not None and (best_value is None or r["value"] > best_value):
-            best, best_value = r["stage"], r["value"]
-        elif best_value is not None and r["stage"] - best >= patience:
-            break
-    history = train.sparkSession.createDataFrame([(int(r["stage"]), r["value"], r["stage"] == best) for r in table],
-                                                 "stage int, value double, chosen boolean")
-    return Boosted(model, grown.first(int(best)), history)
-
-
-def feature_importance(model, names: Sequence[str]) -> DataFrame:
-    """Features by normalised split gain (M6): (feature, importance, rank)."""
-    from pyspark.sql import SparkSession, Window
-    values = model.importances() if isinstance(model, Ensemble) else model.featureImportances.toArray()
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")  # one row per feature
-    return df.withColumn("rank", F.row_number().over(w))
+def feature_importance(spark: SparkSession, model: Booster) -> DataFrame:
+    """Features by split gain (M6): (feature, gain, importance, rank)."""
+    return model.importance(spark)
 
 
 def score_rows(model, df: DataFrame, score: str = "score") -> DataFrame:

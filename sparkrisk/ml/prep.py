@@ -60,7 +60,7 @@ class ImputeScale(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 def linear_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                 features_col: str = "features") -> PipelineModel:
     """Imputed and standardised numbers, one-hot categories; an unseen category is all zeros (M1)."""
-    stats = {r["feature"]: r for r in fit_scaling(train, numeric).collect()}
+    stats = {r["feature"]: r for r in fit_scaling(train, numeric).collect()} if numeric else {}
     scale = ImputeScale(numeric, *[[float(stats[c][k]) for c in numeric] for k in ("median", "mean", "std")])
     stages = [scale]
     hot = []

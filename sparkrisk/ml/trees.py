@@ -1,185 +1,119 @@
-"""Tree ensembles as small node tables: staged margins and exact TreeSHAP on executors."""
+"""Exact TreeSHAP of boosted trees in polynomial time, on executors (M9).
+
+A feature outside a coalition follows the training rows (path-dependent TreeSHAP, Lundberg et al.). On the way to
+a leaf a feature j lets a share z_j of the rows through when it is unknown, and all (o_j = 1) or none (0) when it is
+known. Coalitions of s known features then sum up to the coefficient of t^s in the product of (z_j + o_j t); leaving
+one feature out is a division by its factor. So a leaf with d features costs d^2 steps a row, not 2^d.
+"""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.session import scratch_path
-
-
-@dataclass(frozen=True)
-class Ensemble:
-    """Arrays per tree: feature (-1 at a leaf), threshold, left, right, value, cover, gain."""
-
-    trees: list
-    weights: list
-    n_features: int
-
-    @classmethod
-    def of(cls, model) -> "Ensemble":
-        """Node table of a fitted Spark tree ensemble with numeric splits (trees x 2^depth rows)."""
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-        path = scratch_path(spark, "trees")
-        model.write().overwrite().save(path)
-        nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").toPandas()
-        trees = []
-        for _, g in nodes.groupby("treeID"):
-            g = g.set_index("id").reindex(range(int(g["id"].max()) + 1))
-            split = list(g["split"])
-            if any(s is not None and s["numCategories"] > 0 for s in split):
-                raise ValueError("categorical splits are not supported; index categories as numbers")
-            trees.append(dict(
-                feature=np.array([s["featureIndex"] for s in split], dtype=np.int64),
-                threshold=np.array([s["leftCategoriesOrThreshold"][0] if s["featureIndex"] >= 0 else 0.0 for s in split]),
-                left=g["leftChild"].to_numpy(np.int64), right=g["rightChild"].to_numpy(np.int64),
-                value=g["prediction"].to_numpy(float), cover=g["rawCount"].to_numpy(float), gain=g["gain"].to_numpy(float)))
-        return cls(trees, [float(w) for w in model.treeWeights], int(model.numFeatures))
-
-    def first(self, k: int) -> "Ensemble":
-        """The ensemble after its first k trees."""
-        return Ensemble(self.trees[:k], self.weights[:k], self.n_features)
-
-    def importances(self) -> np.ndarray:
-        """Split gain times rows by feature, each tree normalised, then all of them; zeros without a split."""
-        total = np.zeros(self.n_features)
-        for t in self.trees:
-            inner = t["feature"] >= 0
-            own = np.bincount(t["feature"][inner], (t["gain"] * t["cover"])[inner], self.n_features)
-            total += own / own.sum() if own.sum() > 0 else 0
-        return total / total.sum() if total.sum() > 0 else total
-
-
-def _matrix(pdf: pd.DataFrame, col: str) -> np.ndarray:
-    return np.stack(pdf[col].to_numpy()).astype(float) if len(pdf) else np.empty((0, 0))
-
-
-def _leaf_values(tree: dict, x: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(x), dtype=np.int64)
-    rows = np.arange(len(x))
-    while True:
-        f = tree["feature"][at]
-        inner = f >= 0
-        if not inner.any():
-            return tree["value"][at]
-        go_left = x[rows, np.maximum(f, 0)] <= tree["threshold"][at]
-        at = np.where(inner, np.where(go_left, tree["left"][at], tree["right"][at]), at)
-
-
-def staged_margins(df: DataFrame, ensemble: Ensemble, stages: list[int], keep: list[str],
-                   features_col: str = "features") -> DataFrame:
-    """``keep`` columns with (stage, score): probability after each of the given numbers of trees."""
-    source = df.select(*keep, vector_to_array(features_col).alias("x"))
-    trees, weights, wanted = ensemble.trees, ensemble.weights, sorted(stages)
-
-    def run(batches):
-        for pdf in batches:
-            x = _matrix(pdf, "x")
-            margin = np.zeros(len(pdf))
-            out = []
-            for i, (tree, w) in enumerate(zip(trees, weights), start=1):
-                if len(pdf):
-                    margin = margin + w * _leaf_values(tree, x)
-                if i in wanted:
-                    out.append(1.0 / (1.0 + np.exp(-2.0 * margin)))
-            pdf = pdf[keep].copy()
-            pdf["scores"] = list(np.stack(out, axis=1)) if len(pdf) else []
-            yield pdf
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    wide = source.mapInPandas(run, f"{fields}, scores array<double>")
-    return wide.select(*keep, F.posexplode("scores").alias("__i", "score")).select(
-        *keep, F.element_at(F.array(*[F.lit(s) for s in wanted]), F.col("__i") + 1).alias("stage"), "score")
-
-
-def ensemble_scores(df: DataFrame, ensemble: Ensemble, keep: list[str], score: str = "score", features_col: str = "features") -> DataFrame:
-    """``keep`` columns and the probability that the whole ensemble gives (M8)."""
-    return staged_margins(df, ensemble, [len(ensemble.trees)], keep, features_col).drop("stage").withColumnRenamed("score", score)
-
-
-def _leaf_tables(tree: dict) -> tuple[list, float]:
-    """Per leaf: its distinct features, their intervals and the SHAP value of every match pattern.
-
-    Following the path-dependent TreeSHAP definition (Lundberg et al.): a feature outside a
-    coalition follows the training cover. A leaf with d features has only 2^d patterns of matched
-    features, so its contributions are a small table looked up by pattern.
-    """
-    tables, base = [], 0.0
-
-    def walk(node, path):
-        nonlocal base
-        f = tree["feature"][node]
-        if f < 0:
-            feats = sorted(path)
-            d = len(feats)
-            z = np.array([path[k][2] for k in feats])
-            value = tree["value"][node]
-            base += value * (float(np.prod(z)) if d else 1.0)
-            if d:
-                patterns = (np.arange(2 ** d)[:, None] >> np.arange(d)) & 1
-                phi = np.zeros((2 ** d, d))
-                weight = [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
-                for j in range(d):
-                    coef = np.zeros((2 ** d, d))  # coefficient s: coalitions of size s without j
-                    coef[:, 0] = 1.0
-                    for k in range(d):
-                        if k != j:
-                            shifted = np.concatenate([np.zeros((2 ** d, 1)), coef[:, :-1]], axis=1)
-                            coef = coef * z[k] + shifted * patterns[:, [k]]
-                    phi[:, j] = value * (patterns[:, j] - z[j]) * (coef @ np.array(weight))
-                tables.append((feats, [path[k][0] for k in feats], [path[k][1] for k in feats], phi))
-            return
-        f, t = int(f), tree["threshold"][node]
-        for child, is_left in ((tree["left"][node], True), (tree["right"][node], False)):
-            low, high, z = path.get(f, (-math.inf, math.inf, 1.0))
-            share = tree["cover"][child] / tree["cover"][node]
-            walk(child, {**path, f: (low, min(high, t), z * share) if is_left else (max(low, t), high, z * share)})
-
-    walk(0, {})
-    return tables, base
-
-
-def shap_contributions(df: DataFrame, ensemble: Ensemble, names: list[str], keep: list[str], top: int = 5,
-                       features_col: str = "features") -> DataFrame:
-    """Per row: margin, base value and the features of largest absolute contribution (M9).
-
-    The contributions of all features plus the base value add up to the margin; the score is
-    never changed. Column ``contributions`` is an array of (feature, contribution), largest first.
+from .boosting import Booster, Tree
+
+#: Rows that are explained at a time.
+ROWS = 2048
+
+
+def _leaves(tree: Tree) -> list[tuple[int, list[tuple[int, bool]]]]:
+    """Every leaf and its way from the root: (node, went left)."""
+    out, held = [], [(0, [])]
+    while held:
+        node, way = held.pop()
+        if tree.feature[node] < 0:
+            out.append((node, way))
+        else:
+            held += [(tree.left[node], [*way, (node, True)]), (tree.right[node], [*way, (node, False)])]
+    return out
+
+
+def _shares(tree: Tree, way: list[tuple[int, bool]]) -> dict[int, float]:
+    """Share of the training rows that each feature of a way lets through."""
+    out: dict[int, float] = {}
+    for node, left in way:
+        child = tree.left[node] if left else tree.right[node]
+        out[tree.feature[node]] = out.get(tree.feature[node], 1.0) * tree.cover[child] / tree.cover[node]
+    return out
+
+
+def expected_value(tree: Tree) -> float:
+    return sum(tree.value[leaf] * math.prod(_shares(tree, way).values()) for leaf, way in _leaves(tree))
+
+
+def tree_shap(tree: Tree, bins: np.ndarray, phi: np.ndarray) -> None:
+    """Add each row's contributions by feature to ``phi``."""
+    inner = [k for k, f in enumerate(tree.feature) if f >= 0]
+    went = {k: tree.goes_left(k, bins) for k in inner}
+    for leaf, way in _leaves(tree):
+        shares = _shares(tree, way)
+        if not shares or tree.value[leaf] == 0:
+            continue
+        known = {f: np.ones(len(bins), dtype=bool) for f in shares}
+        for node, left in way:
+            known[tree.feature[node]] &= went[node] == left
+        d = len(shares)
+        product = np.zeros((d + 1, len(bins)))
+        product[0] = 1.0
+        for k, (f, z) in enumerate(shares.items()):
+            product[1:k + 2] = product[1:k + 2] * z + product[:k + 1] * known[f]
+            product[0] *= z
+        weight = [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
+        for f, z in shares.items():
+            o = known[f]
+            # divided by (z + t) from the top where the feature is met, by z where it isn't
+            total, rest = np.zeros(len(bins)), np.zeros(len(bins))
+            for s in range(d - 1, -1, -1):
+                rest = product[s + 1] - z * rest if s < d - 1 else product[d]
+                total += weight[s] * np.where(o, rest, product[s] / z)
+            phi[:, f] += tree.value[leaf] * (o - z) * total
+
+
+def contributions(booster: Booster, bins: np.ndarray) -> np.ndarray:
+    """Contributions (row, feature) of all trees."""
+    phi = np.zeros((len(bins), len(booster.bins.names)))
+    for a in range(0, len(bins), ROWS):
+        for t in booster.trees:
+            tree_shap(t, bins[a:a + ROWS], phi[a:a + ROWS])
+    return phi
+
+
+def top_of(phi: np.ndarray, names: Sequence[str], top: int) -> np.ndarray:
+    """Places (row, top) of the largest contributions by absolute value, ties by name."""
+    by_name = np.argsort(np.asarray(names))
+    order = np.argsort(-np.abs(phi[:, by_name]), axis=1, kind="stable")[:, :top]
+    return by_name[order]
+
+
+def shap_contributions(df: DataFrame, booster: Booster, keep: Sequence[str], top: int = 5) -> DataFrame:
+    """Per row: ``margin``, ``base_value``, ``total_contribution`` and the features of largest absolute contribution (M9).
+
+    All contributions plus the base value add up to the margin; the score is never changed. Column ``contributions`` is an
+    array of (feature, contribution), largest first; no others leave the worker.
     """
-    source = df.select(*keep, vector_to_array(features_col).alias("x"))
-    leaf_tables = [_leaf_tables(t) for t in ensemble.trees]
-    base = sum(w * b for w, (_, b) in zip(ensemble.weights, leaf_tables))
-    trees, weights, n = ensemble.trees, ensemble.weights, ensemble.n_features
+    names, n, bins = booster.bins.names, len(keep), booster.bins
+    base = booster.start + sum(expected_value(t) for t in booster.trees)
 
     def run(batches):
-        for pdf in batches:
-            x = _matrix(pdf, "x")
-            phi, margin = np.zeros((len(pdf), n)), np.zeros(len(pdf))
-            if len(pdf):
-                for tree, w, (tables, _) in zip(trees, weights, leaf_tables):
-                    margin += w * _leaf_values(tree, x)
-                    for feats, lows, highs, table in tables:
-                        inside = (x[:, feats] > lows) & (x[:, feats] <= highs)
-                        pattern = inside @ (1 << np.arange(len(feats)))
-                        phi[:, feats] += w * table[pattern]
-            out = pdf[keep].copy()
-            out["margin"] = margin
-            out["base_value"] = base
-            out["total_contribution"] = phi.sum(axis=1)
-            out["phi"] = list(phi)
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    wide = source.mapInPandas(
-        run, f"{fields}, margin double, base_value double, total_contribution double, phi array<double>")
-    return wide.select(*keep, "margin", "base_value", "total_contribution",
-                       top_contributions(F.col("phi"), names, top).alias("contributions"))
+        label = pa.array(names)
+        for batch in batches:
+            b = bins.of(batch, n)
+            phi = contributions(booster, b)
+            margin = booster.start + sum(t.margins(b) for t in booster.trees) if booster.trees else np.full(len(b), booster.start)
+            best = top_of(phi, names, top)
+            pairs = pa.StructArray.from_arrays([label.take(pa.array(best.ravel())), pa.array(np.take_along_axis(phi, best, axis=1).ravel())], names=["feature", "contribution"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * best.shape[1]), pairs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(margin), pa.array(np.full(len(b), base)), pa.array(phi.sum(1)), lists],
+                                             names=[*batch.schema.names[:n], "margin", "base_value", "total_contribution", "contributions"])
+    booster = Booster(booster.bins, booster.trees, booster.start)  # without its table of rounds, which belongs to the driver
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *bins.columns())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in keep]).schema.fields)
+    return source.mapInArrow(run, f"{fields}, margin double, base_value double, total_contribution double, contributions array<struct<feature:string,contribution:double>>")
 
 
 def top_contributions(phi, names: list[str], top: int):

@@ -8,7 +8,8 @@ from ..functions.session import materialized
 from ..ml import forest, models, prep, trees
 from ..operators import history, policy, ranking
 from ..operators.split import temporal_split
-from .bindings import (EVENTS, SQL_DOCUMENTS, SQL_EVENTS, SQL_GAPS, history_sql, labelled_documents, labelled_events, split_sql, table, with_gaps)
+from .bindings import (EVENTS, SQL_DOCUMENTS, SQL_EVENTS, SQL_GAPS, history_sql, labelled_documents, labelled_events, metrics_sql, split_sql, table,
+                       with_gaps)
 from .registry import plan
 
 NUMERIC = ["value", "k", "hour", *history.feature_names()]
@@ -100,130 +101,212 @@ def tree_features(spark, d):
 
 
 CATEGORIES = ["kind", "k_text"]
-TREE_NAMES = [*NUMERIC, *[f"{c}_missing" for c in NUMERIC], *CATEGORIES]
-
-
-def _prepared(df):
-    fitted = prep.tree_prep(_part(df, "train"), NUMERIC, CATEGORIES)
-    return materialized(fitted.transform(df).select("event_id", "label", "split", "features")), TREE_NAMES
 
 
 SQL_LABELLED = f"""(select event_id, split, (score_b < 1.0 / (1.0 + exp(-(coalesce(bhv_amt_zscore, 0) - 1.5 + value / 100.0::double))))::int as label
   from {split_sql(f"(select h.* from {history_sql(SQL_EVENTS, 'event_id', 'user_id', 'value', 't, value, score_b')} h)")} s)"""
-IN_RANGE = lambda c: F.col(c).between(0.0, 1.0)
 
 
-@plan("train_logistic", "split:s n_rows:l n_positive:l better_than_chance:b", f"""
-  select split, count(*) as n_rows, sum(label) as n_positive, true as better_than_chance from {SQL_LABELLED} e where split <> 'train' group by split""")
+@plan("train_logistic", "split:s n_rows:l n_positive:l average_precision:d roc_auc:d", f"""
+  with e as (select x.*, (value >= 40)::double as large from {SQL_LABELLED} x join events using (event_id)),
+  m as (select large, avg(label) as rate from e where split = 'train' group by large),
+  r as (select split, label, rate as score from e join m using (large) where split <> 'train')
+  select split, n_rows, n_positive, average_precision, roc_auc from {metrics_sql("r", "split")} q""")
 def train_logistic(spark, d):
-    """Calibrated logistic model: ranking metrics on validation and test rows."""
-    df = model_table(spark, d)
-    ready = prep.linear_prep(_part(df, "train"), NUMERIC, []).transform(df).select("event_id", "label", "split", "features")
+    """Calibrated model of one 0/1 column: calibration keeps the order, so its metrics are those of the two groups' rates."""
+    df = model_table(spark, d).withColumn("large", (F.col("value") >= 40).cast("double"))
+    ready = prep.linear_prep(_part(df, "train"), ["large"], []).transform(df).select("event_id", "label", "split", "features")
     model = models.train_logistic(_part(ready, "train"), "event_id", balanced=True)
-    got = ranking.ranking_metrics(models.score_rows(model, ready.where("split <> 'train'")), by=["split"])
-    better = (F.col("average_precision") > 1.2 * F.col("n_positive") / F.col("n_rows")) & (F.col("roc_auc") > 0.6)
-    return got.select("split", "n_rows", "n_positive", better.alias("better_than_chance"))
+    scored = models.score_rows(model, ready.where("split <> 'train'")).withColumn("score", F.round("score", 9))
+    return ranking.ranking_metrics(scored, by=["split"])
 
 
 DOC_PARTS = "doc_id % 10 >= 7"
 
 
-@plan("train_logistic_documents", "n:l n_positive:l all_in_range:b residual_near_zero:b", f"""
-  select count(*) as n, sum(label) as n_positive, true as all_in_range, true as residual_near_zero from {SQL_DOCUMENTS} d where {DOC_PARTS}""")
+@plan("train_logistic_documents", "doc_id:l label:l probability:d", f"""
+  with d as (select * from {SQL_DOCUMENTS} d0), m as (select lang, avg(label) as p from d where not ({DOC_PARTS}) group by lang)
+  select doc_id, label, p as probability from d join m on d.lang is not distinct from m.lang where {DOC_PARTS}""", digits=4)
 def train_logistic_documents(spark, d):
-    """Fitted on seven tenths of the documents; the others are scored. On its own rows a logistic fit has a mean residual of 0."""
+    """Fitted on seven tenths of the documents; the others are scored. With a category as its only input, a fit without a
+    penalty gives each language its own rate."""
     df = labelled_documents(spark, d)
     learn, rest = df.where(f"not ({DOC_PARTS})"), df.where(DOC_PARTS)
-    fitted = prep.linear_prep(learn, ["score"], ["lang", "source"])
+    rest = rest.join(learn.select("lang").distinct().withColumnRenamed("lang", "known"), F.col("lang").eqNullSafe(F.col("known"))).drop("known")
+    fitted = prep.linear_prep(learn, [], ["lang"])
     ready = lambda x: fitted.transform(x).select("doc_id", "label", "features")
-    model = models.train_logistic(ready(learn), "doc_id")
+    model = models.train_logistic(ready(learn), "doc_id", reg=0.0, max_iter=300, tol=1e-12)
     from pyspark.ml.functions import vector_to_array
-    own = model.stages[0].transform(ready(learn)).agg(F.avg(F.col("label") - vector_to_array("p_raw")[1])).first()[0]
-    out = models.score_rows(model, ready(rest))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_positive"), F.every(IN_RANGE("score")).alias("all_in_range"),
-                   F.lit(abs(own) < 1e-3).alias("residual_near_zero"))
+    return model.stages[0].transform(ready(rest)).select("doc_id", "label", vector_to_array("p_raw")[1].alias("probability"))
 
 
-def _boosted(df):
-    ready, names = _prepared(df)
-    return ready, names, models.train_boosted_trees(_part(ready, "train"), _part(ready, "val"), "event_id", rounds=10, depth=4)
+@plan("explain_linear", "event_id:l margin:d base_value:d feature:s contribution:d", f"""
+  with e as (select x.*, (value >= 40)::double as large from {SQL_LABELLED} x join events using (event_id)),
+  m as (select avg(label) filter (large = 1) as p1, avg(label) filter (large = 0) as p0, avg(large) as mu from e where split = 'train'),
+  c as (select ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)) as coef, ln(p0 / (1 - p0)) as intercept, mu from m)
+  select event_id, intercept + coef * large as margin, intercept + coef * mu as base_value, 'large' as feature, coef * (large - mu) as contribution from e cross join c""", digits=4)
+def explain_linear(spark, d):
+    """One 0/1 column: its coefficient is the difference of the groups' log odds."""
+    df = model_table(spark, d).withColumn("large", (F.col("value") >= 40).cast("double"))
+    ready = prep.linear_prep(_part(df, "train"), ["large"], []).transform(df).select("event_id", "label", "split", "features")
+    model = models.train_logistic(_part(ready, "train"), "event_id", reg=0.0, max_iter=300, tol=1e-12).stages[0]
+    out = models.explain_linear(model, ready, _part(ready, "train"), ["large"], ["event_id"])
+    return out.select("event_id", "margin", "base_value", F.explode("contributions").alias("c")).select("event_id", "margin", "base_value", "c.*")
+
+
+# ---- boosting: a few rounds of two leaves, which SQL can follow -------------------------------------------------
+
+STUMPS = dict(rounds=3, leaves=2, feature_share=1.0, row_share=1.0)
+STUMP_NUMERIC, STUMP_CATEGORICAL = ["band", "hour"], ["kind"]
+
+
+def log_likelihood(staged):
+    """A metric of the caller's, which rises with every useful round: the mean log likelihood."""
+    right = F.when(F.col("label") == 1, F.col("score")).otherwise(1 - F.col("score"))
+    return staged.groupBy("stage").agg(F.avg(F.log(right)).alias("value"))
+
+
+def _stumps(spark, d, metric=log_likelihood):
+    df = model_table(spark, d).withColumn("band", F.when(F.col("event_id") % 11 != 3, F.floor(F.col("value") / 25)))
+    return df, models.train_boosted_trees(_part(df, "train"), _part(df, "val"), "event_id", STUMP_NUMERIC, STUMP_CATEGORICAL, patience=99, metric=metric, **STUMPS)
+
+
+def stumps_sql(rounds: int = 3) -> str:
+    """Common tables: margins ``m0``, ``m1``, … of all rows, the best split ``best1``, … of each round, ``start``."""
+    pull = lambda g: f"(sign({g}) * greatest(abs({g}) - 0.1, 0))"
+    worth = lambda g, h: f"({pull(g)} ** 2 / ({h} + 0.1))"
+    out = [f"""rows as materialized (select x.event_id, x.split, x.label, case when x.event_id % 11 <> 3 then floor(value / 25) end as band,
+      hour(ts)::double as hour, case when x.event_id % 9 <> 4 then event_type end as kind from {SQL_LABELLED} x join events using (event_id))""",
+           "start as (select ln(avg(label) / (1 - avg(label))) as s from rows where split = 'train')",
+           "m0 as materialized (select rows.*, s as margin from rows cross join start)"]
+    for r in range(1, rounds + 1):
+        out += [f"x{r} as materialized (select *, 1 / (1 + exp(-margin)) as q from m{r - 1} where split = 'train')",
+                f"tot{r} as (select sum(q - label) as g, sum(q * (1 - q)) as h, count(*) as n from x{r})",
+                f"""sums{r} as (select 0 as f, band as v, null as c, sum(q - label) as g, sum(q * (1 - q)) as h, count(*) as n from x{r} group by band
+      union all select 1, hour, null, sum(q - label), sum(q * (1 - q)), count(*) from x{r} group by hour
+      union all select 2, null, kind, sum(q - label), sum(q * (1 - q)), count(*) from x{r} group by kind)""",
+                f"cat{r} as (select *, row_number() over (order by g / (h + 10), c nulls first) as rk from sums{r} where f = 2)",
+                f"""cum{r} as (select f, v as place, sum(g) over w as g, sum(h) over w as h, sum(n) over w as n from sums{r} where f < 2 and v is not null window w as (partition by f order by v)
+      union all select f, rk, sum(g) over w, sum(h) over w, sum(n) over w from cat{r} window w as (order by rk))""",
+                f"""cand{r} as (select f, place, 0 as ml, g, h, n from cum{r} union all
+      select a.f, place, 1, a.g + b.g, a.h + b.h, a.n + b.n from cum{r} a join sums{r} b on a.f = b.f and a.f < 2 and b.v is null)""",
+                f"""best{r} as materialized (select {r} as round, c.*, t.n as all_n, {worth("c.g", "c.h")} + {worth("(t.g - c.g)", "(t.h - c.h)")} - {worth("t.g", "t.h")} as gain,
+      -{pull("c.g")} / (c.h + 0.1) * 0.05 as lv, -{pull("(t.g - c.g)")} / (t.h - c.h + 0.1) * 0.05 as rv,
+      case when exists (select 1 from sums{r} z where z.f = c.f and z.v is null) then c.ml = 1 else c.n > t.n - c.n end as missing_left,
+      (select list(c order by c) from cat{r} z where c.f = 2 and z.rk <= c.place and z.c is not null) as cats, (select count(*) from cat{r} z where c.f = 2 and z.rk <= c.place and z.c is null) as none_left
+      from cand{r} c cross join tot{r} t where least(c.n, t.n - c.n) >= 50 and least(c.h, t.h - c.h) >= 0.001 order by gain desc, f, ml, place limit 1)""",
+                f"""m{r} as materialized (select m.* exclude (margin), margin + case when case f when 0 then case when band is null then missing_left else band <= place end
+      when 1 then case when hour is null then missing_left else hour <= place end
+      else case when kind is null then none_left > 0 else list_contains(cats, kind) end end then lv else rv end as margin from m{r - 1} m cross join best{r})"""]
+    splits = " union all ".join(f"select * from best{r}" for r in range(1, rounds + 1))
+    out.append(f"splits as (select *, (['band', 'hour', 'kind'])[f + 1] as feature from ({splits}) u)")
+    return ", ".join(out)
+
+
+SQL_STUMPS = stumps_sql()
+SQL_HIST = "hist as (" + " union all ".join(
+    f"select {r} as stage, avg(ln(case when label = 1 then 1 / (1 + exp(-margin)) else 1 - 1 / (1 + exp(-margin)) end)) as value from m{r} where split = 'val'" for r in (1, 2, 3)) + ")"
+SQL_AP = "hist as (" + " union all ".join(
+    f"select {r} as stage, average_precision as value from " + metrics_sql(f"(select label, 1 / (1 + exp(-margin)) as score from m{r} where split = 'val')") + f" q{r}" for r in (1, 2, 3)) + ")"
+
+
+@plan("boosted_splits", "round:l feature:s threshold:d missing_left:b categories:s gain:d left_value:d right_value:d left_rows:l", f"""
+  with {SQL_STUMPS}, {SQL_HIST}, chosen as (select min(stage) as last from hist where value = (select max(value) from hist))
+  select round, feature, case when f < 2 then place end as threshold, case when f < 2 then missing_left else none_left > 0 end as missing_left,
+    case when f = 2 then array_to_string(cats, ',') end as categories, gain, lv as left_value, rv as right_value, n as left_rows from splits where round <= (select last from chosen)""")
+def boosted_splits(spark, d):
+    """Best split of each round over all cut points, both ways for missing values, and all category subsets in order."""
+    nodes = _stumps(spark, d)[1].node_table(spark)
+    root = nodes.where("node = 0")
+    value = lambda side: nodes.select(F.col("tree"), F.col("node").alias(side), F.col("value").alias(f"{side}_value"), F.col("cover").alias(f"{side}_rows"))
+    both = root.drop("value").join(value("left"), ["tree", "left"]).join(value("right"), ["tree", "right"])
+    return both.select((F.col("tree") + 1).alias("round"), "feature", "threshold", "missing_left", F.array_join("categories", ",").alias("categories"), "gain",
+                       "left_value", "right_value", F.col("left_rows").cast("long").alias("left_rows"))
+
+
+@plan("train_boosted_trees", "stage:l value:d chosen:b", f"""
+  with {SQL_STUMPS}, {SQL_AP} select stage, value, stage = (select min(stage) from hist where value = (select max(value) from hist)) as chosen from hist""")
+def train_boosted_trees(spark, d):
+    """Validation average precision after every round, and the round that is kept."""
+    return _stumps(spark, d, None)[1].history
 
 
-@plan("train_boosted_trees", "stage:l in_range:b n_chosen:l", "select unnest(range(1, 11)) as stage, true as in_range, 1 as n_chosen")
-def train_boosted_trees(spark, d):
-    """Validation average precision of every number of rounds; one of them is chosen, and none is better."""
-    history = _boosted(model_table(spark, d))[2].history
-    best = history.agg(F.max("value"), F.sum(F.col("chosen").cast("int")), F.max(F.when(F.col("chosen"), F.col("value")))).first()
-    return history.select("stage", (IN_RANGE("value") & F.lit(best[0] == best[2])).alias("in_range"), F.lit(best[1]).alias("n_chosen"))
+CHOSEN = "(select min(stage) from hist where value = (select max(value) from hist))"
 
 
-@plan("feature_importance", "feature:s in_range:b adds_up:b", "select unnest([" + ", ".join(f"'{n}'" for n in TREE_NAMES) + "]) as feature, true as in_range, true as adds_up")
+@plan("feature_importance", "feature:s gain:d importance:d rank:l", f"""
+  with {SQL_STUMPS}, {SQL_HIST}, g as (select feature, sum(gain) as gain from splits where round <= {CHOSEN} group by feature),
+  every as (select unnest(['band', 'hour', 'kind']) as feature), z as (select feature, coalesce(gain, 0) as gain from every left join g using (feature))
+  select feature, gain, gain / sum(gain) over () as importance, row_number() over (order by gain desc, feature) as rank from z""")
 def feature_importance(spark, d):
-    _, names, made = _boosted(model_table(spark, d))
-    got = models.feature_importance(made.ensemble, names)
-    total = got.agg(F.sum("importance")).first()[0]
-    return got.select("feature", IN_RANGE("importance").alias("in_range"), F.lit(abs(total - 1) < 1e-9).alias("adds_up"))
+    return models.feature_importance(spark, _stumps(spark, d)[1])
+
+
+SQL_MARGIN = "(select * from (" + " union all ".join(f"select {r} as stage, * from m{r}" for r in (1, 2, 3)) + f") u where stage = {CHOSEN})"
 
 
-@plan("score_rows", "event_id:l split:s label:l in_range:b", f"select event_id, split, label, true as in_range from {SQL_LABELLED} e")
+@plan("score_rows", "event_id:l split:s label:l score:d", f"""
+  with {SQL_STUMPS}, {SQL_HIST} select event_id, split, label, 1 / (1 + exp(-margin)) as score from {SQL_MARGIN} q""")
 def score_rows(spark, d):
-    ready, _, made = _boosted(model_table(spark, d))
-    return trees.ensemble_scores(ready, made.ensemble, ["event_id", "split", "label"]).select("event_id", "split", "label", IN_RANGE("score").alias("in_range"))
+    df, made = _stumps(spark, d)
+    return made.score(df, ["event_id", "split", "label"])
 
 
-@plan("explain_scores", "event_id:l n_contributions:l adds_up:b", "select event_id, 5 as n_contributions, true as adds_up from events")
-def explain_scores(spark, d):
-    """Contributions plus base value give the margin of the model for every row."""
-    ready, names, made = _boosted(model_table(spark, d))
-    model = made.model
-    from pyspark.ml.functions import vector_to_array
-    margin = model.transform(ready).select("event_id", vector_to_array("rawPrediction")[1].alias("model_margin"), "features")
-    out = trees.shap_contributions(margin, trees.Ensemble.of(model), names, ["event_id", "model_margin"])
-    ok = (F.abs(F.col("base_value") + F.col("total_contribution") - F.col("model_margin")) < 1e-6) & (
-        F.abs(F.col("margin") - F.col("model_margin")) < 1e-6)
-    return out.select("event_id", F.size("contributions").alias("n_contributions"), ok.alias("adds_up"))
+SQL_PHI = f"""phi as (select event_id, feature, sum(case when went = lv then lv else rv end - (n * lv + (all_n - n) * rv) / all_n) as contribution from (
+    """ + " union all ".join(f"select a.event_id, s.feature, b.margin - a.margin as step, case when abs(b.margin - a.margin - lv) < abs(b.margin - a.margin - rv) then lv else rv end as went, s.lv, s.rv, s.n, s.all_n, s.round from m{r - 1} a join m{r} b using (event_id) join splits s on s.round = {r}" for r in (1, 2, 3)) + f""") u
+    where round <= {CHOSEN} group by event_id, feature),
+  every as (select event_id, unnest(['band', 'hour', 'kind']) as feature from rows),
+  placed as (select event_id, feature, coalesce(contribution, 0) as contribution, row_number() over (partition by event_id order by round(abs(coalesce(contribution, 0)), 12) desc, feature) - 1 as position
+    from every left join phi using (event_id, feature))"""
 
 
-@plan("explain_linear", "event_id:l n_contributions:l adds_up:b", "select event_id, 5 as n_contributions, true as adds_up from events")
-def explain_linear(spark, d):
-    df = model_table(spark, d)
-    ready = prep.linear_prep(_part(df, "train"), NUMERIC, []).transform(df).select("event_id", "label", "split", "features")
-    model = models.train_logistic(_part(ready, "train"), "event_id").stages[0]
-    out = models.explain_linear(model, ready, _part(ready, "train"), NUMERIC, ["event_id"])
-    ok = F.abs(F.col("base_value") + F.col("total_contribution") - F.col("margin")) < 1e-6
-    return out.select("event_id", F.size("contributions").alias("n_contributions"), ok.alias("adds_up"))
+@plan("explain_scores", "event_id:l margin:d base_value:d position:l feature:s contribution:d", f"""
+  with {SQL_STUMPS}, {SQL_HIST}, {SQL_PHI}, base as (select s + sum((n * lv + (all_n - n) * rv) / all_n) as base_value from start cross join splits where round <= {CHOSEN} group by s)
+  select event_id, margin, base_value, position, feature, contribution from placed join {SQL_MARGIN} q using (event_id) cross join base""")
+def explain_scores(spark, d):
+    """Margin, base value and every feature's contribution of every row, in order of size."""
+    df, made = _stumps(spark, d)
+    out = trees.shap_contributions(df, made, ["event_id"])
+    return out.select("event_id", "margin", "base_value", F.posexplode("contributions").alias("position", "c")).select("event_id", "margin", "base_value", "position", "c.*")
 
 
-@plan("top_contributors", "event_id:l position:l known:b falling:b", "select event_id, unnest([0, 1, 2]) as position, true as known, true as falling from events")
+@plan("top_contributors", "event_id:l position:l feature:s contribution:d", f"""
+  with {SQL_STUMPS}, {SQL_HIST}, {SQL_PHI} select event_id, position, feature, contribution from placed where position < 2""")
 def top_contributors(spark, d):
-    """Three contributions a row, of known features, the largest first."""
-    ready, names, made = _boosted(model_table(spark, d))
-    out = trees.shap_contributions(ready, made.ensemble, names, ["event_id"], top=3)
-    size = lambda i: F.abs(F.get("contributions", i)["contribution"])
-    rows = out.select("event_id", F.posexplode("contributions").alias("position", "c"), "contributions")
-    return rows.select("event_id", "position", F.col("c.feature").isin(names).alias("known"),
-                       ((F.col("position") == 0) | (size(F.col("position")) <= size(F.col("position") - 1))).alias("falling"))
+    """The two largest contributions of a row."""
+    df, made = _stumps(spark, d)
+    rows = trees.shap_contributions(df, made, ["event_id"], top=2)
+    return rows.select("event_id", F.posexplode("contributions").alias("position", "c")).select("event_id", "position", "c.*")
 
 
-@plan("isolation_forest", "vec_id:l in_range:b", "select vec_id, true as in_range from embeddings")
+@plan("isolation_forest", "vec_id:l", "select vec_id from embeddings where vec_id % 50 = 0")
 def isolation_forest(spark, d):
-    df = table(spark, d, "embeddings")
-    grown = materialized(forest.train_isolation_forest(df, "vec_id", "embedding", n_trees=50, feature_share=0.5))
-    scored = forest.anomaly_score(df, grown, ["vec_id"], "embedding")
-    return scored.select("vec_id", ((F.col("anomaly_score") > 0) & (F.col("anomaly_score") < 1)).alias("in_range"))
+    """Every fiftieth vector is moved far out; those with the highest scores, as many as were moved, are the ones."""
+    moved = F.col("vec_id") % 50 == 0
+    df = table(spark, d, "embeddings").withColumn("embedding", F.when(moved, F.transform("embedding", lambda x: x.cast("double") * 25.0)).otherwise(F.col("embedding").cast("array<double>")))
+    grown = materialized(forest.train_isolation_forest(df, "vec_id", "embedding", n_trees=100, feature_share=0.5))
+    scored = materialized(forest.anomaly_score(df, grown, ["vec_id"], "embedding"))
+    return ranking.top_fraction(scored, "anomaly_score", "vec_id", _share(df, moved)).select("vec_id")
+
 
+def _share(df, cond):
+    """The fraction of the rows that meets a condition, so that a top slice has as many."""
+    n, k = df.agg(F.count("*"), F.count_if(cond)).first()
+    return (k - 0.5) / n
 
-@plan("anomaly_scores_of_events", "split:s n_rows:l n_positive:l in_range:b", f"""
-  select split, count(*) as n_rows, sum(label) as n_positive, true as in_range from {SQL_GAPPY_SPLIT} e where split <> 'train' group by split""")
+
+@plan("anomaly_scores_of_events", "event_id:l split:s", f"""
+  select event_id, split from {SQL_GAPPY_SPLIT} e where split <> 'train' and event_id % 97 = 0""")
 def anomaly_scores_of_events(spark, d):
-    """Forest on prepared events, its configuration chosen on validation rows; validation and test rows scored."""
-    df = _gappy_split(spark, d)
-    ready = prep.anomaly_prep(df, _part(df, "train"), ["value"], ["event_type"], keep=["event_id", "label", "split"])
-    ready = materialized(ready.select("event_id", "label", "split", F.array("value", "event_type_freq").alias("features")))
-    grown, _ = forest.choose_forest(_part(ready, "train"), _part(ready, "val"), "event_id", [{"n_trees": 30}, {"n_trees": 50, "sample_rows": 128}])
-    scored = forest.anomaly_score(ready.where("split <> 'train'"), grown, ["event_id", "label", "split"])
-    got = ranking.ranking_metrics(scored, "anomaly_score", by=["split"])
-    return got.select("split", "n_rows", "n_positive", IN_RANGE("average_precision").alias("in_range"))
+    """Forest on prepared events, its configuration chosen on validation rows; among validation and test rows the planted amounts score highest."""
+    planted = F.col("event_id") % 97 == 0
+    df = materialized(_gappy_split(spark, d).withColumn("value", F.when(planted, F.col("event_id") * 1000.0 + 1e6).otherwise(F.col("value"))).withColumn("label", planted.cast("int")))
+    ready = prep.anomaly_prep(df, _part(df, "train"), ["value"], [], keep=["event_id", "label", "split"])
+    ready = materialized(ready.select("event_id", "label", "split", F.array("value").alias("features")))
+    grown, _ = forest.choose_forest(_part(ready, "train"), _part(ready, "val"), "event_id", [{"n_trees": 30}, {"n_trees": 60, "sample_rows": 512}])
+    rest = ready.where("split <> 'train'")
+    scored = materialized(forest.anomaly_score(rest, grown, ["event_id", "label", "split"]))
+    return ranking.top_fraction(scored, "anomaly_score", "event_id", _share(rest, F.col("label") == 1)).select("event_id", "split")
 
 
 @plan("score_batch", "n_test:l n_reported:l n_agree:l shares_add_up:b", f"""
@@ -234,8 +317,8 @@ def score_batch(spark, d):
     The report counts every test row, and its counts are those of the thresholds applied anew to the scores.
     """
     df = model_table(spark, d)
-    ready, _, made = _boosted(df)
-    scored = materialized(trees.ensemble_scores(ready.where("split <> 'train'"), made.ensemble, ["event_id", "label", "split"]))
+    made = models.train_boosted_trees(_part(df, "train"), _part(df, "val"), "event_id", NUMERIC, CATEGORIES, rounds=10, leaves=15, rate=0.1)
+    scored = materialized(made.score(df.where("split <> 'train'"), ["event_id", "label", "split"]))
     chosen = policy.as_policy(policy.derive_policies(_part(scored, "val"), [("balanced", 0.2, 0.6)], step=0.01, id_col="event_id").first())
     test = _part(scored, "test")
     report = policy.policy_report(test, approve=chosen.approve_threshold, block=chosen.block_threshold)
