@@ -24,10 +24,11 @@ from .tables import short_batches, whole_text
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 #: Bytes of text for one bucket of fingerprints, tokens of one block, bytes of a long text that are cut into words at once.
-BUCKET_BYTES, BLOCK_TOKENS, SLICE_BYTES = 1 << 24, 1 << 20, 1 << 22
+BUCKET_BYTES, BLOCK_TOKENS, SLICE_BYTES = 1 << 23, 1 << 19, 1 << 20
 #: Bits of the filter at most (32 MB); where more n-grams are frequent it lets more through, with the same result.
 MOST_FILTER_BITS = 1 << 28
 ENTRY = np.dtype([("fp", "<u8"), ("key", "<i8"), ("check", "<u4"), ("count", "<u4"), ("start", "<u4")])
+_PLANES = ("<u8", "<u4", "<u4", "<u4")  # steps between fingerprints, counts, starts, places of keys
 _BREAK = b"\xff"  # no UTF-8 text holds this byte
 _CUTS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _BASES = tuple(int(x) | 1 for x in np.random.default_rng(23).integers(1 << 60, 1 << 63, 2))
@@ -82,6 +83,29 @@ def slices(data: bytes, step: int | None = None) -> Iterator[tuple[int, list[byt
         at = end
 
 
+def packed(e: np.ndarray) -> bytes:
+    """Entries in order of fp, for the shuffle: steps instead of fingerprints, each key once, and numbers byte by byte
+    (all lowest bytes, then all second ones, …), so that what is mostly zero compresses to nothing."""
+    keys, place = np.unique(e["key"], return_inverse=True)
+    numbers = (np.diff(e["fp"], prepend=_U(0)), e["count"], e["start"], place)
+    planes = [np.ascontiguousarray(x.astype(t).view(np.uint8).reshape(len(e), -1).T).tobytes() for x, t in zip(numbers, _PLANES)]
+    return b"".join([np.array([len(e), len(keys)], dtype="<u4").tobytes(), keys.tobytes(), e["check"].tobytes(), *planes])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, m = (int(x) for x in np.frombuffer(data, dtype="<u4", count=2))
+    out, at = np.zeros(n, dtype=ENTRY), 8 + 8 * m
+    keys = np.frombuffer(data, dtype="<i8", count=m, offset=8)
+    out["check"] = np.frombuffer(data, dtype="<u4", count=n, offset=at)
+    at, numbers = at + 4 * n, []
+    for t in _PLANES:
+        size = np.dtype(t).itemsize
+        numbers.append(np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8, count=n * size, offset=at).reshape(size, n).T).view(t).ravel())
+        at += n * size
+    out["fp"], out["count"], out["start"], out["key"] = np.cumsum(numbers[0], dtype=_U), numbers[1], numbers[2], keys[numbers[3]]
+    return out
+
+
 class Block:
     """Tokens of some slices side by side, and the fingerprints of their n-grams."""
 
@@ -89,24 +113,24 @@ class Block:
         self.numbers, self.parts, self.size = numbers, [], 0
 
     def add(self, key: int, lang: int, index: int, tokens: list[bytes], carried: int) -> None:
-        ids = np.fromiter(map(self.numbers.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        ids = np.fromiter(map(self.numbers.__getitem__, tokens), dtype=np.int32, count=len(tokens))
         self.parts.append((key, lang, index, ids, carried))
         self.size += len(ids) + 1
 
     def close(self) -> "Block":
         self.parts.sort(key=lambda p: p[0])  # the least key comes first wherever n-grams are equal
         sizes = np.array([len(p[3]) + 1 for p in self.parts])
-        zero = np.zeros(1, dtype=np.int64)
+        zero = np.zeros(1, dtype=np.int32)
         self.ids = np.concatenate([x for p in self.parts for x in (p[3], zero)])
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.keys = np.array([p[0] for p in self.parts], dtype=np.int64)
         self.langs = np.array([p[1] for p in self.parts], dtype=_U)
         begin = np.cumsum(sizes) - sizes
         self.index = np.arange(len(self.ids)) - begin[self.of] + np.array([p[2] for p in self.parts])[self.of]
         self.new = np.arange(len(self.ids)) - begin[self.of] >= np.array([p[4] for p in self.parts])[self.of]
-        self.breaks = np.concatenate([[0], np.cumsum(self.ids == 0)])
+        self.breaks = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.ids == 0, dtype=np.int32)])
         hashes, n = self.numbers.hashes(), len(self.ids)
-        size = max(BLOCK_TOKENS, 1 << n.bit_length())  # few different lengths of the tables of powers
+        size = max(2 * BLOCK_TOKENS, 1 << n.bit_length())  # few different lengths of the tables of powers
         self.sums = [np.concatenate([[_U(0)], np.cumsum(hashes[self.ids, k] * _powers(b, size)[:n], dtype=_U)]) for k, b in enumerate(_BASES)]
         self.back = [_powers(pow(b, -1, 1 << 64), size) for b in _BASES]
         return self
@@ -169,13 +193,13 @@ def _chunks(sizes: tuple[int, ...], m: int, allowed: np.ndarray | None, buckets:
             bucket = (found["fp"] >> _U(40)).astype(np.int64) * buckets >> 24
             edge = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(edge, [*edge[1:], len(found)]):
-                yield n, int(bucket[a]), None, 0, found[a:b].tobytes()
+                yield n, int(bucket[a]), None, 0, packed(found[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ["n", "bucket", "lang", "total", "data"]
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
 
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=fields)
         words: dict[str, int] = {}
         block = Block(_Numbers())
@@ -188,19 +212,20 @@ def _chunks(sizes: tuple[int, ...], m: int, allowed: np.ndarray | None, buckets:
                     if totals:
                         words[lang] = words.get(lang, 0) + int((block.parts[-1][3][carried:] > 0).sum())
                     if block.size >= BLOCK_TOKENS:
-                        yield packed(list(flush(block)))
+                        yield batch_of(list(flush(block)))
                         block = Block(_Numbers())
+                        pa.default_memory_pool().release_unused()
         if block.parts:
-            yield packed(list(flush(block)))
+            yield batch_of(list(flush(block)))
         if words:
-            yield packed([(0, 0, lang, n, None) for lang, n in words.items()])
+            yield batch_of([(0, 0, lang, n, None) for lang, n in words.items()])
     return run
 
 
 def _merged(least: int):
     """Entries of one bucket added up; the frequent ones, each with the pointer of the least key."""
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        e = np.concatenate([np.frombuffer(d, dtype=ENTRY) for d in rows["data"]])
+        e = np.concatenate([unpacked(d) for d in rows["data"]])
         e = e[np.lexsort((e["key"], e["check"], e["fp"]))]
         first = np.flatnonzero(np.concatenate([[True], (e["fp"][1:] != e["fp"][:-1]) | (e["check"][1:] != e["check"][:-1])]))
         a = np.add.reduceat(e["count"].astype(np.int64), first)

@@ -86,7 +86,7 @@ def test_slices_see_every_gram_once(spark):
             block.add(1, 2, index, tokens, carried)
         block.close()
         found = [block.entries(n, 1, None) for n in (1, 2, 3, 4)]
-        merged = [collocations._merged(1)(pd.DataFrame({"n": [n], "data": [e.tobytes()]})) for n, e in zip((1, 2, 3, 4), found)]
+        merged = [collocations._merged(1)(pd.DataFrame({"n": [n], "data": [collocations.packed(e)]})) for n, e in zip((1, 2, 3, 4), found)]
         return [sorted(zip(m["fp"], m["check"], m["a"])) for m in merged]
     assert counted(7) == counted(64) == counted(1 << 20)
 
@@ -98,7 +98,7 @@ def test_colliding_fingerprints_are_told_apart(monkeypatch):
     block.add(1, 2, 0, [b"a", b"b", b"a", b"b", b"c", b"a"], 0)
     block.close()
     e = block.entries(2, 1, None)
-    got = collocations._merged(1)(pd.DataFrame({"n": [2, 2], "data": [e.tobytes(), e.tobytes()]}))
+    got = collocations._merged(1)(pd.DataFrame({"n": [2, 2], "data": [collocations.packed(e)] * 2}))
     assert got["fp"].nunique() == 1 and sorted(got["a"]) == [2, 2, 2, 4]
 
 
