@@ -11,7 +11,7 @@ from ..functions.ordering import beside, join_on
 from ..functions.session import materialized
 from ..functions.roles import require_columns
 from .policy import policy_summary
-from .ranking import (BUDGETS, budget_table, curve_of_ranked, ranked_labels, ranking_metrics, threshold_metrics,
+from .ranking import (BUDGETS, budget_table, ranking_metrics, score_curve, threshold_metrics,
                       top_flag)
 
 # --- fixed values: promotion thresholds -----------------------------------------
@@ -152,12 +152,12 @@ def split_report(df: DataFrame, by: Sequence[str], threshold: float, budgets: Se
                  score="score", label="label", id_col="id") -> DataFrame:
     """Ranking, threshold and budget metrics for all groups as (by, metric, value).
 
-    The rows are ordered once; curve and budgets are both read from that order.
+    Only distinct scores are ordered; budgets look their ranks up in that curve, and read rows again where scores tie.
     """
-    ranked = ranked_labels(df, score, label, id_col, by)
-    ranking = ranking_metrics(df, by=by, strict=False, curve=curve_of_ranked(ranked, score, by))
+    curve = score_curve(df, score, label, by)
+    ranking = ranking_metrics(df, by=by, strict=False, curve=curve)
     at = threshold_metrics(df, [threshold], score, label, by)
-    table = budget_table(df, budgets, score, label, id_col, by, ranked)
+    table = budget_table(df, budgets, score, label, id_col, by, curve)
 
     ranking_long = _long(ranking, by, ["average_precision", "roc_auc"])
     at_long = _long(at, by, ["tn", "fp", "fn", "tp", "precision", "recall", "f1", "fpr"])

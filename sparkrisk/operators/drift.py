@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.expressions import (DECISIONS, MISSING, OTHER, PSI_FLOOR, SEVERITIES, count_if, kolmogorov_p,
+from ..functions.expressions import (DECISIONS, EXACT_KS_ROWS, MISSING, OTHER, PSI_FLOOR, SEVERITIES, count_if, two_sample_p,
                                      psi_severity, ratio, severity_rank)
 from ..functions.ordering import asc, beside, exact_quantiles, join_on, running_totals
 from ..functions.session import materialized
@@ -235,8 +235,10 @@ def ecdf_runs(reference: DataFrame, current: DataFrame, by: Sequence[str] = ())
 
 
 def ks_two_sample(reference: DataFrame, current: DataFrame, by: Sequence[str] = (),
-                  runs: DataFrame | None = None) -> DataFrame:
-    """Largest ECDF gap per (by, feature), its asymptotic p-value and the current median.
+                  runs: DataFrame | None = None, exact_rows: int = EXACT_KS_ROWS) -> DataFrame:
+    """Largest ECDF gap per (by, feature), its p-value and the current median.
+
+    The p-value is exact (for samples without ties) where both have at most ``exact_rows`` rows, asymptotic beyond.
 
     The gap is largest at a current value or just before one, so the exact statistic needs nothing else.
     """
@@ -254,21 +256,25 @@ def ks_two_sample(reference: DataFrame, current: DataFrame, by: Sequence[str] =
         ((at(F.floor(middle)) + at(F.ceil(middle))) / 2.0).alias("current_median"))
     enough = (F.col("n_reference") > 1) & (F.col("n_current") > 1)
     return d.select(*by, "feature", "n_reference", "n_current", F.when(enough, F.col("d")).alias("ks_statistic"),
-                    F.when(enough, kolmogorov_p(F.col("d"), F.col("n_reference"), F.col("n_current"))).alias("ks_p_value"),
+                    F.when(enough, two_sample_p(F.col("d"), F.col("n_reference"), F.col("n_current"), exact_rows)).alias("ks_p_value"),
                     "current_median")
 
 
 # ---- reports -------------------------------------------------------------------------
 
 def drift_signals(profile: ReferenceProfile, batch: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                  by: Sequence[str] = (), decision: str | None = "decision", ks: bool = True) -> DataFrame:
-    """One row per (by, signal): PSI, severity and what goes with it."""
+                  by: Sequence[str] = (), decision: str | None = "decision", ks: bool = True,
+                  medians: bool = False, exact_rows: int = EXACT_KS_ROWS) -> DataFrame:
+    """One row per (by, signal): PSI, severity and what goes with it.
+
+    Current medians come with ``ks``, or alone with ``medians``; without either the batches aren't ordered.
+    """
     long = melt_numeric(batch, numeric, by)
-    num = numeric_psi(profile.bins, long, by, medians=not ks)
+    num = numeric_psi(profile.bins, long, by, medians=medians and not ks)
     ref = profile.stats.select("feature", "kind", F.col("mean").alias("reference_mean"), F.col("median").alias("reference_median"))
     num = num.join(F.broadcast(ref), "feature")
     if ks:
-        num = join_on(num, ks_two_sample(profile.values, long, by).drop("n_reference", "n_current"), [*by, "feature"], "left")
+        num = join_on(num, ks_two_sample(profile.values, long, by, exact_rows=exact_rows).drop("n_reference", "n_current"), [*by, "feature"], "left")
     num = num.withColumnRenamed("feature", "signal")
     out = num
     if categorical:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import APPROVE, BLOCK, DECISIONS, REVIEW, DecisionPolicy, count_if, decide, ratio
 from ..functions.ordering import join_on
-from .ranking import _grouped, budget_table, ranked_labels
+from ..functions.session import materialized
+from .ranking import _grouped, budget_table, rows_at_ranks
 
 
 def policy_summary(df: DataFrame, score="score", label="label", approve=None, block=None,
@@ -56,10 +57,10 @@ def scan_grid(max_fraction: float, step: float = 0.0005) -> list[float]:
 
 
 def block_fraction_scan(df: DataFrame, max_fraction: float, target: float, step: float = 0.0005, score="score",
-                        label="label", id_col="id", by: Sequence[str] = (), ranked: DataFrame | None = None) -> DataFrame:
+                        label="label", id_col="id", by: Sequence[str] = ()) -> DataFrame:
     """Largest top fraction of the grid whose precision meets the target, else the smallest."""
     grid = scan_grid(max_fraction, step)
-    table = budget_table(df, grid, score, label, id_col, by, ranked)
+    table = budget_table(df, grid, score, label, id_col, by)
     ok = F.col("precision") >= target
     pick = F.struct(F.col("budget").alias("f"), F.col("precision").alias("p"), F.col("cutoff_score").alias("s"))
     best = _grouped(table, by).agg(F.max(F.when(ok, pick)).alias("hit"), F.min(pick).alias("low"))
@@ -72,11 +73,10 @@ def derive_policies(val: DataFrame, candidates: Sequence[tuple[str, float, float
                     score="score", label="label", id_col="id", by: Sequence[str] = ()) -> DataFrame:
     """Policies from validation rows: (name, review capacity, block precision target) each.
 
-    One ordering of the rows serves all candidates and all groups.
+    One look-up of ranks serves all candidates and all groups; its few rows are written once.
     """
-    ranked = ranked_labels(val, score, label, id_col, by)
-    table = budget_table(val, sorted({b for _, cap, _ in candidates for b in [cap, *scan_grid(cap, step)]}),
-                         score, label, id_col, by, ranked)
+    table = materialized(budget_table(val, sorted({b for _, cap, _ in candidates for b in [cap, *scan_grid(cap, step)]}),
+                                      score, label, id_col, by))
     out = None
     for name, capacity, target in candidates:
         grid = F.col("budget").isin(scan_grid(capacity, step))
@@ -106,10 +106,14 @@ def policy_vs_budget(df: DataFrame, policy: DecisionPolicy, score="score", label
     """The policy against plain ranking with the same number of interventions."""
     s = policy_summary(df, score, label, policy.approve_threshold, policy.block_threshold, by)
     fraction = ratio(F.col("n_review"), F.col("n_rows")) + ratio(F.col("n_block"), F.col("n_rows"))
-    s = s.withColumn("matched_fraction", fraction).withColumn(
-        "rank", F.greatest(F.lit(1), F.ceil(F.col("n_rows") * F.col("matched_fraction"))).cast("long"))
-    r = ranked_labels(df, score, label, id_col, by).select(*by, "rank", F.col("cum_y").alias("budget_captured"))
-    both = join_on(r, s, [*by, "rank"])
+    s = materialized(s.withColumn("matched_fraction", fraction).withColumn(
+        "rank", F.greatest(F.lit(1), F.ceil(F.col("n_rows") * F.col("matched_fraction"))).cast("long")))
+    at = lambda rank: lambda n: F.array(F.struct(F.lit(0.0).alias("tag"), rank.alias("rank")))
+    if by:
+        r = rows_at_ranks(df, at(F.col("asked")), score, label, id_col, by, beside=s.select(*by, F.col("rank").alias("asked")))
+    else:
+        r = rows_at_ranks(df, at(F.lit(s.first()["rank"] or 0)), score, label, id_col)  # one scalar
+    both = join_on(s, r.select(*by, "rank", F.col("captured").alias("budget_captured")), [*by, "rank"])
     none = F.col("matched_fraction") <= 0
     budget_recall = ratio(F.col("budget_captured"), F.col("n_positive"))
     return both.select(

@@ -8,7 +8,7 @@ spreads any group, however large, over all partitions.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.expressions import count_if, ratio, unit_bin
 from ..functions.ordering import (DIRECT_SORT_ROWS, asc, at_or_before, beside, desc, global_rank, join_on,
                                   keys_at_ranks, running_totals)
+from ..functions.session import materialized
 
 # --- fixed values -------------------------------------------------------------
 BUDGETS = (0.01, 0.02, 0.05)
@@ -23,7 +24,8 @@ F1_EPSILON = 1e-12
 # -----------------------------------------------------------------------------
 
 
-FEW_BUDGETS = 16
+#: Cells of scores for each factor of e, rows of one cell that one task may order, picked ranks that may be broadcast.
+CELLS_PER_E, CELL_ROWS, FEW_PICKS = 4096, 1_000_000, 100_000
 
 
 def budget_grid(points: int = 40, low: float = 0.005, high: float = 0.20) -> list[float]:
@@ -99,16 +101,6 @@ def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: S
     return running_totals(counts, [desc("threshold")], {"n": F.col("n"), "p": F.col("p")}, by, ["threshold"])
 
 
-def curve_of_ranked(ranked: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """The score curve from rows already in order (ranked_labels), so they are ordered once.
-
-    Equal scores are neighbours in the same partitions, so the grouping shrinks before it shuffles.
-    """
-    return ranked.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("rank").alias("cum_n"), F.max("n_rows").alias("total_n"),
-        F.sum("y").alias("p"), F.max("cum_y").alias("cum_p"), F.max("total_y").alias("total_p"))
-
-
 def _grouped(df: DataFrame, by: Sequence[str]):
     return df.groupBy(*by) if by else df.groupBy()
 
@@ -200,36 +192,78 @@ def best_f1_threshold(df: DataFrame, score="score", label="label", by: Sequence[
 
 # ---- review budgets ----------------------------------------------------------------
 
-def ranked_labels(df: DataFrame, score="score", label="label", id_col="id", by: Sequence[str] = ()) -> DataFrame:
-    """Rows by descending (score, id) with rank, positives so far and group totals."""
-    y = (F.col(label) == 1).cast("long")
-    return global_rank(df.where(F.col(score).isNotNull()), [desc(score), desc(id_col)], by, [score], {"y": y})
+def score_cell(score: Column) -> Column:
+    """Whole number that never falls as the score rises: CELLS_PER_E cells for each factor of e, on both sides of zero.
 
+    The logarithm is semi-monotonic, so rounding can't put two scores into the wrong order.
+    """
+    s = score.cast("double")
+    size = lambda x: F.floor(F.least(F.log(x) * CELLS_PER_E, F.lit(2.0 ** 30))) + F.lit(1 << 32)
+    return F.when(F.isnan(s), F.lit(1 << 40)).when(s > 0, size(s)).when(s < 0, -size(-s)).otherwise(F.lit(0)).cast("long")
+
+
+def _counted(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
+    """Rows and positives by cell, and running totals from the highest cell down; one row per (group, cell) that occurs."""
+    cells = df.where(F.col(score).isNotNull()).groupBy(*by, score_cell(F.col(score)).alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), count_if(F.col(label) == 1).alias("p"), F.min(score).alias("low"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))  # the number of cells is bounded, however many rows there are
+    down = group.orderBy(F.desc("cell"))
+    cells = materialized(cells)
+    return cells.select("*", *[F.sum(c).over(down).alias(f"cum_{c}") for c in "np"], *[F.sum(c).over(group).alias(f"total_{c}") for c in "np"])
 
-def budget_table(df: DataFrame, budgets: Sequence[float] = BUDGETS, score="score", label="label", id_col="id",
-                 by: Sequence[str] = (), ranked: DataFrame | None = None) -> DataFrame:
-    """Captured positives, recall, precision and cut-off score for each budget.
 
-    One ordering serves all budgets; each budget then picks a single row by its rank.
+def rows_at_ranks(df: DataFrame, wanted: Callable[[Column], Column], score="score", label="label", id_col="id", by: Sequence[str] = (),
+                  curve: DataFrame | None = None, beside: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The rows at many ranks of many groups (descending score, id), without ordering the table.
+
+    ``wanted`` maps a group's number of rows to an array of (tag, rank); columns of ``beside`` (one row per group) may be
+    used in it. Counts by cell tell which cell holds a rank; a cell that is taken whole needs no order, and of the others only the
+    rows in them are read again and ordered. With a ``curve`` its scores are the cells. Returns
+    ``by, tag, rank, n_rows, n_positive, captured, cutoff_score``.
     """
+    by = list(by)
+    if curve is None:
+        cells, cell = _counted(df, score, label, by), score_cell(F.col(score))
+    else:
+        cells = curve.select(*by, F.col("threshold").alias("cell"), F.col("threshold").alias("low"), "n", "p", "cum_n", "cum_p", "total_n", "total_p")
+        cell = F.col(score).cast("double")
+    if beside is not None:
+        cells = join_on(cells, beside, by)
+    here = F.filter(wanted(F.col("total_n")), lambda w: w["rank"].between(F.col("cum_n") - F.col("n") + 1, F.col("cum_n")))
+    picks = cells.withColumn("w", F.explode(here)).select(
+        *by, "cell", "w.tag", "w.rank", "low", "n", "p", "cum_n", "cum_p", F.col("total_n").alias("n_rows"), F.col("total_p").alias("n_positive"))
+    picks = materialized(picks)
+    result = [*by, "tag", "rank", "n_rows", "n_positive", "captured", "cutoff_score"]
+    whole = picks.where("rank = cum_n").withColumns({"captured": F.col("cum_p"), "cutoff_score": F.col("low")}).select(*result)
+    part = picks.where("rank < cum_n").withColumn("inner", F.col("rank") - F.col("cum_n") + F.col("n"))
+    k, largest = part.agg(F.count(F.lit(1)), F.max("n")).first()
+    if not k:
+        return whole
+    keys = part.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("picked"))
+    rows = df.where(F.col(score).isNotNull()).select(*by, cell.alias("cell"), F.col(score).alias("__s"), F.col(id_col).alias("__id"), (F.col(label) == 1).cast("long").alias("__y"))
+    rows = join_on(rows, F.broadcast(keys) if k <= FEW_PICKS else keys, [*by, "cell"]).drop("picked")
+    if largest <= cell_rows:
+        order = Window.partitionBy(*by, "cell").orderBy(F.desc("__s"), F.desc("__id"))
+        ranked = rows.select("*", F.row_number().over(order).cast("long").alias("inner"), F.sum(F.coalesce("__y", F.lit(0))).over(
+            order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("before"))
+    else:
+        ranked = global_rank(rows, [desc("__s"), desc("__id")], [*by, "cell"], ["__s"], {"y": F.col("__y")}).withColumnsRenamed({"rank": "inner", "cum_y": "before"})
+    ranked = ranked.select(*by, "cell", "inner", "before", F.col("__s").alias("cutoff_score"))
+    found = join_on(ranked, F.broadcast(part) if k <= FEW_PICKS else part, [*by, "cell", "inner"])
+    return whole.unionByName(found.withColumn("captured", F.col("cum_p") - F.col("p") + F.col("before")).select(*result))
+
+
+def budget_table(df: DataFrame, budgets: Sequence[float] = BUDGETS, score="score", label="label", id_col="id",
+                 by: Sequence[str] = (), curve: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Captured positives, recall, precision and cut-off score for each budget (E6-E8), by ``rows_at_ranks``."""
     for b in budgets:
         selection_size(1, b)
-    r = ranked if ranked is not None else ranked_labels(df, score, label, id_col, by)
-    size = F.greatest(F.lit(1), F.ceil(F.col("n_rows") * F.col("budget"))).cast("long")
     every = F.array(*[F.lit(float(b)) for b in budgets])
-    rows = r.select(*by, "rank", "n_rows", F.col("total_y").alias("n_positive"), F.col(score).alias("cutoff_score"),
-                    F.col("cum_y").alias("captured"))
-    if len(budgets) <= FEW_BUDGETS:
-        # each row tests the few budgets itself: nothing is shuffled
-        here = F.filter(every, lambda b: F.greatest(F.lit(1), F.ceil(F.col("n_rows") * b)) == F.col("rank"))
-        hits = rows.withColumn("budget", F.explode(here))
-    else:
-        totals = _grouped(r, by).agg(F.max("n_rows").alias("n_rows")).where(F.col("n_rows") > 0)
-        picks = totals.withColumn("budget", F.explode(every)).withColumn("rank", size).drop("n_rows")
-        hits = join_on(rows, picks, [*by, "rank"])
-    return hits.select(*by, "budget", "n_rows", F.col("rank").alias("n_reviewed"), "captured", "n_positive",
-                       ratio(F.col("captured"), F.col("n_positive")).alias("recall"),
-                       ratio(F.col("captured"), F.col("rank")).alias("precision"), "cutoff_score")
+    size = lambda n, b: F.greatest(F.lit(1), F.ceil(n * b)).cast("long")
+    got = rows_at_ranks(df, lambda n: F.transform(every, lambda b: F.struct(b.alias("tag"), size(n, b).alias("rank"))), score, label, id_col, by, curve, cell_rows=cell_rows)
+    return got.select(*by, F.col("tag").alias("budget"), "n_rows", F.col("rank").alias("n_reviewed"), "captured", "n_positive",
+                      ratio(F.col("captured"), F.col("n_positive")).alias("recall"),
+                      ratio(F.col("captured"), F.col("rank")).alias("precision"), "cutoff_score")
 
 
 def recall_at_k(df, k: float, **kw) -> DataFrame:
@@ -269,9 +303,9 @@ def score_correlation(df: DataFrame, score_a: str, score_b: str) -> DataFrame:
     many distinct pairs is split by adaptive skew handling, the rank side has one row per value.
     """
     clean = df.where(F.col(score_a).isNotNull() & F.col(score_b).isNotNull())
-    pairs = clean.groupBy(F.col(score_a).cast("double").alias("a"), F.col(score_b).cast("double").alias("b")).agg(
-        F.count(F.lit(1)).alias("__n"))
-    ranked = pairs.join(_mid_ranks(pairs, "a"), "a").join(_mid_ranks(pairs, "b"), "b")
+    pairs = materialized(clean.groupBy(F.col(score_a).cast("double").alias("a"), F.col(score_b).cast("double").alias("b")).agg(
+        F.count(F.lit(1)).alias("__n")))
+    ranked = materialized(pairs.join(_mid_ranks(pairs, "a"), "a").join(_mid_ranks(pairs, "b"), "b"))
     total = ranked.agg(F.sum("__n").alias("n")).first()["n"]
     center = ((total or 0) + 1) / 2.0  # mean of all mid ranks
     ra, rb, w = F.col("__rank_a") - center, F.col("__rank_b") - center, F.col("__n")

@@ -54,14 +54,23 @@ def leakage_guard(df: DataFrame, label: str, required: Sequence[str]) -> DataFra
 def row_errors(df: DataFrame, roles: Roles, raw: str | None = None) -> DataFrame:
     """Add ``error_reason``: the code of the first failed check per row (``check:column``), or NULL.
 
-    The order is fixed: label present, field absent or null, not a number, not finite, negative
-    amount. When a raw JSON column is given, the label and absent keys are tested on the text.
+    The order is fixed: label present, field absent or null, not a number, not finite, negative amount. A raw JSON
+    column is parsed once, and its fields are read from the parsed value; then text that isn't a JSON object is
+    ``malformed``, a key that isn't there ``field_absent``, one that holds null ``field_null``, and the label may not
+    even be there as null.
     """
     required = [roles.id, roles.time, roles.amount, roles.entity]
     require_columns(df, [c for c in required if raw is None] + ([raw] if raw else []), "row_errors")
+    names = df.columns
+    if raw:
+        df = df.withColumn("__json", F.try_parse_json(F.col(raw)))
+
+    def part(name: str) -> Column:
+        """The field as it stands in the message: no value at all if the key is absent."""
+        return F.try_variant_get("__json", f"$.{name}", "variant")
 
     def field(name: str) -> Column:
-        return F.get_json_object(raw, f"$.{name}") if raw else F.col(name)
+        return F.try_variant_get("__json", f"$.{name}", "string") if raw else F.col(name)
 
     reason: Column | None = None
 
@@ -70,11 +79,16 @@ def row_errors(df: DataFrame, roles: Roles, raw: str | None = None) -> DataFrame
         reason = F.when(cond, F.lit(text)) if reason is None else reason.when(cond, F.lit(text))
 
     if raw:
-        check(field(roles.label).isNotNull(), f"label_present:{roles.label}")
+        check(~F.coalesce(F.schema_of_variant("__json").startswith("OBJECT"), F.lit(False)), f"malformed:{raw}")
+        check(part(roles.label).isNotNull(), f"label_present:{roles.label}")
+        for c in required:
+            check(part(c).isNull(), f"field_absent:{c}")
+            check(F.is_variant_null(part(c)), f"field_null:{c}")
     elif roles.label in df.columns:
         check(F.col(roles.label).isNotNull(), f"label_present:{roles.label}")
-    for c in required:
-        check(field(c).isNull(), f"field_null:{c}")
+    if not raw:
+        for c in required:
+            check(field(c).isNull(), f"field_null:{c}")
     for c in (roles.time, roles.amount):
         dtype = None if raw else df.schema[c].dataType
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -84,7 +98,7 @@ def row_errors(df: DataFrame, roles: Roles, raw: str | None = None) -> DataFrame
         check(F.isnan(number) | F.abs(number).isin(float("inf")), f"not_finite:{c}")
         if c == roles.amount:
             check(number < 0, f"negative:{c}")
-    return df.withColumn("error_reason", reason)
+    return df.withColumn("error_reason", reason).select(*names, "error_reason")
 
 
 def complete_columns(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.session import materialized, scratch_path
 from ..operators import drift, history, rows
 from ..operators.split import temporal_split
-from .bindings import EVENTS, SQL_EVENTS, decide_sql, history_sql, labelled_events, split_sql
+from .bindings import EVENTS, SQL_EVENTS, decide_sql, history_sql, labelled_events, split_sql, table
 from .registry import plan
 
 NUMERIC = ["value", "k"]
@@ -167,7 +167,27 @@ KS_P = ("greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda
     (select quantile_cont(value, 0.5) from cur where cur.feature = g.feature) as current_median from g""")
 def ks_two_sample(spark, d):
     ref, cur = _parts(spark, d)
-    return drift.ks_two_sample(drift.melt_numeric(ref, SIGNALS), drift.melt_numeric(cur, SIGNALS))
+    return drift.ks_two_sample(drift.melt_numeric(ref, SIGNALS), drift.melt_numeric(cur, SIGNALS), exact_rows=0)
+
+
+@plan("ks_exact", "day:l n_reference:l n_current:l ks_statistic:d ks_p_value:d", f"""
+  with recursive e as (select (epoch_us(ts) // 86400000000)::bigint as day, value from events), first as (select min(day) as f from e),
+  ref as (select value from e where day = (select f from first)), cur as (select day, value from e where day > (select f from first)),
+  v as (select day, value, sum(r) as r, sum(c) as c from (select day, ref.value, 1 as r, 0 as c from ref cross join (select distinct day from cur) dd union all select day, value, 0, 1 from cur) u group by 1, 2),
+  s as (select day, sum(r) over w as cr, sum(c) over w as cc, sum(r) over p as nr, sum(c) over p as nc from v window w as (partition by day order by value), p as (partition by day)),
+  g as materialized (select day, max(nr)::bigint as n, max(nc)::bigint as m, max(abs(cr * nc - cc * nr))::bigint as h from s group by day),
+  way as (select day, n, m, h, 0::bigint as k, 0::bigint as i, 1.0::double as a, false as gone from g
+    union all select day, n, m, h, k, i, sum(a), abs(i * m - (k - i) * n) >= h from (
+      select day, n, m, h, k + 1 as k, i + x as i, a * case when x = 1 then (n - i) else (m - (k - i)) end / (n + m - k)::double as a
+      from way, (values (0), (1)) t(x) where not gone and k < n + m and case when x = 1 then i < n else k - i < m end) z group by day, n, m, h, k, i)
+  select day, n as n_reference, m as n_current, h / (n * m)::double as ks_statistic, least(1, sum(case when gone then a else 0 end)) as ks_p_value from way group by day, n, m, h""")
+def ks_exact(spark, d):
+    """Each day against the first one: a few hundred values each, so the p-value counts all orders of both."""
+    df = table(spark, d, "events").withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long"))
+    first = df.agg(F.min("day")).first()[0]
+    ref, cur = df.where(F.col("day") == first), df.where(F.col("day") > first)
+    return drift.ks_two_sample(drift.melt_numeric(ref, ["value"]), drift.melt_numeric(cur, ["value"], ["day"]), ["day"]).select(
+        "day", "n_reference", "n_current", "ks_statistic", "ks_p_value")
 
 
 @plan("psi_severity", "batch:s severity:s n:l",
@@ -211,7 +231,7 @@ def drift_signals(spark, d):
     """Every signal of every batch, with the exact distance to the whole reference."""
     ref, cur = _parts(spark, d)
     prof = drift.reference_profile(ref, NUMERIC, CATEGORICAL, "event_id", behavioral=BEHAVIORAL)
-    out = drift.drift_signals(prof, cur, SIGNALS, CATEGORICAL, ["batch"])
+    out = drift.drift_signals(prof, cur, SIGNALS, CATEGORICAL, ["batch"], exact_rows=0)
     return out.select("batch", "signal", "psi", "ks_statistic", "ks_p_value", "current_median", "n_current", "severity", "kind")
 
 

@@ -166,11 +166,22 @@ def validate_rows(spark, d):
     return rows.row_errors(_texts(spark, d), EVENTS).select("event_id", "error_reason")
 
 
-@plan("validate_json_rows", "error_reason:s n:l",
-      f"select {SQL_ERRORS} as error_reason, count(*) as n from events group by 1")
+@plan("validate_json_rows", "event_id:l error_reason:s", f"""
+  select event_id, case when event_id % 29 = 0 then 'malformed:raw' when event_id % 31 = 0 then 'malformed:raw'
+    when event_id % 37 = 0 then 'label_present:label' when event_id % 23 = 0 then 'label_present:label'
+    when event_id % 41 = 0 then 'field_absent:value' when event_id % 19 = 0 and event_id % 2 = 0 then 'field_absent:user_id'
+    else {SQL_ERRORS} end as error_reason from events""")
 def validate_json_rows(spark, d):
-    raw = _texts(spark, d).select(F.to_json(F.struct("*")).alias("raw"))
-    return rows.row_errors(raw, EVENTS, raw="raw").groupBy("error_reason").agg(F.count(F.lit(1)).alias("n"))
+    """Messages cut short, arrays in place of objects, labels that are null, absent amounts, absent and null entities."""
+    at = F.col("event_id")
+    fields = _texts(spark, d)
+    whole = F.to_json(F.struct(*[F.col(c) for c in fields.columns if c not in ("user_id", "value", "label")]))
+    more = F.concat(F.when((at % 19 != 0), F.concat(F.lit(',"user_id":'), F.col("user_id").cast("string"))).when(at % 2 != 0, ',"user_id":null').otherwise(""),
+                    F.when(at % 41 == 0, "").otherwise(F.concat(F.lit(',"value":"'), F.col("value"), F.lit('"'))),
+                    F.when(at % 37 == 0, ',"label":null').when(F.col("label").isNotNull(), ',"label":1').otherwise(""), F.lit("}"))
+    raw = F.concat(F.expr("substr(__w, 1, length(__w) - 1)"), more)
+    raw = F.when(at % 29 == 0, raw.substr(F.lit(1), F.length(raw) - 2)).when(at % 31 == 0, F.concat(F.lit("["), raw, F.lit("]"))).otherwise(raw)
+    return rows.row_errors(fields.withColumn("__w", whole).select("event_id", raw.alias("raw")), EVENTS, raw="raw").select("event_id", "error_reason")
 
 
 @plan("complete_columns", "event_id:l value:d device:s distance:d", """

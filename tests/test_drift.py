@@ -1,6 +1,10 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 
+from sparkrisk.functions.expressions import exact_kolmogorov_p
 from sparkrisk.operators import drift
 
 
@@ -101,3 +105,25 @@ def test_report_and_round_trip(spark, tmp_path):
     assert r["warnings"] == "cat: 1 new category value(s)"
     same = drift.drift_report(drift.drift_signals(prof, ref, ["amt", "score"], ["cat"]), ref).first()
     assert same["overall_severity"] == "NO_SIGNIFICANT_DRIFT" and not same["low_confidence"]
+
+
+def test_exact_p_counts_all_orders():
+    for n, m in ((1, 1), (3, 2), (4, 4), (5, 3), (7, 8), (8, 8)):
+        gaps = []
+        for first in itertools.combinations(range(n + m), n):
+            i = j = top = 0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in first else (i, j + 1)
+                top = max(top, abs(i * m - j * n))
+            gaps.append(top)
+        for h in set(gaps):
+            assert abs(exact_kolmogorov_p(h / (n * m), n, m) - sum(g >= h for g in gaps) / math.comb(n + m, n)) < 1e-12
+
+
+def test_exact_p_nears_the_limit():
+    n, m = 4000, 3000
+    for d in (0.02, 0.03, 0.05):
+        lam = d * d * n * m / (n + m)
+        limit = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam) for k in range(1, 60))
+        assert abs(exact_kolmogorov_p(d, n, m) - limit) < 0.05 * max(limit, 1e-3)
+    assert exact_kolmogorov_p(0.0, 5, 5) == 1.0 and 0 < exact_kolmogorov_p(1.0, 300, 300) < 1e-150

@@ -186,3 +186,39 @@ def test_promotion_gates(spark):
     assert gates(spark, policy_version="q") == "REQUIRES_REVIEW"
     assert gates(spark, delta_negatives_blocked=None) == "REQUIRES_REVIEW"
     assert gates(spark, delta_negatives_blocked=0.0051) == "REQUIRES_REVIEW"
+
+
+@pytest.mark.parametrize("cell_rows", [0, 1_000_000])
+@pytest.mark.parametrize("curve", [False, True])
+def test_many_ranks_of_many_groups(spark, cell_rows, curve, monkeypatch):
+    """Without a curve no table is ordered unless a cell is over the limit; ties, negative scores and a group without a name."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(900):
+        g = rnd.choice(["a", "a", "a", "b", None])
+        s = {0: 0.5, 1: 0.0, 2: -3.0}.get(rnd.randrange(6), rnd.uniform(-1, 1) ** 5)
+        rows.append((i, g, int(rnd.random() < 0.2), None if rnd.random() < 0.05 else s))
+    df = spark.createDataFrame(rows, "id long, g string, label int, score double").repartition(5)
+    budgets = [0.001, 0.02, 0.1, 0.35, 0.36, 0.5, 0.77, 1.0]
+    order = ranking.score_curve(df, by=["g"]) if curve else None
+    if cell_rows and not curve:
+        monkeypatch.setattr(ranking, "running_totals", lambda *a, **k: pytest.fail("ordered"))
+        monkeypatch.setattr(ranking, "global_rank", lambda *a, **k: pytest.fail("ordered"))
+    got = {(r["g"], r["budget"]): (r["n_rows"], r["n_reviewed"], r["captured"], r["n_positive"], r["cutoff_score"])
+           for r in ranking.budget_table(df, budgets, by=["g"], curve=order, cell_rows=cell_rows).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        mine = sorted(((s, i, y) for i, h, y, s in rows if h == g and s is not None), reverse=True)
+        for b in budgets:
+            k = ranking.selection_size(len(mine), b)
+            want[g, b] = (len(mine), k, sum(y for *_, y in mine[:k]), sum(y for *_, y in mine), mine[k - 1][0])
+    assert got == want
+
+
+def test_cells_never_fall_as_scores_rise(spark):
+    rnd = random.Random(2)
+    values = sorted([rnd.uniform(-1, 1) * 10 ** rnd.randrange(-300, 300) for _ in range(400)] + [0.0, -0.0, 5e-324, -5e-324, 1e308, float("inf"), float("-inf"), 1.0, 1 - 2 ** -53, 1 + 2 ** -52])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    cells = [r[1] for r in df.select("i", ranking.score_cell(F.col("v"))).orderBy("i").collect()]
+    assert cells == sorted(cells)
+    assert ranking.budget_table(spark.createDataFrame([], "id long, label int, score double"), [0.1]).count() == 0
