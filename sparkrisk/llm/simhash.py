@@ -7,6 +7,7 @@ two have in common. Keys are joined by equality and every pair is verified by it
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import accumulate
@@ -23,6 +24,8 @@ from .tables import short_batches, whole_text
 SHINGLE_WORDS, SEED, DISTANCE = 3, 42, 2
 #: Pairs that one key may give; the fingerprints of fuller keys are linked by ``_linked_by_neighbours``, as exactly.
 PAIRS_PER_KEY = 4096
+#: Signature variants that one task makes: fingerprints are few bytes, so their size says nothing of the rows they become.
+VARIANTS_PER_TASK = 1 << 18
 _SPACE = re.compile(rb"[ \t-\r]")
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -109,6 +112,8 @@ def _linked_by_neighbours(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
     """Edges ``a``, ``b`` between distinct fingerprints (column ``fp``) that give their components."""
     n, set_ = F.col("n"), F.col("ones")
+    tasks = max(1, math.ceil(66 * fps.count() / VARIANTS_PER_TASK))
+    fps = fps.repartition(tasks, "fp")
     keys = _variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.sum("side").alias("ones"))
     keys = materialized(keys.select("key", F.when(_whole("key"), n * (n - 1) / 2).otherwise(set_ * (n - set_)).alias("pairs"))
                         .where("pairs > 0"))
