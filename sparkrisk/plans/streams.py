@@ -114,6 +114,21 @@ def stream_velocity_hot_entity(spark, d):
     return out.select("event_id", "bhv_prior_count_1h", "bhv_prior_count_24h")
 
 
+@plan("stream_snapshot_restore", f"event_id:l {HISTORY_COLUMNS}", f"""
+  select h.* from {VELOCITY_SQL} h join {SQL_SPLIT} s on s.event_id = h.event_id where split = 'test'""")
+def stream_snapshot_restore(spark, d):
+    """Two deliveries on one checkpoint, their state read out of it, a second query on the rest. Few times are kept inline, so the
+    map's buckets are part of the state."""
+    parts = by_split(spark, d, change=lambda df: df.withColumn("user_id", F.col("user_id") % 3))
+    path, out, state = (scratch_path(spark, n) for n in ("arrivals", "stream-out", "stream-state"))
+    for p in parts[:2]:
+        p.write.mode("append").parquet(path)
+        flow.run_available(flow.stream_features(streams.file_stream(spark, path, p.schema), EVENTS, inline_times=16), out, state)
+    initial = flow.state_snapshot(spark, state)
+    rest = run_parts(spark, parts[2:], lambda live: flow.stream_features(live, EVENTS, initial=initial, inline_times=16))
+    return rest.select("event_id", *feature_names())
+
+
 @plan("stream_state_ttl", f"event_id:l {HISTORY_COLUMNS}", f"select * from {SQL_HISTORY} h")
 def stream_state_ttl(spark, d):
     """State that expires after a day without events; nothing expires within this run."""

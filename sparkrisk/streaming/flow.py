@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.expressions import time_axis
@@ -11,7 +13,7 @@ from ..functions.roles import Roles, require_columns
 from ..operators.history import WIDTHS, feature_names
 from ..operators.rows import row_errors
 from ..operators.state import entity_state, recent_times
-from .processor import HistoryProcessor
+from .processor import INLINE_TIMES, HistoryProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EMPTY_BATCHES_CONF = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -37,8 +39,38 @@ def warm_start_table(history: DataFrame, roles: Roles, as_of=None, width_seconds
     return state.unionByName(times, allowMissingColumns=True)
 
 
+def _times(packed: pa.Array) -> pa.Array:
+    """Times as the processor packs them: whole numbers of 64 bits."""
+    held = [np.frombuffer(b or b"", dtype=np.int64) for b in packed.to_pylist()]
+    sizes = np.cumsum([0, *map(len, held)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.empty(0, np.int64), *held])))
+
+
+def state_snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The running state of a stopped ``stream_features`` query, read from its checkpoint.
+
+    The result is as ``warm_start_table`` gives it: another query begins with it where this one ended. Values are the
+    moments and the newest times of each entity, the map the older times in their buckets.
+    """
+    metadata = spark.read.format("state-metadata").load(checkpoint)
+    operator = metadata.where(F.col("operatorName").contains("transformWithState")).agg(F.min("operatorId")).first()[0]
+    if operator is None:
+        raise ValueError("state_snapshot: the checkpoint holds no state of stream_features")
+
+    def state(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name).load(checkpoint)
+    moments = state("moments").select(F.col("key").getField("entity").alias("entity"), "value.*").where("last is not null")
+    kept = moments.select("entity", "n", F.col("m").alias("n_amt"), F.when(F.col("m") > 0, F.col("mean")).alias("mean_amt"), "m2",
+                          F.col("low").alias("min_amt"), F.col("high").alias("max_amt"), F.col("last").alias("last_time"), F.lit("state").alias("kind"))
+    old = state("old_times").select(F.col("key").getField("entity").alias("entity"), F.col("user_map_value").getField("times").alias("times"))
+    times = moments.select("entity", "times").unionByName(old).select("entity", F.explode(F.arrow_udf(_times, T.ArrayType(T.LongType()))("times")).alias("last_time"))
+    times = times.groupBy("entity", "last_time").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("time"))
+    return kept.unionByName(times, allowMissingColumns=True)
+
+
 def stream_features(events: DataFrame, roles: Roles, keep: Sequence[str] = (), widths: dict[str, int] = WIDTHS,
-                    initial: DataFrame | None = None, late: str = "accept", ttl_ms: int | None = None) -> DataFrame:
+                    initial: DataFrame | None = None, late: str = "accept", ttl_ms: int | None = None,
+                    inline_times: int = INLINE_TIMES) -> DataFrame:
     """History features of each event from keyed state; the event never sees itself.
 
     Events without an entity or a time belong to no history: they pass beside the state, with no
@@ -60,7 +92,7 @@ def stream_features(events: DataFrame, roles: Roles, keep: Sequence[str] = (), w
     names = feature_names(widths)
     whole = [n for n in names if n == "bhv_prev_txn_count" or n.startswith("bhv_prior_count_")]
     fields += [T.StructField(n, T.LongType() if n in whole else T.DoubleType()) for n in names] + [T.StructField("is_late", T.BooleanType())]
-    processor = HistoryProcessor(roles.id, extra, names, spans, units, late, ttl_ms)
+    processor = HistoryProcessor(roles.id, extra, names, spans, units, late, ttl_ms, inline_times)
     known = narrow.groupBy("entity").transformWithStateInPandas(
         processor, T.StructType(fields), "Append", "ProcessingTime" if ttl_ms else "None",
         initialState=initial.groupBy("entity") if initial is not None else None)

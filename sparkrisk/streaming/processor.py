@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 INLINE_TIMES = 4096
 BUCKETS_PER_SPAN = 96
+#: Events of one key whose features are made at a time.
+CHUNK = 65_536
 
 MOMENTS_SCHEMA = ("n bigint, m bigint, mean double, m2 double, low double, high double, last bigint, "
                   "times binary, bucket_ids binary, bucket_counts binary")
@@ -29,6 +31,29 @@ def _unpack(b) -> np.ndarray:
     return np.frombuffer(bytes(b), dtype=np.int64) if b else np.empty(0, dtype=np.int64)
 
 
+def merged(left: tuple, right: tuple) -> tuple:
+    """Number, mean and squared deviations of two runs of values together, element by element."""
+    (n, mean, m2), (k, other, more) = left, right
+    share = np.divide(k, n + k, out=np.zeros(len(k)), where=n + k > 0)
+    d = other - mean
+    return n + k, np.where(n > 0, mean + d * share, other), m2 + more + d * d * n * share
+
+
+def prefix_moments(a: np.ndarray) -> tuple:
+    """Number, mean and squared deviations of the values up to each place; NaN is no value.
+
+    Runs of 1, 2, 4, … values are merged with the run before them, so there are log2(n) steps over whole arrays.
+    """
+    known = ~np.isnan(a)
+    out = known.astype(float), np.where(known, a, 0.0), np.zeros(len(a))
+    step = 1
+    while step < len(a):
+        more = merged(tuple(x[:-step] for x in out), tuple(x[step:] for x in out))
+        out = tuple(np.concatenate([x[:step], y]) for x, y in zip(out, more))
+        step *= 2
+    return out
+
+
 class HistoryProcessor(StatefulProcessor):
     """Emits features for each event before the event enters the state.
 
@@ -39,7 +64,8 @@ class HistoryProcessor(StatefulProcessor):
     # input columns; plain identifiers, because chunks reach Python as named tuples
     id_col, time_col, amount_col = "row_id", "row_time", "row_amount"
 
-    def __init__(self, id_name, keep, names, spans, units, late="accept", ttl_ms=None):
+    def __init__(self, id_name, keep, names, spans, units, late="accept", ttl_ms=None, inline_times=INLINE_TIMES):
+        self.inline_times = inline_times
         self.id_name, self.names = id_name, list(names)
         self.keep, self.spans, self.units = list(keep), dict(spans), units
         self.late, self.ttl_ms = late, ttl_ms
@@ -70,7 +96,7 @@ class HistoryProcessor(StatefulProcessor):
             oldest = s["last"] - self.longest
             s["times"] = s["times"][np.searchsorted(s["times"], oldest, "left"):]
             self._drop_expired(s, oldest)
-        if len(s["times"]) > INLINE_TIMES:
+        if len(s["times"]) > self.inline_times:
             self._move_out(s)
         self.state.update((int(s["n"]), int(s["m"]), float(s["mean"]), float(s["m2"]), s["low"], s["high"], s["last"],
                            _pack(s["times"]), _pack(s["ids"]), _pack(s["counts"])))
@@ -82,7 +108,7 @@ class HistoryProcessor(StatefulProcessor):
         s["ids"], s["counts"] = s["ids"][~gone], s["counts"][~gone]
 
     def _move_out(self, s) -> None:
-        cut = len(s["times"]) - INLINE_TIMES // 2
+        cut = len(s["times"]) - self.inline_times // 2
         old, s["times"] = s["times"][:cut], s["times"][cut:]
         counts = dict(zip(s["ids"].tolist(), s["counts"].tolist()))
         buckets = old // self.bucket
@@ -127,10 +153,11 @@ class HistoryProcessor(StatefulProcessor):
         if self.late == "route" and s["last"] is not None:
             late = (frame[self.time_col] < s["last"]).to_numpy()
         fresh = frame[~late] if late.any() else frame
-        if len(fresh):
-            features = self._advance(s, fresh)
+        for at in range(0, len(fresh), CHUNK):
+            part = fresh.iloc[at:at + CHUNK]
+            features = self._advance(s, part)
             self._store(s)
-            yield self._shape(fresh, features, False)
+            yield self._shape(part, features, False)
         if late.any():
             yield self._shape(frame[late], None, True)
 
@@ -143,27 +170,22 @@ class HistoryProcessor(StatefulProcessor):
         for name, span in self.spans.items():
             cutoffs = t - span
             out[name] = self._times_since(s, cutoffs) + index - np.minimum(index, np.searchsorted(t, cutoffs, "left"))
-        mean, std, low, high = (np.full(size, np.nan) for _ in range(4))
-        m, mu, m2, lo, hi = s["m"], s["mean"], s["m2"], s["low"], s["high"]
-        for i, x in enumerate(a.tolist()):
-            if m:
-                mean[i], low[i], high[i] = mu, lo, hi
-                if m > 1:
-                    std[i] = 0.0 if lo == hi else math.sqrt(m2 / (m - 1))
-            if x == x:
-                m += 1
-                d = x - mu
-                mu += d / m
-                m2 += d * (x - mu)
-                lo = x if lo is None else min(lo, x)
-                hi = x if hi is None else max(hi, x)
+        nothing = math.nan
+        before = (float(s["m"]), s["mean"], s["m2"])
+        m, mu, m2 = merged(tuple(np.full(size + 1, x) for x in before), tuple(np.concatenate([[0.0], x]) for x in prefix_moments(a)))
+        first = [nothing if s[k] is None else s[k] for k in ("low", "high")]
+        low, high = np.fmin.accumulate(np.concatenate([first[:1], a])), np.fmax.accumulate(np.concatenate([first[1:], a]))
+        mean = np.where(m > 0, mu, nothing)[:-1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            std = np.where(m > 1, np.where(low == high, 0.0, np.sqrt(np.maximum(m2, 0.0) / (m - 1))), nothing)[:-1]
         previous = np.concatenate([[np.nan if s["last"] is None else float(s["last"])], np.full(size - 1, np.nan)])
         gap = (t - previous) / self.units
         gap[1:] = (t[1:] - np.maximum(t[:-1], t[0] if s["last"] is None else s["last"])) / self.units
         if s["last"] is not None:
             gap[0] = (int(t[0]) - s["last"]) / self.units
-        out.update(mean=mean, std=std, low=low, high=high, gap=gap, amount=a)
-        s.update(n=s["n"] + size, m=m, mean=mu, m2=m2, low=lo, high=hi,
+        out.update(mean=mean, std=std, low=low[:-1], high=high[:-1], gap=gap, amount=a)
+        s.update(n=s["n"] + size, m=int(m[-1]), mean=float(mu[-1]), m2=float(m2[-1]),
+                 low=None if math.isnan(low[-1]) else float(low[-1]), high=None if math.isnan(high[-1]) else float(high[-1]),
                  last=int(t[-1]) if s["last"] is None else max(s["last"], int(t[-1])),
                  times=np.sort(np.concatenate([s["times"], t])))
         return out
