@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,23 +57,6 @@ class ImputeScale(Transformer, DefaultParamsReadable, DefaultParamsWritable):
                                for c, med, mu, sd in parts})
 
 
-def linear_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                features_col: str = "features") -> PipelineModel:
-    """Imputed and standardised numbers, one-hot categories; an unseen category is all zeros (M1)."""
-    stats = {r["feature"]: r for r in fit_scaling(train, numeric).collect()} if numeric else {}
-    scale = ImputeScale(numeric, *[[float(stats[c][k]) for c in numeric] for k in ("median", "mean", "std")])
-    stages = [scale]
-    hot = []
-    if categorical:
-        indexed, hot = [f"{c}_ix" for c in categorical], [f"{c}_hot" for c in categorical]
-        # "keep" gives unseen values the last index, which dropLast turns into all zeros
-        stages += [StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep",
-                                 stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True)]
-    stages.append(VectorAssembler(inputCols=[f"{c}_z" for c in numeric] + hot, outputCol=features_col))
-    return Pipeline(stages=stages).fit(train)
-
-
 def category_vocabulary(train: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """(feature, category, code): sorted train categories, then the missing and unseen buckets (M2)."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in categorical])
@@ -124,6 +107,40 @@ class TreePrep:
         return cls(tuple(categorical), vocabulary, PipelineModel.load(f"{path}/pipeline"))
 
 
+@dataclass(frozen=True)
+class LinearPrep:
+    """What ``linear_prep`` fitted: the vocabulary of category codes, as a table, and the rest as a pipeline."""
+
+    categorical: tuple
+    vocabulary: DataFrame | None
+    pipeline: PipelineModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = encode_categories(df, self.vocabulary, self.categorical) if self.categorical else df
+        return self.pipeline.transform(out)
+
+
+def linear_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                features_col: str = "features") -> LinearPrep:
+    """Imputed and standardised numbers, one-hot categories; a missing or unseen category is all zeros (M1).
+
+    Codes come from joins with the vocabulary, which stays a table; the driver only learns how many categories a column has,
+    and the blocks of the vector are sparse.
+    """
+    stats = {r["feature"]: r for r in fit_scaling(train, numeric).collect()} if numeric else {}
+    stages = [ImputeScale(numeric, *[[float(stats[c][k]) for c in numeric] for k in ("median", "mean", "std")])]
+    vocabulary, hot = None, []
+    if categorical:
+        vocabulary = materialized(category_vocabulary(train, categorical))
+        size = {r["feature"]: r["code"] for r in vocabulary.where(F.col("category") == MISSING).collect()}  # one row per column
+        codes, hot = [f"{c}_code" for c in categorical], [f"{c}_hot" for c in categorical]
+        # codes of missing and unseen values lie beyond the last category: "keep" puts them last and dropLast makes them zeros
+        last = train.sparkSession.createDataFrame([[float(size[c] - 1) for c in categorical]], ", ".join(f"`{c}` double" for c in codes))
+        stages.append(OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep", dropLast=True).fit(last))
+    stages.append(VectorAssembler(inputCols=[f"{c}_z" for c in numeric] + hot, outputCol=features_col))
+    return LinearPrep(tuple(categorical), vocabulary, PipelineModel(stages=stages))
+
+
 def tree_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], sentinel: float = -1e9,
               features_col: str = "features") -> TreePrep:
     """Category codes and numbers for trees (M2).

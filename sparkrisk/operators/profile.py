@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import count_if, ratio, time_axis
 from ..functions.ordering import asc, exact_quantiles, keys_at_ranks
+from ..functions.session import materialized
 from ..functions.roles import Roles
 
 # --- fixed values: feature groups by column-name pattern, first match wins ----
@@ -117,20 +120,23 @@ def missingness_by_group(schema: DataFrame, top: int = 5) -> DataFrame:
 
 
 def entity_key_profile(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
-    """Cardinality and rows per key of candidate entity keys; NULL components are set aside (A4)."""
-    spark = df.sparkSession
-    sizes = totals = None
-    for keys in candidates:
-        name = "+".join(keys)
-        complete = F.lit(True)
-        for k in keys:
-            complete = complete & F.col(k).isNotNull()
-        part = (df.where(complete).groupBy(*keys).count()
-                .select(F.lit(name).alias("entity_key"), F.col("count").alias("c")))
-        total = df.agg(F.lit(name).alias("entity_key"), F.count(F.lit(1)).alias("n_rows"),
-                       count_if(~complete).alias("n_null_key"))
-        sizes = part if sizes is None else sizes.unionByName(part)
-        totals = total if totals is None else totals.unionByName(total)
+    """Cardinality and rows per key of candidate entity keys; NULL components are set aside (A4).
+
+    All candidates are grouping sets of one aggregation, so the table is scanned once and keys keep their types.
+    """
+    sets = {"+".join(keys): list(keys) for keys in candidates}
+    columns = list(dict.fromkeys(k for keys in sets.values() for k in keys))
+    # bit by bit from the first column: 1 where the set leaves it out
+    which = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys) for name, keys in sets.items()}
+    named = functools.reduce(lambda c, n: c.when(F.col("__set") == which[n], F.lit(n)), list(which)[1:], F.when(F.col("__set") == which[next(iter(which))], F.lit(next(iter(which)))))
+    whole = functools.reduce(operator.and_, [F.col(c).isNotNull() | ((F.shiftright(F.col("__set"), len(columns) - 1 - i) % 2) == 1) for i, c in enumerate(columns)])
+    grouped = df.groupingSets([[F.col(k) for k in keys] for keys in sets.values()], *[F.col(c) for c in columns])
+    sizes = grouped.agg(F.count(F.lit(1)).alias("c"), F.grouping_id().alias("__set"))
+    sizes = materialized(sizes.select(named.alias("entity_key"), "c", whole.alias("whole")))
+    empty = df.sparkSession.createDataFrame([(n,) for n in sets], "entity_key string")  # one row per candidate, also of an empty table
+    totals = empty.join(sizes.groupBy("entity_key").agg(F.sum("c").alias("n_rows"), F.sum(F.when(~F.col("whole"), F.col("c")).otherwise(0)).alias("n_null_key")), "entity_key", "left")
+    totals = totals.fillna(0, ["n_rows", "n_null_key"])
+    sizes = sizes.where("whole")
     stats = sizes.groupBy("entity_key").agg(
         F.count(F.lit(1)).alias("cardinality"), F.avg("c").alias("mean_rows"), F.max("c").alias("max_rows"),
         ratio(count_if(F.col("c") == 1), F.count(F.lit(1))).alias("singleton_share"))

@@ -24,6 +24,7 @@ F1_EPSILON = 1e-12
 # -----------------------------------------------------------------------------
 
 
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 #: Cells of scores for each factor of e, rows of one cell that one task may order, picked ranks that may be broadcast.
 CELLS_PER_E, CELL_ROWS, FEW_PICKS = 4096, 1_000_000, 100_000
 
@@ -69,14 +70,15 @@ def score_at_top_fraction(df: DataFrame, score: str, id_col: str, k: float) -> D
 def top_per_group(df: DataFrame, group: Sequence[str], magnitude: str, k: int, tiebreak: str) -> DataFrame:
     """The k rows of largest absolute value per group (T4).
 
-    A first pass per (group, salt) leaves at most k rows of each salt, so that one huge group is
-    cut down in parallel before its final ranking.
+    Up to the engine's limit for it, a task keeps only its own k best rows of a group before they are shuffled. Beyond,
+    a group's rows are first ranked in shares whose number follows from the rows there are.
     """
     big_first = [F.abs(F.col(magnitude)).desc(), F.col(tiebreak).asc()]
-    salt = F.pmod(F.xxhash64(tiebreak), F.lit(64))
-    pre = df.withColumn("__r", F.row_number().over(Window.partitionBy(*group, salt).orderBy(*big_first))).where(F.col("__r") <= k)
+    if k > int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
+        share = F.pmod(F.xxhash64(tiebreak), F.lit(max(1, math.ceil(df.count() / (8 * k)))))
+        df = df.withColumn("__r", F.row_number().over(Window.partitionBy(*group, share).orderBy(*big_first))).where(F.col("__r") <= k).drop("__r")
     w = Window.partitionBy(*group).orderBy(*big_first)
-    return pre.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("__r")
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42, direct_rows: int = DIRECT_SORT_ROWS) -> DataFrame:

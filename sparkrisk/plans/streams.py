@@ -211,18 +211,26 @@ def score_stream(spark, d):
     select w, 'score_bucket', least(floor(score * 10)::int, 9)::varchar from e union all select w, 'failure', error from e)
   select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, metric, value, count(*) as n from m where value is not null group by 1, 2, 3""")
 def stream_monitor(spark, d):
-    """Decisions, score buckets and failures per hour, the later half of the events delivered first."""
+    """Decisions, score buckets and failures per hour, the later half of the events delivered first. The first query is stopped
+    between two batches, the second goes on where it was."""
     events = table(spark, d, "events")
+    middle = F.lit(events.agg(F.median("event_id")).first()[0])
+    path, counts, state = (scratch_path(spark, n) for n in ("arrivals", "monitor", "monitor-state"))
 
-    def build(live):
+    def query():
+        live = streams.file_stream(spark, path, events.schema, max_files_per_trigger=1)
         live = rows.decided(live.withColumn("score", F.least(F.col("value") / 500.0, F.lit(1.0))), "score", 0.1, 0.4)
         bad = F.col("event_id") % 13 == 0
         live = live.withColumns({"error": F.when(bad, "bad"), "decision": F.when(~bad, F.col("decision"))})
-        return flow.stream_monitor(live, "ts", score="score", error="error")
-    middle = F.lit(events.agg(F.median("event_id")).first()[0])
-    counts = run_parts(spark, [events.where(F.col("event_id") > middle), events.where(F.col("event_id") <= middle)], build, mode="update")
-    # update mode writes a window again whenever it grows; the largest count is the last one
-    return counts.groupBy(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "metric", "value").agg(F.max("n").alias("n"))
+        return live.writeStream.option("checkpointLocation", state).foreachBatch(flow.monitor_sink(counts, time_col="ts", score="score", error="error"))
+    events.where(F.col("event_id") > middle).repartition(3).write.parquet(path)
+    running = query().trigger(processingTime="100 milliseconds").start()
+    while running.isActive and not running.recentProgress:
+        time.sleep(0.05)
+    flow.stop_after_batch(running)
+    events.where(F.col("event_id") <= middle).repartition(2).write.mode("append").parquet(path)
+    query().trigger(availableNow=True).start().awaitTermination()
+    return flow.monitor_totals(spark, counts).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @plan("bounded_run", "n_rows:l n_epochs:l", "select count(*) as n_rows, 3 as n_epochs from events")

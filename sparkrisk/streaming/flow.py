@@ -139,13 +139,9 @@ def score_stream(events: DataFrame, roles: Roles, score: Callable[[DataFrame], D
     return out.unionByName(rejected, allowMissingColumns=True)
 
 
-def stream_monitor(decisions: DataFrame, time_col: str, decision: str = "decision", width: str = "1 hour",
+def monitor_counts(decisions: DataFrame, time_col: str, decision: str = "decision", width: str = "1 hour",
                    score: str | None = None, error: str | None = None, buckets: int = 10) -> DataFrame:
-    """Running counts per time window of decisions, score buckets and failures by reason.
-
-    Rows (window_start, metric, value, n) for update mode. No watermark: a late event still counts in its
-    window, and the state is a handful of rows for each window there is.
-    """
+    """Counts per time window of decisions, score buckets and failures by reason: (window_start, metric, value, n)."""
     cells = [F.struct(F.lit("decision").alias("metric"), F.col(decision).cast("string").alias("value"))]
     if score:
         low = F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1))
@@ -157,6 +153,23 @@ def stream_monitor(decisions: DataFrame, time_col: str, decision: str = "decisio
         F.col("w.start").alias("window_start"), "metric", "value", "n")
 
 
+def monitor_sink(path: str, **columns) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each micro-batch's counts.
+
+    The query keeps no state at all, however long it runs and however many windows there are, and a late event is counted by
+    the batch that brings it. A batch owns its folder, so one that is repeated counts once. ``columns`` are those of
+    ``monitor_counts``.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        monitor_counts(batch, **columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return write
+
+
+def monitor_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of all batches so far: (window_start, metric, value, n)."""
+    return spark.read.parquet(path).groupBy("window_start", "metric", "value").agg(F.sum("n").alias("n"))
+
+
 def stop_after_batch(query, seconds: float = 60.0) -> bool:
     """Stop a running query between two micro-batches (G9); False if one was still running after ``seconds``."""
     import time
