@@ -120,3 +120,80 @@ def test_invalid_rows_reach_the_dead_letters_not_the_state(spark):
     out = {r["id"]: r for r in run(live).collect()}
     assert "negative" in out[2]["error_reason"] and "field_null" in out[3]["error_reason"]
     assert out[4]["bhv_prev_txn_count"] == 1 and out[4]["decision"] == "REVIEW" and out[4]["error_reason"] is None
+
+
+def loop_moments(a):
+    n, mean, m2, out = 0, 0.0, 0.0, []
+    for x in a:
+        if x == x:
+            n += 1
+            d = x - mean
+            mean += d / n
+            m2 += d * (x - mean)
+        out.append((n, mean, m2))
+    return np.array(out).T
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 64, 1000, 4097])
+def test_prefix_moments_equal_the_loop(size):
+    rng = np.random.default_rng(size)
+    a = 1e6 + rng.normal(0, 1, size)
+    a[rng.random(size) < 0.2] = np.nan
+    n, mean, m2 = processor.prefix_moments(a)
+    want = loop_moments(a)
+    assert (n == want[0]).all() and np.allclose(mean, want[1], rtol=1e-12) and np.allclose(m2, want[2], rtol=1e-6, atol=1e-6)
+
+
+def empty_state():
+    none = np.empty(0, dtype=np.int64)
+    return dict(n=0, m=0, mean=0.0, m2=0.0, low=None, high=None, last=None, times=none, ids=none, counts=none)
+
+
+def test_a_hot_key_in_chunks_is_what_it_is_at_once():
+    """A million events of one key: the same features whether they are made at once or chunk by chunk."""
+    rng = np.random.default_rng(1)
+    n = 1_000_000
+    frame = pd.DataFrame({"row_id": np.arange(n), "row_time": np.sort(rng.integers(0, 10 ** 8, n)), "row_amount": 1e6 + rng.normal(0, 1e-3, n)})
+    frame.loc[rng.random(n) < 0.1, "row_amount"] = np.nan
+    p = processor.HistoryProcessor("row_id", [], [], {"h": 3600, "d": 86400}, 1)
+    whole, state = p._advance(empty_state(), frame), empty_state()
+    parts = [p._advance(state, frame.iloc[k:k + processor.CHUNK]) for k in range(0, n, processor.CHUNK)]
+    for name in whole:
+        assert np.allclose(np.concatenate([x[name] for x in parts]), whole[name], rtol=1e-9, atol=1e-9, equal_nan=True), name
+    assert abs(whole["std"][-1] - 1e-3) < 1e-5
+
+
+def test_snapshot_of_a_stopped_stream(spark):
+    """State read from the checkpoint, older times in their buckets included, goes on where the query ended."""
+    rows = make(400, entities=2, top=90_000)
+    path, state = scratch_path(spark, "arrivals"), scratch_path(spark, "state")
+    spark.createDataFrame(rows[:300], SCHEMA).write.parquet(path)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    flow.run_available(flow.stream_features(streams.file_stream(spark, path, schema), R, inline_times=8), scratch_path(spark, "out"), state)
+    buckets = spark.read.format("statestore").option("stateVarName", "old_times").load(state)
+    assert buckets.count() > 0
+    initial = flow.state_snapshot(spark, state)
+    assert initial.where("kind = 'state'").agg(F.sum("n")).first()[0] == 300
+    rest = run(flow.stream_features(arrivals(spark, [rows[300:]]), R, initial=initial, inline_times=8))
+    off = history_features(spark.createDataFrame(rows, SCHEMA), R, hot_rows=None).where("id >= 300")
+    assert feature_parity(rest, off, "id", feature_names(), 1e-6).first()["n_mismatches"] == 0
+
+
+def test_monitor_counts_late_rows_and_repeated_batches(spark):
+    rows = [(i, (i * 37) % 10_000, 1, 0.1 * (i % 10)) for i in range(60)]
+    sink = flow.monitor_sink(path := scratch_path(spark, "monitor"), time_col="at", score="amount")
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"at": F.timestamp_seconds("time"), "decision": F.lit("APPROVE")})
+    sink(df.where("id < 30"), 0)
+    sink(df.where("id >= 30"), 1)
+    sink(df.where("id >= 30"), 1)  # a batch that is replayed
+    totals = flow.monitor_totals(spark, path)
+    assert totals.where("metric = 'decision'").agg(F.sum("n")).first()[0] == 60
+    assert totals.where("metric = 'score_bucket'").count() == flow.monitor_counts(df, "at", score="amount").where("metric = 'score_bucket'").count()
+
+
+def test_stop_between_batches(spark):
+    live = arrivals(spark, [make(40, seed=k) for k in range(3)])
+    query = live.writeStream.foreachBatch(lambda b, e: b.count()).option("checkpointLocation", scratch_path(spark, "state")).trigger(processingTime="50 milliseconds").start()
+    while not query.recentProgress:
+        pass
+    assert flow.stop_after_batch(query) and not query.isActive
