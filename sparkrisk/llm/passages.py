@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.session import materialized
 from .graph import components
@@ -26,8 +26,9 @@ SHINGLE, LEAST_WORDS, WINDOW, ANCHORS, JACCARD = 5, 1, 24, 26, 0.8
 WRAPPED = 24
 #: Two rows a band: a pair at 0.8 meets in one of six bands with probability 1 - (1 - 0.64) ** 6 = 0.998.
 BANDS, ROWS = 6, 2
-#: Members that a band's bucket is joined with itself at; fuller ones go through ``_by_prefix``, which misses nothing.
-BUCKET = 48
+#: Members up to which a band's bucket, or a rare shingle's, is joined with itself. Members of fuller buckets meet in those of their
+#: rare shingles, which misses nothing, and fuller ones of these have leaders.
+BUCKET = 12
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
 _ODD = np.random.default_rng(11).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -159,18 +160,14 @@ def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
     return texts.join(listed, same).select("text", "hashes").mapInArrow(run, "hash long, set array<long>").dropDuplicates(["hash"])
 
 
-def _by_prefix(sets: DataFrame) -> DataFrame:
-    """Candidate pairs that hold every pair with a Jaccard similarity of JACCARD or more.
-
-    Shingles are put in the order of their frequency; two sets as similar as that have one of their rarest
-    size - ceil(JACCARD * size) + 1 shingles in common.
-    """
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """``s``, ``hash``: the rarest shingles of every set, so that any two sets with a Jaccard similarity of JACCARD or more have
+    one in common: the first size - ceil(JACCARD * size) + 1 in the order of their frequency. Shingles of one set only are left out."""
     rows = sets.select("hash", F.size("set").alias("n"), F.explode("set").alias("s"))
     often = materialized(rows.groupBy("s").agg(F.count("*").alias("often")))
     rows = rows.join(often, "s").groupBy("hash", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("all"))
     rare = rows.select("hash", F.explode(F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * JACCARD) + 1).cast("int"))).alias("r")).where("r.often > 1")
-    rare = materialized(rare.select("hash", F.col("r.s").alias("s")))
-    return _pairs(rare, "s")
+    return materialized(rare.select("hash", F.col("r.s").alias("s")))
 
 
 def _pairs(members: DataFrame, key: str) -> DataFrame:
@@ -178,8 +175,45 @@ def _pairs(members: DataFrame, key: str) -> DataFrame:
     return x.join(y, key).where("a < b").select("a", "b")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+    both = pairs.join(sets.select(F.col("hash").alias("a"), F.col("set").alias("sa"), F.size("set").alias("na")), "a")
+    both = both.join(sets.select(F.col("hash").alias("b"), F.col("set").alias("sb"), F.size("set").alias("nb")), "b")
+    both = both.where(F.least("na", "nb") >= JACCARD * F.greatest("na", "nb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= JACCARD * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+
+def _by_leaders(groups: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges that give the same components as all similar pairs of the groups (``s``, ``hash``), without their pairs.
+
+    A leader is compared with every member that isn't in its component, and leaves the group, whose pairs with it are then
+    settled. Groups of one component are done: any further link is within it. In a group of near copies the first leader
+    links nearly all, and the next ones are taken from what is outside the largest component; their number doubles, so
+    groups that hold several clusters without links between them end soon too.
+    """
+    active = materialized(groups.select("s", "hash", F.col("hash").alias("c")))
+    leaders = 1
+    while True:
+        near = components(edges)
+        active = active.drop("c").join(near, F.col("hash") == F.col("node"), "left").select("s", "hash", F.coalesce("component", "hash").alias("c"))
+        active = materialized(active)
+        sizes = materialized(active.groupBy("s", "c").agg(F.count("*").alias("n")))
+        main = sizes.groupBy("s").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("s", F.col("m.c").alias("main"))
+        active = materialized(active.join(main, "s"))
+        if active.isEmpty():
+            return edges
+        place = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("hash", "s")))
+        first = active.where("c <> main").withColumn("place", place).where(F.col("place") <= leaders)
+        first = materialized(first.select("s", F.col("hash").alias("leader"), F.col("c").alias("of")))
+        met = active.join(first, "s").where("c <> of").select(F.least("leader", "hash").alias("a"), F.greatest("leader", "hash").alias("b")).distinct()
+        edges = materialized(edges.union(_verified(met, sets)))
+        active = active.join(first.select("s", F.col("leader").alias("hash")), ["s", "hash"], "left_anti").select("s", "hash", "c")
+        leaders *= 2
+
+
 def _similar(docs: DataFrame, id: str, text: str, rows: DataFrame) -> DataFrame:
-    """Edges between hashes of different lines that are similar enough."""
+    """Edges between hashes of different lines that give the components of the similar ones."""
     keyed = rows.where("kind = 0").select("hash", F.explode("bands").alias("band"))
     shared = materialized(keyed.groupBy("band").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("band"))
     met = materialized(rows.where("kind = 0").select("hash", F.struct("id", "text_key").alias("place"), F.explode("bands").alias("band"))
@@ -187,11 +221,14 @@ def _similar(docs: DataFrame, id: str, text: str, rows: DataFrame) -> DataFrame:
     sizes = materialized(met.groupBy("band").agg(F.count("*").alias("n")))
     met = materialized(met.join(sizes, "band"))
     sets = materialized(_sets(docs, id, text, met.groupBy("hash").agg(F.min("place").alias("place")).select("hash", "place.*")))
+    few = met.where(F.col("n") <= BUCKET)
     full = met.where(F.col("n") > BUCKET).select("hash").distinct()
-    pairs = _pairs(met.where(F.col("n") <= BUCKET), "band").union(_by_prefix(sets.join(full, "hash"))).distinct()
-    both = pairs.join(sets.select(F.col("hash").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("hash").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= JACCARD * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    rare = _rare_shingles(sets.join(full, "hash"))
+    sizes = materialized(rare.groupBy("s").agg(F.count("*").alias("n")))
+    rare = materialized(rare.join(sizes, "s"))
+    pairs = _pairs(few, "band").union(_pairs(rare.where(F.col("n") <= BUCKET), "s")).distinct()
+    edges = materialized(_verified(pairs, sets))
+    return _by_leaders(rare.where(F.col("n") > BUCKET), sets, edges)
 
 
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
