@@ -1,7 +1,7 @@
 """Near-duplicate vectors: an exact range join in a metric space, cell by cell.
 
-Unit vectors with a cosine of at least c lie within the distance e = sqrt(2 - 2c). Pivots (a bounded
-sample of each label's vectors) divide the vectors into cells of the nearest pivot. If y belongs to cell
+Unit vectors with a cosine of at least c lie within the distance e = sqrt(2 - 2c). Pivots (a few of
+each label's vectors) divide the vectors into cells of the nearest pivot. If y belongs to cell
 B and x is within e of y, the triangle inequality gives d(x, B) - d(x, A) <= 2e for x's nearest pivot A,
 so x is copied to every such B and all partners of a cell's vectors are in the cell.
 """
@@ -16,8 +16,8 @@ from ..functions.session import materialized
 from .graph import components
 
 COSINE = 0.93
-#: Pivots of a label at most, so many vectors a pivot at least, and the rows of one block of a cell.
-MOST_PIVOTS, ROWS_PER_PIVOT, BLOCK_ROWS = 64, 2048, 2048
+#: Labels of more vectors have pivots: two at least, one for so many vectors, and so many at most; rows of one block.
+LEAST_ROWS, ROWS_PER_PIVOT, MOST_PIVOTS, BLOCK_ROWS = 24, 2048, 64, 2048
 #: Room for rounding in the distances that choose cells; pairs are decided by the cosine alone.
 SLACK = 1e-6
 
@@ -29,21 +29,19 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(pivots: dict, reach: float):
-    """For each vector its cell, and a copy for every other cell that may hold partners."""
-    def cells(batches):
-        for frame in batches:
-            for (label, width), part in frame.groupby(["label", "width"]):
-                centre = pivots.get((label, width))
-                if centre is None:
-                    centre = np.zeros((1, width))
-                far = np.sqrt(np.maximum(0, 1 + (centre ** 2).sum(1)[None] - 2 * _unit(part["v"]) @ centre.T))
-                home = far.argmin(1)
-                near = far - far[np.arange(len(far)), home][:, None] <= 2 * reach + SLACK
-                row, cell = np.nonzero(near)
-                out = part.iloc[row].copy()
-                out["cell"], out["home"] = cell, cell == home[row]
-                yield out
+def _assign(reach: float):
+    """For each vector of a block its cell, and a copy for every other cell that may hold partners."""
+    def cells(part: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({c: [] for c in ("label", "width", "node", "copies", "v", "cell", "home")})
+        centre = _unit(pivots.sort_values("k")["v"]) if len(pivots) else np.zeros((1, int(part["width"].iloc[0])))
+        far = np.sqrt(np.maximum(0, 1 + (centre ** 2).sum(1)[None] - 2 * _unit(part["v"]) @ centre.T))
+        home = far.argmin(1)
+        near = far - far[np.arange(len(far)), home][:, None] <= 2 * reach + SLACK
+        row, cell = np.nonzero(near)
+        out = part.iloc[row][["label", "width", "node", "copies", "v"]].copy()
+        out["cell"], out["home"] = cell, cell == home[row]
+        return out
     return cells
 
 
@@ -70,20 +68,23 @@ def _compare(cosine: float):
     return block
 
 
-def _pivots(points: DataFrame) -> dict:
-    """Unit vectors of each label and length that has more than ROWS_PER_PIVOT points: those of the least hash.
+def _placed(points: DataFrame, reach: float, block_rows: int) -> DataFrame:
+    """``points`` with ``cell`` and ``home``: each one in its own cell, and copied to every other that may hold partners.
 
-    One for so many points, MOST_PIVOTS at most; the driver holds no more than one in ROWS_PER_PIVOT of all
-    points. Smaller labels are one cell and need none.
+    Labels of more than LEAST_ROWS points have pivots, those of the least hash: a small table that meets each block of their
+    points, so neither the driver nor a task holds those of all labels.
     """
-    large = points.groupBy("label", "width").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_PIVOT)
-    order = F.row_number().over(Window.partitionBy("label", "width").orderBy(F.xxhash64("v"), "node"))
-    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / ROWS_PER_PIVOT))
-    first = points.join(large, ["label", "width"]).withColumn("k", order).where(F.col("k") <= MOST_PIVOTS)
-    out: dict = {}
-    for r in first.where(F.col("k") <= wanted).select("label", "width", "k", "v").orderBy("label", "width", "k").collect():
-        out.setdefault((r["label"], r["width"]), []).append(r["v"])
-    return {key: _unit(pd.Series(v)) for key, v in out.items()}
+    of = ["label", "width"]
+    sizes = materialized(points.groupBy(*of).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_rows)))
+    order = F.row_number().over(Window.partitionBy(*of).orderBy(F.xxhash64("v"), "node"))
+    wanted = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(2), F.ceil(F.col("n") / ROWS_PER_PIVOT)))
+    first = points.join(sizes.where(F.col("n") > LEAST_ROWS), of).withColumn("k", order).where(F.col("k") <= MOST_PIVOTS).where(F.col("k") <= wanted)
+    pivots = materialized(first.select(*of, "k", "v", "blocks"))
+    pivots = pivots.select(*of, "k", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    dealt = points.join(sizes, of).select(*[F.col(c).alias(c) for c in (*of, "node", "copies", "v")], F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    kind = points.schema["label"].dataType.simpleString()
+    return dealt.groupBy(*of, "block").cogroup(pivots.groupBy(*of, "block")).applyInPandas(
+        _assign(reach), f"label {kind}, width int, node long, copies long, v array<double>, cell int, home boolean")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id", vector: str = "embedding", label: str = "label",
@@ -104,9 +105,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_i
     points = (rows.where("v is not null").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
               .withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("v")))
     points = materialized(points)
-    pivots = _pivots(points)
-    placed = materialized(points.select("label", "width", "node", "copies", "v").mapInPandas(
-        _assign(pivots, float(np.sqrt(2 - 2 * cosine))), "label int, width int, node long, copies long, v array<double>, cell int, home boolean"))
+    placed = materialized(_placed(points, float(np.sqrt(2 - 2 * cosine)), block_rows))
     cells = placed.groupBy("label", "width", "cell").agg(F.count_if("home").alias("own"), F.count("*").alias("all"))
     cells = materialized(cells.select("label", "width", "cell", F.ceil(F.col("own") / block_rows).alias("rows"), F.ceil(F.col("all") / block_rows).alias("columns")))
     cut = placed.join(cells, ["label", "width", "cell"])
