@@ -94,9 +94,8 @@ class Map(dict):
 
 
 @pytest.mark.parametrize("inline", [8, 10_000])
-def test_busy_entity_spills_and_stays_exact(monkeypatch, inline):
-    monkeypatch.setattr(processor, "INLINE_TIMES", inline)
-    p = processor.HistoryProcessor("id", [], feature_names(), {"1h": 3600, "24h": 86400}, 1)
+def test_busy_entity_spills_and_stays_exact(inline):
+    p = processor.HistoryProcessor("id", [], feature_names(), {"1h": 3600, "24h": 86400}, 1, inline_times=inline)
     p.state, p.spill = Value(), Map()
     rng = np.random.default_rng(1)
     t = np.sort(rng.integers(0, 400_000, 2000))
