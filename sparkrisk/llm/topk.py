@@ -21,32 +21,35 @@ def whole_components(vector: Column) -> Column:
     return F.when(fine, F.transform(vector, lambda x: F.floor(1024 * x.cast("double"))))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to smaller ids; a selection first, then a sort of what it leaves."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+def _best(scores: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
+    """Which of a tile's scores are among the k highest of their row; ties go to the columns on the left.
+
+    One selection over the whole tile finds each row's k-th highest score; what is above it is in, and of what equals it as
+    many as there is room for.
+    """
+    if scores.shape[1] <= k:
+        return allowed
+    low = np.iinfo(np.int64).min
+    held = np.where(allowed, scores, low)
+    least = np.partition(held, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above, equal = held > least, held == least
+    return (above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True))) & allowed
 
 
 def _tile(k: int):
     def multiply(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0]) if len(rows) and len(queries) else 0
-        out = []
-        if len(rows) and len(queries):
-            a, b = np.stack(queries["v"].to_numpy()).astype(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64)
-            width = a.shape[1]
-            bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * width
-            # below 2^53 every sum of products is exact in a double, and the product runs on vector units
-            product = (a.astype(float) @ b.astype(float).T).astype(np.int64) if bound < 2.0 ** 53 else a @ b.T
-            ids, at = rows["id"].to_numpy(), rows["row"].to_numpy()
-            for q, row, scores in zip(queries["id"], queries["row"], product):
-                others = np.flatnonzero(at != row)
-                best = others[_best(scores[others], ids[others], k)]
-                out.append(pd.DataFrame({"row": row, "query_id": q, "shard": shard, "vec_id": ids[best], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("row", "query_id", "shard", "vec_id", "score")})
+        names = ("row", "query_id", "shard", "vec_id", "score")
+        if not len(rows) or not len(queries):
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
+        rows = rows.sort_values("id", kind="stable")
+        a, b = np.stack(queries["v"].to_numpy()).astype(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64)
+        width = a.shape[1]
+        bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * width
+        # below 2^53 every sum of products is exact in a double, and the product runs on vector units
+        product = (a.astype(float) @ b.astype(float).T).astype(np.int64) if bound < 2.0 ** 53 else a @ b.T
+        own, other = queries["row"].to_numpy(), rows["row"].to_numpy()
+        q, c = np.nonzero(_best(product, own[:, None] != other[None], k))
+        return pd.DataFrame(dict(zip(names, (own[q], queries["id"].to_numpy()[q], np.full(len(q), rows["shard"].iloc[0]), rows["id"].to_numpy()[c], product[q, c]))))
     return multiply
 
 
