@@ -161,4 +161,5 @@ def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
                       "__doc", "__text", ["__at"])
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__at")).alias("first"))
     stays = materialized(first.select(F.col("first.__at").alias("__at")))
-    return rows.join(stays, "__at", "left_semi").select(*[F.col(f"__row.`{n}`").alias(n) for n in docs.columns])
+    # what stays grows with the documents, so it is never broadcast, however few they are
+    return rows.join(stays.hint("merge"), "__at", "left_semi").select(*[F.col(f"__row.`{n}`").alias(n) for n in docs.columns])
