@@ -1,9 +1,11 @@
 """Personal data: patterns find it, and corpus co-occurrence finds the words that give it away.
 
-Protected entities are the values the patterns find. A word beside a mention of an entity reveals it as far as
-the corpus ties the two together: disclosure = PMI(word, entity) / IC(entity), which is 1 when the word
-occurs in no document without the entity beside it, and about 0 when it occurs everywhere. Words over a
-threshold are cut to their beginning, if that reveals less than the threshold, and removed if not.
+Protected entities are the values the patterns find, and secrets (keys, tokens, passwords in a setting). Any word
+of a document that mentions an entity reveals it as far as the corpus ties the two together: disclosure =
+log(P(entity | word) / P(entity)) / IC(entity), with P(entity | word) = documents with both / (documents with the
+word + 2), so about 1 for a word that many documents hold and each beside the entity, less the fewer sightings there
+are, and about 0 for a word that occurs everywhere. Words over the threshold are replaced wherever they occur, in any
+document: by their beginning, if that reveals less than the threshold, and removed if not.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.session import materialized
-from .tables import whole_text
+from .tables import only, whole_text
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+#: The first so many kinds are the base.
+BASE = 4
 #: Same matches as the plain patterns, leftmost and without overlap, but linear: a run is entered at its
 #: first character or where the last match ended, and is never given back.
 PATTERNS = {
@@ -23,12 +27,20 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+"
+              r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++|(?i:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s,;]{6,}+)",
 }
 #: A document without it has no match; a plain search is much cheaper than the pattern.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CONTEXT_WORDS, PREFIX_LETTERS, THRESHOLD = 5, 4, 0.8
-#: What a pair seen in one document only counts for: one sighting may be chance (rule of succession, 1 of 1 + 2).
-ONCE = 1 / 3
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None}
+PREFIX_LETTERS, THRESHOLD = 4, 0.8
+#: A word: letters and digits, also with apostrophes and hyphens inside; one letter at least, two characters at least.
+WORD = r"[\p{L}\p{M}\p{N}]++(?:['’-][\p{L}\p{M}\p{N}]++)*+"
+#: Words outside addresses and secrets (group 1).
+_TOKEN = r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|" + PATTERNS["secret"] + ")|(" + WORD + ")"
+#: Keys in more than this share of the documents are looked up by broadcast: there are at most 1 / share times a document's mean number of keys.
+COMMON = 0.01
+#: Ids of documents to rewrite are broadcast up to this number (8 bytes each); beyond it texts are joined by shuffle.
+REWRITTEN = 2_000_000
 _BLOCK = 256
 
 
@@ -65,109 +77,125 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _words(piece: Column) -> Column:
-    """The first whole words after a piece's first, broken word: ``term`` as written, ``skip`` and ``len`` in characters.
+def _is_word(token: Column) -> Column:
+    return (F.length(token) > 1) & token.rlike(r"\p{L}")
 
-    A word counts if it is letters but for marks around it; it must end in white space.
-    """
-    broken = F.length(F.regexp_extract(piece, r"^(\S*+)", 1))
-    near = F.regexp_extract_all(F.regexp_extract(piece, r"^\S*+((?:\s++\S++(?=\s)){0,%d}+)" % CONTEXT_WORDS, 1), F.lit(r"(\s++\S++)"), F.lit(1))
-    def of(words: Column) -> Column:
-        return F.transform(words, lambda w, i: F.struct(
-            F.regexp_extract(w, r"^\s++[^\p{L}\s]*+(\p{L}{2,}+)[^\p{L}\s]*+$", 1).alias("term"),
-            (broken + F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + F.length(F.regexp_extract(w, r"^(\s++[^\p{L}\s]*+)", 1))).alias("skip")))
-    return F.filter(_let(near, of), lambda w: w["term"] != "")
+
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
+    return F.array_distinct(F.transform(F.filter(tokens, _is_word), lambda w: F.lower(w)))
+
+
+def _ends(pieces: Column, found: Column) -> Column:
+    """Where each match ends, in characters, from the matches and the pieces between them."""
+    return _running(F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m)), F.lit(0), lambda a, b: a + b)
+
+
+def _places(text: Column) -> Column:
+    """Array of (term, start, end): every word of a text as ``_words`` counts it."""
+    both = F.struct(F.split(text, _TOKEN, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("found"),
+                    F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)).alias("words"))
+    def of(both: Column) -> Column:
+        return _let(_ends(both["pieces"], both["found"]), lambda ends: F.transform(both["words"], lambda w, i: F.struct(
+            w.alias("term"), (F.get(ends, i) - F.length(w)).alias("start"), F.get(ends, i).alias("end"))))
+    places = F.filter(_let(both, of), lambda p: _is_word(p["term"]))
+    return F.transform(places, lambda p: F.struct(F.lower(p["term"]).alias("term"), p["start"].alias("start"), p["end"].alias("end")))
 
 
 def _mentions(text: Column, kind: str) -> Column:
-    """Array of (start, end, kind, entity, words beside it) of one kind; positions in code points, end exclusive."""
+    """Array of (start, end, kind, entity) of one kind; positions in code points, end exclusive."""
     pattern, number = PATTERNS[kind], KINDS.index(kind)
-    key = lambda m: F.concat(F.lit(f"{kind}:"), F.lower(m) if kind == "email" else m if kind == "ip" else _digits(m))
+    key = lambda m: F.concat(F.lit(f"{kind}:"), F.lower(m) if kind == "email" else m if kind in ("ip", "secret") else _digits(m))
 
     def spans(both: Column) -> Column:
-        pieces, found = both["pieces"], both["found"]
-        sizes = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
-
         def one(m: Column, i: Column, ends: Column) -> Column:
             end = F.get(ends, i)
-            start = end - F.length(m)
-            def beside(words: Column, sign: int) -> Column:
-                term = (lambda w: w["term"]) if sign > 0 else (lambda w: F.reverse(w["term"]))
-                first = (lambda w: end + w["skip"]) if sign > 0 else (lambda w: start - w["skip"] - F.length(w["term"]))
-                return F.transform(words, lambda w: F.struct(F.lower(term(w)).alias("term"), first(w).alias("start"), (first(w) + F.length(w["term"])).alias("end")))
-            left, right = F.get(pieces, i), F.get(pieces, i + 1)
-            left = F.when(i == 0, F.concat(F.lit(" "), left)).otherwise(left)
-            right = F.when(i == F.size(found) - 1, F.concat(right, F.lit(" "))).otherwise(right)
-            near = F.concat(beside(_words(F.reverse(left)), -1), beside(_words(right), 1))
-            return F.when(_passes(kind, m), F.struct(start.alias("start"), end.alias("end"), F.lit(number).alias("kind"), key(m).alias("entity"), near.alias("near")))
-        return _let(_running(sizes, F.lit(0), lambda a, b: a + b), lambda ends: F.filter(F.transform(found, lambda m, i: one(m, i, ends)), lambda x: x.isNotNull()))
-
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,entity:string,near:array<struct<term:string,start:int,end:int>>>>")
+            return F.when(_passes(kind, m), F.struct((end - F.length(m)).alias("start"), end.alias("end"), F.lit(number).alias("kind"), key(m).alias("entity")))
+        return _let(_ends(both["pieces"], both["found"]), lambda ends: F.filter(F.transform(both["found"], lambda m, i: one(m, i, ends)), lambda x: x.isNotNull()))
+
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,entity:string>>")
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     may = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
     return F.when(may, _let(both, spans)).otherwise(none)
 
 
-def _found(docs: DataFrame, id: str, text: str, carry: list[Column]) -> DataFrame:
-    """One written row per document: ``__at``, ``id``, ``base`` (spans) and ``near`` (entity and word beside it), and ``carry``."""
-    rows = docs.select(F.col(f"`{id}`").alias("id"), whole_text(text).alias("__t"), F.monotonically_increasing_id().alias("__at"), *carry)
+def _found(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """One written row per document: ``__at``, ``__row`` (as it came), ``id``, ``base`` and ``secrets`` (spans), ``entities`` and ``words`` (distinct)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select(row, F.col(f"`{id}`").alias("id"), whole_text(f"`{text}`").alias("__t"), F.monotonically_increasing_id().alias("__at"))
     rows = rows.withColumn("m", F.concat(*[_mentions(F.col("__t"), k) for k in KINDS[:-1]]))
-    base = F.transform("m", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    near = F.flatten(F.transform("m", lambda x: F.transform(x["near"], lambda w: F.struct(x["entity"].alias("entity"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))))
+    spans = lambda wanted: F.array_sort(F.transform(F.filter("m", wanted), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     entities = F.array_distinct(F.transform("m", lambda x: x["entity"]))
-    names = [c for c in rows.columns if c not in ("__t", "m")]
-    return materialized(rows.select(*names, F.array_sort(base).alias("base"), near.alias("near"), entities.alias("entities")))
+    return materialized(rows.select("__at", "__row", "id", spans(lambda x: x["kind"] < BASE).alias("base"), spans(lambda x: x["kind"] >= BASE).alias("secrets"),
+                                    entities.alias("entities"), _words(F.col("__t")).alias("words")))
 
 
 def _stem(term: Column) -> Column:
     return F.concat(F.substring(term, 1, PREFIX_LETTERS), F.lit("*"))
 
 
-def _disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """``entity``, ``term``, ``removed``: words that say too much of an entity, from counts of all documents.
+def _looked_up(rows: DataFrame, counted: DataFrame, key: str, common: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``counted`` for their key. Keys of ``common`` come by broadcast, so no key that many rows share is shuffled."""
+    often = rows.join(F.broadcast(counted.join(F.broadcast(common), key, "left_semi")), key)
+    seldom = rows.join(F.broadcast(common), key, "left_anti").join(counted.join(F.broadcast(common), key, "left_anti"), key)
+    return often.unionByName(seldom)
+
 
-    Counts are documents: with the entity, with the word, with the word beside the entity. A pair in a single
-    document counts as ``ONCE``, so it is over the threshold if the corpus is large enough for its word to be
-    telling: for a word and an entity that occur once each, from ONCE ** (1 / (THRESHOLD - 1)) = 243 documents
-    on. Everything is counted before it is shuffled.
+def _disclosing(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``term``, ``removed``: words that say too much of an entity, from counts of all documents; and the common words.
+
+    Entities of the very same documents are told apart by no word, so they are one class. A word can only be over the
+    threshold if few enough documents hold it; the others of a document never meet its entities.
     """
     n = found.count()
-    pairs = F.array_distinct(F.flatten(F.transform("near", lambda w: F.array(
-        F.struct(w["entity"].alias("entity"), w["term"].alias("term")), F.struct(w["entity"].alias("entity"), _stem(w["term"]).alias("term"))))))
-    pairs = (found.where(F.size("near") > 0).select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both")))
-    pairs = materialized(pairs.withColumn("both", F.when(F.col("both") > 1, F.col("both")).otherwise(ONCE)))
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    words = F.filter(F.split(F.lower(whole_text(text)), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
-    words = docs.select(F.array_distinct(words).alias("w")).select(F.explode(F.concat("w", F.array_distinct(F.transform("w", _stem)))).alias("term"))
-    words = words.groupBy("term").agg(F.count("*").alias("with_term"))
-    words = materialized(pairs.select("term").distinct().join(words, "term"))
-    known = pairs.join(words, "term").join(entities, "entity")
+    common = lambda counted, key, count: materialized(counted.where(F.col(count) > COMMON * n).select(key))
+    terms = lambda: F.explode(F.concat("words", F.array_distinct(F.transform("words", _stem)))).alias("term")
+    words = materialized(found.select(terms()).groupBy("term").agg(F.count("*").alias("with_term")))
+    often = common(words, "term", "with_term")
+
+    having = found.where(F.size("entities") > 0)
+    entities = having.select("__at", F.explode("entities").alias("entity"))
+    same = [F.bit_xor(F.xxhash64("__at", F.lit(k))).alias(f"same{k}") for k in range(2)]
+    classes = materialized(entities.groupBy("entity").agg(F.count("*").alias("with_entity"), *same))
+    name = ["with_entity", "same0", "same1"]
+    classes = materialized(_looked_up(entities, classes, "entity", common(classes, "entity", "with_entity")).select("__at", *name).distinct())
+
+    held = _looked_up(having.select("__at", terms()), words, "term", often)
+    may = F.col("with_term") + 2 <= F.least("with_entity", "with_term") * F.pow(F.lit(n) / F.col("with_entity"), F.lit(1 - THRESHOLD))
+    pairs = held.join(classes, "__at").where(may).groupBy(*name, "term", "with_term").agg(F.count("*").alias("both"))
     ic = F.log(F.lit(n) / F.col("with_entity"))
-    pmi = F.log(F.col("both") * F.lit(n) / (F.col("with_entity") * F.col("with_term")))
-    known = materialized(known.select("entity", "term", F.when(ic > 0, pmi / ic).alias("disclosure")).where("disclosure is not null"))
-    over = known.where((F.col("disclosure") >= THRESHOLD) & ~F.col("term").endswith("*"))
-    stems = known.where(F.col("term").endswith("*")).select(F.col("entity").alias("e"), F.col("term").alias("stem"), F.col("disclosure").alias("of_stem"))
-    over = over.join(stems, (F.col("e") == F.col("entity")) & (F.col("stem") == _stem(F.col("term"))), "left")
+    gain = F.log(F.col("both") * F.lit(n) / (F.col("with_entity") * (F.col("with_term") + 2)))
+    over = materialized(pairs.where((ic > 0) & (gain >= THRESHOLD * ic)).select(*name, "term"))
+    stems = over.where(F.col("term").endswith("*")).select(*name, F.col("term").alias("stem"), F.lit(True).alias("tells"))
+    over = over.where(~F.col("term").endswith("*")).withColumn("stem", _stem(F.col("term"))).join(stems, [*name, "stem"], "left")
     # a word no longer than the stem has nothing to hide behind
-    kept = (F.col("of_stem") < THRESHOLD) & (F.length("term") > PREFIX_LETTERS)
-    return materialized(over.select("entity", "term", (~F.coalesce(kept, F.lit(False))).alias("removed")))
-
-
-def _spans(docs: DataFrame, id: str, text: str, carry: list[Column]) -> DataFrame:
-    """``_found`` with ``terms``: spans of disclosing words (start, end, removed), or null. Only rows that have any are shuffled."""
-    found = _found(docs, id, text, carry)
-    near = found.where(F.size("near") > 0).select("__at", F.explode("near").alias("w")).select("__at", "w.entity", "w.term", "w.start", "w.end")
-    hits = near.join(_disclosing(found, docs, text), ["entity", "term"])
-    hits = hits.groupBy("__at", "start", "end").agg(F.max("removed").alias("removed"))
-    hits = materialized(hits.groupBy("__at").agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms")))
-    some = F.size("near") > 0
-    return found.where(some).join(hits, "__at", "left").unionByName(found.where(~some), allowMissingColumns=True)
+    removed = F.coalesce("tells", F.lit(False)) | (F.length("term") <= PREFIX_LETTERS)
+    return materialized(over.groupBy("term").agg(F.max(removed).alias("removed"))), often
+
+
+def _spans(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``_found`` with ``terms``: places of disclosing words (start, end, removed), or null."""
+    found = _found(docs, id, text)
+    disclosing, often = _disclosing(found)
+    hits = materialized(_looked_up(found.select("__at", F.explode("words").alias("term")), disclosing, "term", often))
+    ids = materialized(hits.select("__at").distinct())
+    few = ids.count() <= REWRITTEN
+    touched = found.join(F.broadcast(ids) if few else ids, "__at", "left_semi")
+    places = touched.select("__at", F.explode(_places(whole_text(f"__row.`{text}`"))).alias("p")).select("__at", "p.term", "p.start", "p.end")
+    terms = places.join(hits, ["__at", "term"]).groupBy("__at").agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms"))
+    terms = materialized(terms)
+    # a word glued to a mention goes, or stays, with it
+    apart = lambda t: ~F.exists(F.concat("base", "secrets"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    own = F.filter("terms", apart)
+    marked = (touched if few else found).join(terms, "__at", "left").withColumn("terms", F.when(F.size(own) > 0, own))
+    return marked.unionByName(found.join(F.broadcast(ids), "__at", "left_anti"), allowMissingColumns=True) if few else marked
 
 
 def _all_spans() -> Column:
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")),
                         lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), t["end"].alias("end")))
-    return F.array_sort(F.concat("base", terms))
+    return F.array_sort(F.concat("base", "secrets", terms))
 
 
 def _said(spans: Column) -> Column:
@@ -181,7 +209,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     Null counts as empty, an empty text has no spans, repeated rows are documents of their own. A document
     is one row throughout, so its own spans are the only group that is gathered.
     """
-    rows = _spans(docs, id, text, [])
+    rows = _spans(only(docs, id, text), id, text)
     count = lambda removed: F.coalesce(F.size(F.filter("terms", lambda t: t["removed"] == removed)), F.lit(0)).cast("long")
     return rows.select(F.col("id").alias(id), "base", _all_spans().alias("spans"), F.when(F.col("terms").isNull(), 0).otherwise(count(True)).cast("long").alias("n_removed"),
                        F.when(F.col("terms").isNull(), 0).otherwise(count(False)).cast("long").alias("n_generalised"))
@@ -191,8 +219,9 @@ def digest(found: DataFrame, id: str = "doc_id") -> DataFrame:
     """Counts by kind, the digest of the base spans and all spans as text, from what ``find`` returns."""
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    counts = [count(k) for k in range(4)]
-    return found.select(id, *counts, F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"), "n_removed", "n_generalised")
+    counts = [count(k) for k in range(BASE)]
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index("secret"))).cast("long").alias("n_secret")
+    return found.select(id, *counts, F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"), secrets, "n_removed", "n_generalised")
 
 
 def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,10 +231,10 @@ def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     Spans that overlap are replaced once, under the first one's name. Null texts stay null.
     """
     names = docs.columns
-    rows = _spans(docs, id, text, [F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")])
+    rows = _spans(docs, id, text)
     old = F.col(f"__row.`{text}`")
     label = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(label, s["kind"]).alias("put")))
+    base = F.transform(F.concat("base", "secrets"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(label, s["kind"]).alias("put")))
     def word(t: Column) -> Column:
         put = F.when(t["removed"], F.lit("[term]")).otherwise(F.concat(old.substr(t["start"] + 1, F.lit(PREFIX_LETTERS)), F.lit("*")))
         return F.struct(t["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), t["end"].alias("end"), put.alias("put"))
@@ -219,6 +248,6 @@ def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
             last = F.element_at(covered, -1)
             return F.concat(F.array_join(F.transform(spans, part), ""), old.substr(last + 1, F.length(old)))
         return _let(_running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b)), put_in)
-    has = (F.size("base") > 0) | F.col("terms").isNotNull()
+    has = (F.size("base") > 0) | (F.size("secrets") > 0) | F.col("terms").isNotNull()
     new = F.when(has, _let(F.array_sort(F.concat(base, terms)), rebuilt)).otherwise(old)
     return rows.select(*[(new if c == text else F.col(f"__row.`{c}`")).alias(c) for c in names])
