@@ -4,18 +4,21 @@ Protected entities are the values the patterns find, and secrets (keys, tokens,
 of a document that mentions an entity reveals it as far as the corpus ties the two together: disclosure =
 log(P(entity | word) / P(entity)) / IC(entity), with P(entity | word) = documents with both / (documents with the
 word + 2), so about 1 for a word that many documents hold and each beside the entity, less the fewer sightings there
-are, and about 0 for a word that occurs everywhere. Words over the threshold are replaced wherever they occur, in any
-document: by their beginning, if that reveals less than the threshold, and removed if not.
+are, and about 0 for a word that occurs everywhere. Words over the threshold are replaced wherever they occur in the
+documents that mention any entity: by their beginning, if that reveals less than the threshold, and removed if not.
+Documents without personal data stay as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.session import materialized
-from .tables import only, whole_text
+from .tables import whole_text
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 #: The first so many kinds are the base.
@@ -30,17 +33,15 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+"
               r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++|(?i:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s,;]{6,}+)",
 }
-#: A document without it has no match; a plain search is much cheaper than the pattern.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None}
+#: A document without it has no match.
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PREFIX_LETTERS, THRESHOLD = 4, 0.8
 #: A word: letters and digits, also with apostrophes and hyphens inside; one letter at least, two characters at least.
-WORD = r"[\p{L}\p{M}\p{N}]++(?:['’-][\p{L}\p{M}\p{N}]++)*+"
+WORD = r"[A-Za-z0-9\p{L}\p{M}\p{N}]++(?:['’-][A-Za-z0-9\p{L}\p{M}\p{N}]++)*+"
 #: Words outside addresses and secrets (group 1).
 _TOKEN = r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|" + PATTERNS["secret"] + ")|(" + WORD + ")"
 #: Keys in more than this share of the documents are looked up by broadcast: there are at most 1 / share times a document's mean number of keys.
 COMMON = 0.01
-#: Ids of documents to rewrite are broadcast up to this number (8 bytes each); beyond it texts are joined by shuffle.
-REWRITTEN = 2_000_000
 _BLOCK = 256
 
 
@@ -81,10 +82,21 @@ def _is_word(token: Column) -> Column:
     return (F.length(token) > 1) & token.rlike(r"\p{L}")
 
 
+def _may_hold(text: Column, kind: str) -> Column:
+    """False only if a text has no match: a plain search is much cheaper than the pattern."""
+    if kind == "secret":
+        starts = ("AKIA", "eyJ", "sk-", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+        named = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+        any_of = lambda t, parts: reduce(or_, [F.contains(t, F.lit(p)) for p in parts])
+        return any_of(text, starts) | (named & _let(F.lower(text), lambda t: any_of(t, ("passw", "secret", "token", "api"))))
+    return F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
+
+
 def _words(text: Column) -> Column:
     """The distinct words of a text, in lower case."""
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
-    return F.array_distinct(F.transform(F.filter(tokens, _is_word), lambda w: F.lower(w)))
+    mixed = _may_hold(text, "email") | _may_hold(text, "secret")
+    tokens = F.when(mixed, F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))).otherwise(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.array_distinct(F.transform(F.filter(F.array_distinct(tokens), _is_word), lambda w: F.lower(w)))
 
 
 def _ends(pieces: Column, found: Column) -> Column:
@@ -116,19 +128,19 @@ def _mentions(text: Column, kind: str) -> Column:
 
     none = F.array().cast("array<struct<start:int,end:int,kind:int,entity:string>>")
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    may = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
-    return F.when(may, _let(both, spans)).otherwise(none)
+    return F.when(_may_hold(text, kind), _let(both, spans)).otherwise(none)
 
 
-def _found(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """One written row per document: ``__at``, ``__row`` (as it came), ``id``, ``base`` and ``secrets`` (spans), ``entities`` and ``words`` (distinct)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    rows = docs.select(row, F.col(f"`{id}`").alias("id"), whole_text(f"`{text}`").alias("__t"), F.monotonically_increasing_id().alias("__at"))
+def _found(docs: DataFrame, id: str, text: str, carry: list[Column]) -> DataFrame:
+    """One written row per document: ``__at``, ``id``, ``base`` and ``secrets`` (spans), ``entities`` (distinct), and ``carry``;
+    ``__text`` and ``words`` (distinct) of documents with entities."""
+    rows = docs.select(F.col(f"`{id}`").alias("id"), whole_text(f"`{text}`").alias("__t"), F.monotonically_increasing_id().alias("__at"), *carry)
     rows = rows.withColumn("m", F.concat(*[_mentions(F.col("__t"), k) for k in KINDS[:-1]]))
     spans = lambda wanted: F.array_sort(F.transform(F.filter("m", wanted), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    entities = F.array_distinct(F.transform("m", lambda x: x["entity"]))
-    return materialized(rows.select("__at", "__row", "id", spans(lambda x: x["kind"] < BASE).alias("base"), spans(lambda x: x["kind"] >= BASE).alias("secrets"),
-                                    entities.alias("entities"), _words(F.col("__t")).alias("words")))
+    names = [c for c in rows.columns if c not in ("__t", "m")]
+    return materialized(rows.select(*names, spans(lambda x: x["kind"] < BASE).alias("base"), spans(lambda x: x["kind"] >= BASE).alias("secrets"),
+                                    F.array_distinct(F.transform("m", lambda x: x["entity"])).alias("entities"),
+                                    F.when(F.size("m") > 0, F.col("__t")).alias("__text"), F.when(F.size("m") > 0, _words(F.col("__t"))).alias("words")))
 
 
 def _stem(term: Column) -> Column:
@@ -142,7 +154,7 @@ def _looked_up(rows: DataFrame, counted: DataFrame, key: str, common: DataFrame)
     return often.unionByName(seldom)
 
 
-def _disclosing(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _disclosing(found: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """``term``, ``removed``: words that say too much of an entity, from counts of all documents; and the common words.
 
     Entities of the very same documents are told apart by no word, so they are one class. A word can only be over the
@@ -151,7 +163,8 @@ def _disclosing(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = found.count()
     common = lambda counted, key, count: materialized(counted.where(F.col(count) > COMMON * n).select(key))
     terms = lambda: F.explode(F.concat("words", F.array_distinct(F.transform("words", _stem)))).alias("term")
-    words = materialized(found.select(terms()).groupBy("term").agg(F.count("*").alias("with_term")))
+    words = docs.select(_words(whole_text(f"`{text}`")).alias("words"))
+    words = materialized(words.select(terms()).groupBy("term").agg(F.count("*").alias("with_term")))
     often = common(words, "term", "with_term")
 
     having = found.where(F.size("entities") > 0)
@@ -174,22 +187,20 @@ def _disclosing(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialized(over.groupBy("term").agg(F.max(removed).alias("removed"))), often
 
 
-def _spans(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``_found`` with ``terms``: places of disclosing words (start, end, removed), or null."""
-    found = _found(docs, id, text)
-    disclosing, often = _disclosing(found)
-    hits = materialized(_looked_up(found.select("__at", F.explode("words").alias("term")), disclosing, "term", often))
-    ids = materialized(hits.select("__at").distinct())
-    few = ids.count() <= REWRITTEN
-    touched = found.join(F.broadcast(ids) if few else ids, "__at", "left_semi")
-    places = touched.select("__at", F.explode(_places(whole_text(f"__row.`{text}`"))).alias("p")).select("__at", "p.term", "p.start", "p.end")
+def _spans(docs: DataFrame, id: str, text: str, carry: list[Column]) -> DataFrame:
+    """``_found`` with ``terms``: places of disclosing words (start, end, removed), or null. Only rows with mentions are shuffled."""
+    found = _found(docs, id, text, carry)
+    some = F.size("entities") > 0
+    having = found.where(some)
+    disclosing, often = _disclosing(found, docs, text)
+    hits = materialized(_looked_up(having.select("__at", F.explode("words").alias("term")), disclosing, "term", often))
+    places = having.select("__at", F.explode(_places(F.col("__text"))).alias("p")).select("__at", "p.term", "p.start", "p.end")
     terms = places.join(hits, ["__at", "term"]).groupBy("__at").agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms"))
-    terms = materialized(terms)
     # a word glued to a mention goes, or stays, with it
     apart = lambda t: ~F.exists(F.concat("base", "secrets"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     own = F.filter("terms", apart)
-    marked = (touched if few else found).join(terms, "__at", "left").withColumn("terms", F.when(F.size(own) > 0, own))
-    return marked.unionByName(found.join(F.broadcast(ids), "__at", "left_anti"), allowMissingColumns=True) if few else marked
+    marked = having.join(materialized(terms), "__at", "left").withColumn("terms", F.when(F.size(own) > 0, own))
+    return marked.unionByName(found.where(~some), allowMissingColumns=True)
 
 
 def _all_spans() -> Column:
@@ -209,7 +220,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     Null counts as empty, an empty text has no spans, repeated rows are documents of their own. A document
     is one row throughout, so its own spans are the only group that is gathered.
     """
-    rows = _spans(only(docs, id, text), id, text)
+    rows = _spans(docs, id, text, [])
     count = lambda removed: F.coalesce(F.size(F.filter("terms", lambda t: t["removed"] == removed)), F.lit(0)).cast("long")
     return rows.select(F.col("id").alias(id), "base", _all_spans().alias("spans"), F.when(F.col("terms").isNull(), 0).otherwise(count(True)).cast("long").alias("n_removed"),
                        F.when(F.col("terms").isNull(), 0).otherwise(count(False)).cast("long").alias("n_generalised"))
@@ -231,7 +242,7 @@ def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     Spans that overlap are replaced once, under the first one's name. Null texts stay null.
     """
     names = docs.columns
-    rows = _spans(docs, id, text)
+    rows = _spans(docs, id, text, [F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")])
     old = F.col(f"__row.`{text}`")
     label = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     base = F.transform(F.concat("base", "secrets"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(label, s["kind"]).alias("put")))

@@ -352,26 +352,24 @@ def test_disclosing_words(spark):
     for d, t in rows:
         blank = re.sub(PLAIN["email"], lambda m: " " * len(m[0]), t or "")
         places = [(m.start(), m[0].lower()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*", blank)]
-        want = [(a, w) for a, w in places if w in over]
+        want = [(a, w) for a, w in places if w in over and re.search(PLAIN["email"], t)]
         assert term_spans(found[d], t or "") == want, d
         assert found[d].n_removed == sum(over[w] for _, w in want) and found[d].n_generalised == sum(not over[w] for _, w in want)
-    assert any(w == "zanzibar" for _, w in term_spans(found[203], rows[-1][1]))  # a document without any mention
+    assert not term_spans(found[203], rows[-1][1])  # no mention, so nobody's data
     clean = {r.doc_id: r for r in pii.sanitise(docs(spark, rows)).collect()}
     assert clean[202].text is None and clean[0].text == rows[0][1] and clean[201].text == rows[-3][1]
     text = clean[100].text
     assert "[email]" in text and "zanzibar" not in text.lower() and "quux" not in text and "comm*" in text and "the" in text.split()
-    assert "zanz" not in clean[203].text.lower() or "zanz*" in clean[203].text.lower()
+    assert clean[203].text == rows[-1][1]
 
 
-def test_disclosing_words_by_shuffle(spark, monkeypatch):
-    """The way for more documents than may be broadcast, and no common keys."""
+def test_disclosing_words_without_common_keys(spark, monkeypatch):
+    """All keys by shuffle, none by broadcast, gives the same."""
     rows = secret_rows()
-    want = sorted((r.doc_id, str(r.spans)) for r in pii.find(docs(spark, rows)).collect())
-    monkeypatch.setattr(pii, "REWRITTEN", -1)
+    spans = lambda: sorted((r.doc_id, *sorted((s.start, s.kind, s.end) for s in r.spans)) for r in pii.find(docs(spark, rows)).collect())
+    want = spans()
     monkeypatch.setattr(pii, "COMMON", 2)
-    got = sorted((r.doc_id, str(r.spans)) for r in pii.find(docs(spark, rows)).collect())
-    order = lambda found: [(d, sorted(re.findall(r"start=(\d+), kind=(\d+), end=(\d+)", s))) for d, s in found]
-    assert order(got) == order(want)
+    assert spans() == want
 
 
 def test_words_that_one_document_alone_ties_to_an_entity(spark):
