@@ -481,6 +481,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert hits >= 0.9 * sum(y for _, y in held) and hits >= 0.9 * sum(p for p, _ in held)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word is known only from a few of many labelled rows, in whichever place; more shards than one."""
+    rows = [(i, f"the of {word()} {word()} {'zorgle' if i % 100 == 3 else 'snarg' if i % 5 == 0 else word()}", "en") for i in range(8000)]
+    learn = spark.createDataFrame([(i, int(i % 100 == 3 or i % 5 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    picked = docs(spark, rows)
+    seen = toxicity._counted(picked.join(learn, "doc_id").select(learn.toxic.cast("double").alias("toxic"), "text"))
+    # other words may share a bucket, so there are at least as many
+    assert seen[1, toxicity.buckets("snarg")[0][0]] >= 1600 and seen[1, toxicity.buckets("zorgle")[0][0]] >= 80
+    model = toxicity.train(picked, learn)
+    assert abs(model.shift).max() > 0
+    got = {r.doc_id: float(r.s) for r in toxicity.score(docs(spark, [(1, "the zorgle"), (2, "the snarg"), (3, "the of that")]), model, to="s").collect()}
+    assert got[1] >= toxicity.THRESHOLD and got[2] >= toxicity.THRESHOLD and got[3] < toxicity.THRESHOLD
+
+
+def test_shards_average_to_a_model_as_good(spark):
+    rows, labels = toxic_rows(1200)
+    learn = spark.createDataFrame([(i, y) for i, y in labels if i % 4 != 2], "doc_id long, toxic int")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "WHOLE", 100)
+        model = toxicity.train(docs(spark, rows), learn, shard=200)
+    got = {r.doc_id: float(r.s) for r in toxicity.score(docs(spark, rows), model, to="s").collect()}
+    held = [(got[i] >= toxicity.THRESHOLD, y) for i, y in labels if i % 4 == 2]
+    hits = sum(p and y for p, y in held)
+    assert hits >= 0.9 * sum(y for _, y in held) and hits >= 0.9 * sum(p for p, _ in held)
+
+
 def test_toxicity_of_odd_texts(spark):
     model = toxicity.train(docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(1, "again"), (None, "word " * 5000)]
