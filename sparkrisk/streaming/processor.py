@@ -4,6 +4,9 @@ State of an entity: count, moments of the amount, extremes, last time, and the t
 24 hours. The newest times sit next to the moments; beyond ``INLINE_TIMES`` they move into
 time buckets of a map state. Only bucket counts and the one or two buckets that hold a cut-off
 are read back, so the cost of a very busy entity does not grow with its day.
+
+Entities are dealt into a fixed number of groups, and a group is Spark's key: calling Python, making a
+frame and asking for state cost much more than an entity's few events, so a group pays for them once.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ INLINE_TIMES = 4096
 BUCKETS_PER_SPAN = 96
 #: Events of one key whose features are made at a time.
 CHUNK = 65_536
+#: Groups of entities; a checkpoint's number is fixed, as its state is kept by group.
+GROUPS = 2048
 
 MOMENTS_SCHEMA = ("n bigint, m bigint, mean double, m2 double, low double, high double, last bigint, "
                   "times binary, bucket_ids binary, bucket_counts binary")
@@ -54,8 +59,10 @@ def prefix_moments(a: np.ndarray) -> tuple:
     return out
 
 
-class HistoryProcessor(StatefulProcessor):
-    """Emits features for each event before the event enters the state.
+class HistoryProcessor:
+    """One entity: features of each event before the event enters the state.
+
+    ``state`` and ``spill`` are the entity's value and its map, as GroupProcessor hands them over.
 
     ``late="accept"`` treats an event older than the entity's last time as it comes;
     ``late="route"`` marks it ``is_late`` without features and leaves the state alone.
@@ -64,22 +71,14 @@ class HistoryProcessor(StatefulProcessor):
     # input columns; plain identifiers, because chunks reach Python as named tuples
     id_col, time_col, amount_col = "row_id", "row_time", "row_amount"
 
-    def __init__(self, id_name, keep, names, spans, units, late="accept", ttl_ms=None, inline_times=INLINE_TIMES):
+    def __init__(self, id_name, keep, names, spans, units, late="accept", inline_times=INLINE_TIMES):
         self.inline_times = inline_times
         self.id_name, self.names = id_name, list(names)
         self.keep, self.spans, self.units = list(keep), dict(spans), units
-        self.late, self.ttl_ms = late, ttl_ms
+        self.late = late
         self.longest = max(self.spans.values())
         self.bucket = max(1, self.longest // BUCKETS_PER_SPAN)
 
-    def init(self, handle) -> None:
-        ttl = self.ttl_ms
-        self.state = handle.getValueState("moments", MOMENTS_SCHEMA, ttl)
-        self.spill = handle.getMapState("old_times", "bucket bigint", "times binary", ttl)
-
-    def close(self) -> None:
-        pass
-
     # -- state access -------------------------------------------------------------
 
     def _load(self):
@@ -141,29 +140,33 @@ class HistoryProcessor(StatefulProcessor):
     # -- events --------------------------------------------------------------------
 
     def handleInputRows(self, key, rows, timerValues):
-        # all rows of the key in this micro-batch; the source's rate limit bounds them
-        frames = list(rows)
-        frame = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        ids = frame[self.id_col]
-        ids = ids.rank() if ids.dtype == object else ids
-        order = np.lexsort((ids.to_numpy(), frame[self.time_col].to_numpy()))
-        frame = frame.take(order)
+        frame = pd.concat(list(rows), ignore_index=True)
+        frame = frame.take(np.lexsort((sortable(frame[self.id_col]), frame[self.time_col].to_numpy())))
+        t, a = self.values(frame)
+        late, features = self.run(t, a)
+        for at, f in features:
+            yield self._shape(frame.take(at), f, False)
+        if late.any():
+            yield self._shape(frame[late], None, True)
+
+    def values(self, frame) -> tuple[np.ndarray, np.ndarray]:
+        return frame[self.time_col].to_numpy(dtype=np.int64), frame[self.amount_col].to_numpy(dtype=np.float64, na_value=np.nan)
+
+    def run(self, t: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, dict]]]:
+        """Which of the events (in order) are late, and places and features of the others, which enter the state."""
         s = self._load()
-        late = np.zeros(len(frame), dtype=bool)
-        if self.late == "route" and s["last"] is not None:
-            late = (frame[self.time_col] < s["last"]).to_numpy()
-        fresh = frame[~late] if late.any() else frame
+        late = t < s["last"] if self.late == "route" and s["last"] is not None else np.zeros(len(t), dtype=bool)
+        fresh, out = np.flatnonzero(~late), []
         for at in range(0, len(fresh), CHUNK):
-            part = fresh.iloc[at:at + CHUNK]
-            features = self._advance(s, part)
+            part = fresh[at:at + CHUNK]
+            out.append((part, self._features(s, t[part], a[part])))
             self._store(s)
-            yield self._shape(part, features, False)
-        if late.any():
-            yield self._shape(frame[late], None, True)
+        return late, out
 
     def _advance(self, s, frame) -> dict:
-        t = frame[self.time_col].to_numpy(dtype=np.int64)
-        a = frame[self.amount_col].to_numpy(dtype=np.float64, na_value=np.nan)
+        return self._features(s, *self.values(frame))
+
+    def _features(self, s, t: np.ndarray, a: np.ndarray) -> dict:
         size = len(t)
         index = np.arange(size)
         out = {"n": s["n"] + index}
@@ -212,16 +215,147 @@ class HistoryProcessor(StatefulProcessor):
 
     # -- warm start ------------------------------------------------------------------
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        """Rows of warm_start_table: one with the moments, further ones with recent times."""
+    def begin(self, moments: tuple | None, t: np.ndarray) -> None:
+        """Moments of warm_start_table (number, number of amounts, mean, m2, least, greatest, last time), if they are known by now, and recent times."""
         s = self._load()
-        for r in initialState[initialState["kind"] == "state"].itertuples(index=False):
-            s.update(n=int(r.n), m=int(r.n_amt), mean=0.0 if pd.isna(r.mean_amt) else float(r.mean_amt), m2=float(r.m2),
-                     low=None if pd.isna(r.min_amt) else float(r.min_amt),
-                     high=None if pd.isna(r.max_amt) else float(r.max_amt), last=int(r.last_time))
-        recent = initialState[initialState["kind"] == "time"]
-        if len(recent):
-            t = np.repeat(recent["last_time"].to_numpy(dtype=np.int64), recent["n"].to_numpy(dtype=np.int64))
+        if moments is not None:
+            n, m, mean, m2, low, high, last = moments
+            s.update(n=int(n), m=int(m), mean=0.0 if pd.isna(mean) else float(mean), m2=float(m2),
+                     low=None if pd.isna(low) else float(low), high=None if pd.isna(high) else float(high), last=int(last))
+        if len(t):
             s["times"] = np.sort(np.concatenate([s["times"], t]))
         self._store(s)
 
+
+def sortable(ids: pd.Series) -> np.ndarray:
+    return (ids.rank() if ids.dtype == object else ids).to_numpy()
+
+
+class _Held:
+    """The value of one entity of a group."""
+
+    def __init__(self, value=None):
+        self.value = value
+
+    def get(self):
+        return self.value
+
+    def update(self, value) -> None:
+        self.value = value
+
+
+class _OwnBuckets:
+    """The buckets of one entity in the group's map."""
+
+    def __init__(self, of, entity):
+        self.of, self.entity = of, entity
+
+    def getValue(self, bucket):
+        return self.of.getValue((self.entity, *bucket))
+
+    def updateValue(self, bucket, value) -> None:
+        self.of.updateValue((self.entity, *bucket), value)
+
+    def removeKey(self, bucket) -> None:
+        self.of.removeKey((self.entity, *bucket))
+
+
+class GroupProcessor(StatefulProcessor):
+    """The entities of a group, each by ``HistoryProcessor``: one list holds their values, one map the buckets of the busy ones.
+
+    A list is written anew as a whole, so each value says when it was last written, and with a time to live an entity
+    that wasn't written for that long begins anew; the list itself goes when none of its entities was.
+    """
+
+    def __init__(self, own: HistoryProcessor, entity_type: str, ttl_ms=None):
+        self.own, self.entity_type, self.ttl_ms = own, entity_type, ttl_ms
+
+    def init(self, handle) -> None:
+        self.state = handle.getListState("moments", f"entity {self.entity_type}, {MOMENTS_SCHEMA}, written bigint", self.ttl_ms)
+        self.spill = handle.getMapState("old_times", f"entity {self.entity_type}, bucket bigint", "times binary", self.ttl_ms)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self, now: int) -> dict:
+        """Entity's key -> [entity, its value, when it was written]; expired ones are dropped with their buckets."""
+        out = {}
+        for entity, *value, written in self.state.get():
+            if self.ttl_ms and written + self.ttl_ms <= now:
+                for b in _unpack(value[8]).tolist():
+                    self.spill.removeKey((entity, b))
+            else:
+                out[_key(entity)] = [entity, tuple(value), written]
+        return out
+
+    def _store(self, held: dict) -> None:
+        self.state.put([(entity, *value, written) for entity, value, written in held.values()])
+
+    def _entity(self, held: dict, entity) -> _Held:
+        """Hands an entity's state to ``own``."""
+        self.own.state = _Held(held[_key(entity)][1] if _key(entity) in held else None)
+        self.own.spill = _OwnBuckets(self.spill, entity)
+        return self.own.state
+
+    def handleInputRows(self, key, rows, timerValues):
+        # all rows of the group in this micro-batch; the source's rate limit bounds them
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        own, now = self.own, timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else None
+        codes, entities = pd.factorize(frame["entity"], use_na_sentinel=False)
+        frame = frame.take(order := np.lexsort((sortable(frame[own.id_col]), frame[own.time_col].to_numpy(), codes)))
+        t, a = own.values(frame)
+        bounds = np.searchsorted(codes[order], np.arange(len(entities) + 1))
+        held, places, found, size, late_places = self._load(now), [], [], 0, []
+        for entity, begin, end in zip(entities.tolist(), bounds[:-1], bounds[1:]):
+            state = self._entity(held, entity)
+            late, features = own.run(t[begin:end], a[begin:end])
+            late_places.append(begin + np.flatnonzero(late))
+            if features:
+                held[_key(entity)] = [entity, state.value, now]
+            for at, f in features:
+                places.append(begin + at)
+                found.append(f)
+                size += len(at)
+                if size >= CHUNK:
+                    yield self._shape(frame, places, found)
+                    places, found, size = [], [], 0
+        self._store(held)
+        if places:
+            yield self._shape(frame, places, found)
+        late = np.concatenate(late_places)
+        if len(late):
+            yield own._shape(frame.take(late), None, True)
+
+    def _shape(self, frame, places, found) -> pd.DataFrame:
+        return self.own._shape(frame.take(np.concatenate(places)), {k: np.concatenate([f[k] for f in found]) for k in found[0]}, False)
+
+    # -- warm start ------------------------------------------------------------------
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Rows of warm_start_table: one for each entity with its moments, further ones with recent times. A group's rows may come in several parts."""
+        if not len(initialState):
+            return
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else None
+        codes, entities = pd.factorize(initialState["entity"], use_na_sentinel=False)
+        known, timed = (initialState["kind"] == "state").to_numpy(), (initialState["kind"] == "time").to_numpy()
+        columns = ["n", "n_amt", "mean_amt", "m2", "min_amt", "max_amt", "last_time"]
+        moments = dict(zip(codes[known].tolist(), initialState.loc[known, columns].itertuples(index=False, name=None)))
+        recent, of = initialState[timed], codes[timed]
+        order = np.argsort(of, kind="stable")
+        n = recent["n"].to_numpy(dtype=np.int64)[order]
+        t, of = np.repeat(recent["last_time"].to_numpy(dtype=np.int64)[order], n), np.repeat(of[order], n)
+        bounds = np.searchsorted(of, np.arange(len(entities) + 1))
+        held = self._load(now)
+        for k, entity in enumerate(entities.tolist()):
+            state = self._entity(held, entity)
+            self.own.begin(moments.get(k), t[bounds[k]:bounds[k + 1]])
+            held[_key(entity)] = [entity, state.value, now]
+        self._store(held)
+
+
+def _key(entity):
+    """What equal entities share, NaN included; there is no null."""
+    return None if entity != entity else bytes(entity) if isinstance(entity, bytearray) else entity

@@ -196,3 +196,58 @@ def test_stop_between_batches(spark):
     while not query.recentProgress:
         pass
     assert flow.stop_after_batch(query) and not query.isActive
+
+
+class Listed:
+    """A list state that counts how often it is read and written."""
+
+    def __init__(self):
+        self.rows, self.reads, self.writes = [], 0, 0
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.writes += 1
+        self.rows = list(rows)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def group_processor(ttl_ms=None, late="accept"):
+    own = processor.HistoryProcessor("id", [], feature_names(), {"1h": 3600, "24h": 86400}, 1, late, inline_times=8)
+    p = processor.GroupProcessor(own, "bigint", ttl_ms)
+    p.state, p.spill = Listed(), Map()
+    return p
+
+
+def test_entities_of_a_group_share_calls_and_state():
+    """A thousand entities of one group: state is read and written once a micro-batch, and each has its own history."""
+    p, rng = group_processor(), np.random.default_rng(2)
+    frame = pd.DataFrame({"entity": rng.integers(0, 1000, 8000), "row_id": np.arange(8000), "row_time": rng.integers(0, 10 ** 6, 8000), "row_amount": 2.0})
+    frame = frame.sort_values(["row_time", "row_id"], ignore_index=True)
+    parts = [frame[:5000], frame[5000:]]
+    out = pd.concat(f for x in parts for f in p.handleInputRows((0,), iter([x.sample(frac=1, random_state=1)]), Clock(-1))).set_index("id")
+    assert (p.state.reads, p.state.writes, len(p.state.rows)) == (2, 2, frame["entity"].nunique())
+    got = out.loc[frame["row_id"]]
+    assert (got["bhv_prev_txn_count"].to_numpy() == frame.groupby("entity").cumcount().to_numpy()).all()
+    for i in range(0, 8000, 171):
+        earlier = frame[:i][frame["entity"][:i] == frame["entity"][i]]["row_time"]
+        assert got["bhv_prior_count_24h"].iloc[i] == (earlier >= frame["row_time"][i] - 86400).sum()
+
+
+def test_entities_of_a_group_expire_one_by_one():
+    p = group_processor(ttl_ms=1000)
+    def send(now, *entities):
+        rows = pd.DataFrame({"entity": entities, "row_id": range(len(entities)), "row_time": now, "row_amount": 1.0})
+        return dict(zip(entities, pd.concat(p.handleInputRows((0,), iter([rows]), Clock(now))).sort_values("id")["bhv_prev_txn_count"]))
+    assert send(0, 1, 2) == {1: 0, 2: 0}
+    assert send(600, 2) == {2: 1}
+    assert send(1200, 1, 2) == {1: 0, 2: 2}
