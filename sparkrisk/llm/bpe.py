@@ -27,8 +27,9 @@ from .tables import whole_text
 
 LONG_PIECE = 128
 #: Characters of text and token rows handled at a time, squared bytes of the new pieces of one recursive query
-#: (what its steps may add up to), and pieces a worker keeps.
-TEXT_STEP, ROW_STEP, PIECE_STEP, KEPT = 1_500_000, 250_000, 1_500_000, 250_000
+#: (what its steps may add up to), and pieces a worker keeps. Workers share an executor with a JVM whose heap is
+#: full after earlier stages, so all are small; pieces that were met again stay, which keeps the few as useful as many.
+TEXT_STEP, ROW_STEP, PIECE_STEP, KEPT = 1_000_000, 100_000, 1_000_000, 150_000
 
 #: key: piece * 256 + position, so one order serves all pieces; best: rank * 256 + position of the pair to contract.
 _CONTRACT = """
@@ -83,10 +84,10 @@ class Contractor:
     """The merge table in DuckDB, and the pieces met so far with their ids (little-endian 32 bits)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.cut, self.plain, self.known = ranks, regex.compile(pattern), _plain(pattern), {}
+        self.ranks, self.cut, self.plain, self.known, self.again = ranks, regex.compile(pattern), _plain(pattern), {}, set()
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
-        rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        a, b, merged = (np.array(c, dtype=np.int32) for c in (zip(*rows) if rows else ((), (), ())))
+        rows = ((ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        a, b, merged = np.fromiter(chain.from_iterable(rows), dtype=np.int32).reshape(-1, 3).T.copy()
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         self.db.register("given", pa.table({"a": a, "b": b, "merged": merged}))
         self.db.execute("create table merges as select * from given")
@@ -143,12 +144,19 @@ class Contractor:
             for (piece, _), ids in zip(part, self._recursive([data for _, data in part])):
                 self.known[piece] = ids.tobytes()
 
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """Those not kept; makes room for them first, where what was met again since then, and what is asked for, stays."""
+        met = pieces.intersection(self.known)
+        new = pieces.difference(met)
+        self.again |= met
+        if len(self.known) + len(new) > KEPT:
+            stay = self.again if len(self.again) + len(new) <= KEPT // 2 else met
+            self.known, self.again = {p: self.known[p] for p in stay}, set()
+        return new
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         cut = [(self.cut if self.plain is None or _BEYOND.search(t) else self.plain).findall(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        if len(self.known) + len(new) > KEPT:  # what these texts use stays
-            self.known = {p: self.known[p] for p in set(chain.from_iterable(cut)).intersection(self.known)}
-        self.learn(new)
+        self.learn(self._unknown(set(chain.from_iterable(cut))))
         for pieces in cut:
             yield b"".join(map(self.known.__getitem__, pieces))
 
@@ -156,9 +164,7 @@ class Contractor:
         """A text too long to list all its pieces at once."""
         out, matches = [], self.cut.finditer(text)
         while block := [m.group() for m in islice(matches, 200_000)]:
-            if len(self.known) > KEPT:
-                self.known.clear()
-            self.learn(set(block).difference(self.known))
+            self.learn(self._unknown(set(block)))
             out.append(b"".join(map(self.known.__getitem__, block)))
         return b"".join(out)
 

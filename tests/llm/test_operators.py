@@ -1,8 +1,11 @@
 """Corpus operators against brute force on small tables with nulls, empties, repeats, ties and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -220,6 +223,39 @@ def test_bpe_small_steps(monkeypatch):
     assert list(own.decode(got)) == [t.encode() for t in texts]
 
 
+def test_pieces_met_again_stay(monkeypatch):
+    """What comes back again and again is contracted once, however many pieces are met only once between."""
+    monkeypatch.setattr(bpe, "KEPT", 60)
+    own, learned, often = bpe.Contractor(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), [], " ".join(f"often{c}q" for c in "abcdefgh")
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    for i in range(30):
+        for text in (often, " ".join(f"rare{i}x{c}" for c in "abcdef")):
+            assert list(own.decode(list(own.encode([text])))) == [text.encode()]
+            assert len(own.known) <= 60
+    assert sum("often" in p for p in learned) == 8
+
+
+def test_bpe_worker_stays_small():
+    """A worker's peak, beyond what it holds before the first text."""
+    script = f"""
+import random, re, sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+import public_tokenizers
+from sparkrisk.llm import bpe
+peak = lambda name: int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+own = bpe._contractor((bpe._ranks_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN))
+r, before = random.Random(3), peak("VmRSS")
+texts = [" ".join("".join(r.choices("abcdefghijklmnop", k=r.randrange(2, 14))) for _ in range(300)) for _ in range(1500)]
+held = peak("VmRSS") - before
+for a, b in bpe._steps(map(len, texts), bpe.TEXT_STEP):
+    assert list(own.decode(list(own.encode(texts[a:b])))) == [t.encode() for t in texts[a:b]]
+print(peak("VmHWM") - before - held)
+"""
+    got = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
+    assert float(got.stdout.split()[0]) < 110, got.stdout + got.stderr[-500:]
+
+
 def test_plain_pattern_cuts_alike():
     plain = bpe._plain(public_tokenizers.PATTERN)
     import regex
