@@ -11,11 +11,12 @@ wherever it stands: every run of ANCHORS + WINDOW - 1 words holds at least one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.session import materialized
 from .graph import components
@@ -161,59 +162,70 @@ def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(sets: DataFrame) -> DataFrame:
-    """``s``, ``hash``: the rarest shingles of every set, so that any two sets with a Jaccard similarity of JACCARD or more have
+    """``s``, ``hash``, ``size``: the rarest shingles of every set, so that any two sets with a Jaccard similarity of JACCARD or more have
     one in common: the first size - ceil(JACCARD * size) + 1 in the order of their frequency. Shingles of one set only are left out."""
-    rows = sets.select("hash", F.size("set").alias("n"), F.explode("set").alias("s"))
+    rows = sets.select("hash", F.size("set").alias("size"), F.explode("set").alias("s"))
     often = materialized(rows.groupBy("s").agg(F.count("*").alias("often")))
-    rows = rows.join(often, "s").groupBy("hash", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("all"))
-    rare = rows.select("hash", F.explode(F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * JACCARD) + 1).cast("int"))).alias("r")).where("r.often > 1")
-    return materialized(rare.select("hash", F.col("r.s").alias("s")))
+    rows = rows.join(often, "s").groupBy("hash", "size").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("all"))
+    least = (F.col("size") - F.ceil(F.col("size") * JACCARD) + 1).cast("int")
+    rare = rows.select("hash", "size", F.explode(F.slice("all", 1, least)).alias("r")).where("r.often > 1")
+    return materialized(rare.select("hash", "size", F.col("r.s").alias("s")))
+
+
+def _sizes_fit(x: str, y: str) -> Column:
+    """Sets of sizes too far apart can't be similar enough."""
+    return F.least(x, y) >= JACCARD * F.greatest(x, y)
 
 
 def _pairs(members: DataFrame, key: str) -> DataFrame:
-    x, y = members.select(key, F.col("hash").alias("a")), members.select(key, F.col("hash").alias("b"))
-    return x.join(y, key).where("a < b").select("a", "b")
+    x, y = (members.select(key, *[F.col(c).alias(f"{c}_{side}") for c in members.columns if c != key]) for side in "ab")
+    met = x.join(y, key).where("hash_a < hash_b")
+    met = met.where(_sizes_fit("size_a", "size_b")) if "size" in members.columns else met
+    return met.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    """The pairs whose sets are similar enough, with the columns ``more`` of theirs."""
     both = pairs.join(sets.select(F.col("hash").alias("a"), F.col("set").alias("sa"), F.size("set").alias("na")), "a")
     both = both.join(sets.select(F.col("hash").alias("b"), F.col("set").alias("sb"), F.size("set").alias("nb")), "b")
-    both = both.where(F.least("na", "nb") >= JACCARD * F.greatest("na", "nb"))
+    both = both.where(_sizes_fit("na", "nb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= JACCARD * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return both.where(common >= JACCARD * (F.col("na") + F.col("nb") - common)).select("a", "b", *more)
 
 
-def _by_leaders(groups: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges that give the same components as all similar pairs of the groups (``s``, ``hash``), without their pairs.
+def _by_leaders(groups: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame:
+    """The components ``near`` (``node``, ``component``) as all similar pairs of the groups (``s``, ``hash``, ``size``) join them, without
+    making these pairs.
 
     A leader is compared with every member that isn't in its component, and leaves the group, whose pairs with it are then
     settled. Groups of one component are done: any further link is within it. In a group of near copies the first leader
-    links nearly all, and the next ones are taken from what is outside the largest component; their number doubles, so
-    groups that hold several clusters without links between them end soon too.
+    links nearly all, and the next ones are taken from what is outside the largest component; their number grows, so
+    groups that hold several clusters without links between them end soon too. What a round links is components, so its
+    graph has a node for each of them and not for each line.
     """
-    active = materialized(groups.select("s", "hash", F.col("hash").alias("c")))
-    leaders = 1
-    while True:
-        near = components(edges)
-        active = active.drop("c").join(near, F.col("hash") == F.col("node"), "left").select("s", "hash", F.coalesce("component", "hash").alias("c"))
+    alone = groups.select(F.col("hash").alias("node"), F.col("hash").alias("component"))
+    near = materialized(near.select("node", "component").union(alone).groupBy("node").agg(F.min("component").alias("component")))
+    active = groups.join(near, F.col("hash") == F.col("node")).select("s", "hash", "size", F.col("component").alias("c"))
+    for leaders in chain([1], (16 * 4 ** k for k in count())):
         active = materialized(active)
-        sizes = materialized(active.groupBy("s", "c").agg(F.count("*").alias("n")))
-        main = sizes.groupBy("s").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("s", F.col("m.c").alias("main"))
-        active = materialized(active.join(main, "s"))
+        main = active.groupBy("s", "c").agg(F.count("*").alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k"))
+        active = materialized(active.join(main.where("k > 1").select("s", F.col("m.c").alias("main")), "s"))
         if active.isEmpty():
-            return edges
-        place = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("hash", "s")))
+            return near
+        place = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("hash"), "hash"))  # one order, so that groups share leaders
         first = active.where("c <> main").withColumn("place", place).where(F.col("place") <= leaders)
-        first = materialized(first.select("s", F.col("hash").alias("leader"), F.col("c").alias("of")))
-        met = active.join(first, "s").where("c <> of").select(F.least("leader", "hash").alias("a"), F.greatest("leader", "hash").alias("b")).distinct()
-        edges = materialized(edges.union(_verified(met, sets)))
-        active = active.join(first.select("s", F.col("leader").alias("hash")), ["s", "hash"], "left_anti").select("s", "hash", "c")
-        leaders *= 2
+        first = materialized(first.select("s", F.col("hash").alias("leader"), F.col("c").alias("of"), F.col("size").alias("its_size")))
+        met = active.join(first, "s").where("c <> of").where(_sizes_fit("size", "its_size"))
+        met = met.select(F.least("leader", "hash").alias("a"), F.greatest("leader", "hash").alias("b"), F.least("c", "of").alias("ca"), F.greatest("c", "of").alias("cb"))
+        links = _verified(met.distinct(), sets, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = components(links).select(F.col("node").alias("c"), F.col("component").alias("into"))
+        left = active.join(first.select("s", F.col("leader").alias("hash")), ["s", "hash"], "left_anti")
+        active = left.join(joined, "c", "left").select("s", "hash", "size", F.coalesce("into", "c").alias("c"))
+        near = materialized(near.join(joined, F.col("component") == F.col("c"), "left").select("node", F.coalesce("into", "component").alias("component")))
 
 
 def _similar(docs: DataFrame, id: str, text: str, rows: DataFrame) -> DataFrame:
-    """Edges between hashes of different lines that give the components of the similar ones."""
+    """``node``, ``component`` of the lines' hashes: the components of the similar ones. Some are of one line alone."""
     keyed = rows.where("kind = 0").select("hash", F.explode("bands").alias("band"))
     shared = materialized(keyed.groupBy("band").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("band"))
     met = materialized(rows.where("kind = 0").select("hash", F.struct("id", "text_key").alias("place"), F.explode("bands").alias("band"))
@@ -226,9 +238,9 @@ def _similar(docs: DataFrame, id: str, text: str, rows: DataFrame) -> DataFrame:
     rare = _rare_shingles(sets.join(full, "hash"))
     sizes = materialized(rare.groupBy("s").agg(F.count("*").alias("n")))
     rare = materialized(rare.join(sizes, "s"))
-    pairs = _pairs(few, "band").union(_pairs(rare.where(F.col("n") <= BUCKET), "s")).distinct()
-    edges = materialized(_verified(pairs, sets))
-    return _by_leaders(rare.where(F.col("n") > BUCKET), sets, edges)
+    in_few = rare.where(F.col("n") <= BUCKET).select("s", "hash", "size")
+    pairs = _pairs(few.select("band", "hash"), "band").union(_pairs(in_few, "s")).distinct()
+    return _by_leaders(rare.where(F.col("n") > BUCKET).select("s", "hash", "size"), sets, components(_verified(pairs, sets)))
 
 
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +253,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     """
     with short_batches(docs.sparkSession):
         rows = materialized(units(docs, id, text))
-    near = components(_similar(docs, id, text, rows))
+    near = _similar(docs, id, text, rows)
     near = near.select(F.lit(0).alias("kind"), F.col("node").alias("hash"), F.col("component").alias("cluster"))
     once = rows.groupBy("kind", "hash").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min(F.struct(F.col("id").isNull(), "id", "at", "start")).alias("first"))
     once = once.join(near, ["kind", "hash"], "left").withColumn("similar", F.col("cluster").isNotNull()).withColumn("cluster", F.coalesce("cluster", "hash"))

@@ -624,6 +624,21 @@ def test_similar_lines_by_brute_force(spark, bucket, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_rounds_of_leaders_link_components(spark, monkeypatch):
+    """Links of earlier rounds aren't gone through again: the graphs of all rounds have fewer edges than there are lines."""
+    monkeypatch.setattr(passages, "BUCKET", 0)
+    edges, found = [], passages.components
+    monkeypatch.setattr(passages, "components", lambda pairs: (edges.append(pairs.where("a <> b").distinct().count()), found(pairs))[1])
+    base, other = words(70).split(), words(70).split()
+    other[10:20] = base[10:20]
+    rows = [(i, " ".join([*w[:66], f"copy{i}", *w[66:]])) for i, w in enumerate([base] * 18 + [other] * 12)]
+    got = {}
+    for r in passages.repeated(docs(spark, rows)).where("kind = 'paragraph'").collect():
+        got.setdefault(r.cluster_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == [list(range(18)), list(range(18, 30))]
+    assert sum(edges) < len(rows)
+
+
 # ---- urls ---------------------------------------------------------------------------------------------------
 
 def test_url_rules_and_scores(spark):
