@@ -162,14 +162,17 @@ def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(sets: DataFrame) -> DataFrame:
-    """``s``, ``hash``, ``size``: the rarest shingles of every set, so that any two sets with a Jaccard similarity of JACCARD or more have
-    one in common: the first size - ceil(JACCARD * size) + 1 in the order of their frequency. Shingles of one set only are left out."""
+    """``s``, ``hash``, ``size``, ``rest``, ``common``: the rarest shingles of every set, so that any two sets with a Jaccard similarity of
+    JACCARD or more have one in common: the first size - ceil(JACCARD * size) + 1 in the order of their frequency. ``rest``: how many of the
+    set come no earlier than ``s`` in that order; ``common``: the mean frequency of the set's rarest. Shingles of one set only are left out."""
     rows = sets.select("hash", F.size("set").alias("size"), F.explode("set").alias("s"))
     often = materialized(rows.groupBy("s").agg(F.count("*").alias("often")))
     rows = rows.join(often, "s").groupBy("hash", "size").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("all"))
     least = (F.col("size") - F.ceil(F.col("size") * JACCARD) + 1).cast("int")
-    rare = rows.select("hash", "size", F.explode(F.slice("all", 1, least)).alias("r")).where("r.often > 1")
-    return materialized(rare.select("hash", "size", F.col("r.s").alias("s")))
+    rows = rows.select("hash", "size", F.slice("all", 1, least).alias("rarest"))
+    common = F.aggregate("rarest", F.lit(0).cast("long"), lambda n, r: n + r.often) / F.size("rarest")
+    rare = rows.select("hash", "size", common.alias("common"), F.posexplode("rarest").alias("place", "r")).where("r.often > 1")
+    return materialized(rare.select("hash", "size", "common", (F.col("size") - F.col("place")).alias("rest"), F.col("r.s").alias("s")))
 
 
 def _sizes_fit(x: str, y: str) -> Column:
@@ -177,10 +180,21 @@ def _sizes_fit(x: str, y: str) -> Column:
     return F.least(x, y) >= JACCARD * F.greatest(x, y)
 
 
+def _enough(shared: Column, x: Column, y: Column) -> Column:
+    """Sets of sizes ``x`` and ``y`` that share so many shingles are similar enough."""
+    return shared >= JACCARD * (x + y - shared)
+
+
+def _may_meet(side: str, other: str) -> Column:
+    """Two sets can be similar if the shingle in which they meet is the first, in the order of frequency, that they share: then they share no
+    more than the ``rest`` of either. Of two similar sets that have several in common, one is the first, and there they are found."""
+    return _enough(F.least(f"rest{side}", f"rest{other}"), F.col(f"size{side}"), F.col(f"size{other}"))
+
+
 def _pairs(members: DataFrame, key: str) -> DataFrame:
     x, y = (members.select(key, *[F.col(c).alias(f"{c}_{side}") for c in members.columns if c != key]) for side in "ab")
     met = x.join(y, key).where("hash_a < hash_b")
-    met = met.where(_sizes_fit("size_a", "size_b")) if "size" in members.columns else met
+    met = met.where(_may_meet("_a", "_b")) if "rest" in members.columns else met
     return met.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"))
 
 
@@ -190,37 +204,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
     both = both.join(sets.select(F.col("hash").alias("b"), F.col("set").alias("sb"), F.size("set").alias("nb")), "b")
     both = both.where(_sizes_fit("na", "nb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= JACCARD * (F.col("na") + F.col("nb") - common)).select("a", "b", *more)
+    return both.where(_enough(common, F.col("na"), F.col("nb"))).select("a", "b", *more)
 
 
 def _by_leaders(groups: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame:
-    """The components ``near`` (``node``, ``component``) as all similar pairs of the groups (``s``, ``hash``, ``size``) join them, without
+    """The components ``near`` (``node``, ``component``) as all similar pairs of the groups (rows of ``_rare_shingles``) join them, without
     making these pairs.
 
     A leader is compared with every member that isn't in its component, and leaves the group, whose pairs with it are then
     settled. Groups of one component are done: any further link is within it. In a group of near copies the first leader
     links nearly all, and the next ones are taken from what is outside the largest component; their number grows, so
     groups that hold several clusters without links between them end soon too. What a round links is components, so its
-    graph has a node for each of them and not for each line.
+    graph has a node for each of them and not for each line. Leaders come by how frequent their rarest shingles are, so
+    the line that the others are copies of is among the first, and the largest component, once it has several lines, has
+    one too: its centre may have come into it by a lesser link.
     """
     alone = groups.select(F.col("hash").alias("node"), F.col("hash").alias("component"))
     near = materialized(near.select("node", "component").union(alone).groupBy("node").agg(F.min("component").alias("component")))
-    active = groups.join(near, F.col("hash") == F.col("node")).select("s", "hash", "size", F.col("component").alias("c"))
+    kept = ["s", "hash", "size", "rest", "common"]
+    active = groups.join(near, F.col("hash") == F.col("node")).select(*kept, F.col("component").alias("c"))
     for leaders in chain([1], (16 * 4 ** k for k in count())):
         active = materialized(active)
         main = active.groupBy("s", "c").agg(F.count("*").alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k"))
-        active = materialized(active.join(main.where("k > 1").select("s", F.col("m.c").alias("main")), "s"))
+        active = materialized(active.join(main.where("k > 1").select("s", F.col("m.c").alias("main"), (F.col("m.n") > 1).alias("several")), "s"))
         if active.isEmpty():
             return near
-        place = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("hash"), "hash"))  # one order, so that groups share leaders
-        first = active.where("c <> main").withColumn("place", place).where(F.col("place") <= leaders)
-        first = materialized(first.select("s", F.col("hash").alias("leader"), F.col("c").alias("of"), F.col("size").alias("its_size")))
-        met = active.join(first, "s").where("c <> of").where(_sizes_fit("size", "its_size"))
+        order = Window.partitionBy("s", "inside").orderBy(F.desc("common"), F.xxhash64("hash"), "hash")  # one order, so that groups share leaders
+        first = active.withColumn("inside", F.col("c") == F.col("main")).withColumn("place", F.row_number().over(order))
+        first = first.where(F.col("place") <= leaders).where("not inside or several and place = 1")
+        first = materialized(first.select("s", F.col("hash").alias("leader"), F.col("c").alias("of"), F.col("size").alias("size_of"), F.col("rest").alias("rest_of")))
+        met = active.join(first, "s").where("c <> of").where(_may_meet("", "_of"))
         met = met.select(F.least("leader", "hash").alias("a"), F.greatest("leader", "hash").alias("b"), F.least("c", "of").alias("ca"), F.greatest("c", "of").alias("cb"))
         links = _verified(met.distinct(), sets, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         joined = components(links).select(F.col("node").alias("c"), F.col("component").alias("into"))
         left = active.join(first.select("s", F.col("leader").alias("hash")), ["s", "hash"], "left_anti")
-        active = left.join(joined, "c", "left").select("s", "hash", "size", F.coalesce("into", "c").alias("c"))
+        active = left.join(joined, "c", "left").select(*kept, F.coalesce("into", "c").alias("c"))
         near = materialized(near.join(joined, F.col("component") == F.col("c"), "left").select("node", F.coalesce("into", "component").alias("component")))
 
 
@@ -236,11 +254,12 @@ def _similar(docs: DataFrame, id: str, text: str, rows: DataFrame) -> DataFrame:
     few = met.where(F.col("n") <= BUCKET)
     full = met.where(F.col("n") > BUCKET).select("hash").distinct()
     rare = _rare_shingles(sets.join(full, "hash"))
-    sizes = materialized(rare.groupBy("s").agg(F.count("*").alias("n")))
-    rare = materialized(rare.join(sizes, "s"))
-    in_few = rare.where(F.col("n") <= BUCKET).select("s", "hash", "size")
+    sizes = materialized(rare.groupBy("s").agg(F.count("*").alias("n"), F.min("size").alias("least")))
+    # what is too late in its own order for even the smallest of the others stays out
+    rare = materialized(rare.join(sizes, "s").where(_enough(F.col("rest"), F.col("size"), F.greatest("least", F.col("size") * JACCARD))))
+    in_few = rare.where(F.col("n") <= BUCKET).select("s", "hash", "size", "rest")
     pairs = _pairs(few.select("band", "hash"), "band").union(_pairs(in_few, "s")).distinct()
-    return _by_leaders(rare.where(F.col("n") > BUCKET).select("s", "hash", "size"), sets, components(_verified(pairs, sets)))
+    return _by_leaders(rare.where(F.col("n") > BUCKET).drop("n", "least"), sets, components(_verified(pairs, sets)))
 
 
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -639,6 +639,21 @@ def test_rounds_of_leaders_link_components(spark, monkeypatch):
     assert sum(edges) < len(rows)
 
 
+def test_leaders_meet_few_of_those_they_cannot_be_similar_to(spark, monkeypatch):
+    """Copies with one word changed are near the line, those with two changed near some of these or nothing: few of their pairs are compared."""
+    monkeypatch.setattr(passages, "BUCKET", 0)
+    met, verified = [], passages._verified
+    monkeypatch.setattr(passages, "_verified", lambda pairs, sets, *more: (met.append(pairs.count()), verified(pairs, sets, *more))[1])
+    r, base = random.Random(9), words(85).split()
+    edits = [{}] + [{r.randrange(6, 40): f"one{i}"} for i in range(20)] + [{r.randrange(6, 40): f"two{i}", r.randrange(46, 80): f"too{i}"} for i in range(20)]
+    rows = [(i, " ".join(e.get(k, w) for k, w in enumerate(base))) for i, e in enumerate(edits)]
+    got = {}
+    for row in passages.repeated(docs(spark, rows)).where("kind = 'paragraph'").collect():
+        got.setdefault(row.cluster_id, set()).add(row.doc_id)
+    assert list(got.values()) == [set(range(21))]
+    assert sum(met) <= 3 * len(rows)
+
+
 # ---- urls ---------------------------------------------------------------------------------------------------
 
 def test_url_rules_and_scores(spark):
