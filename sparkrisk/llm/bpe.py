@@ -1,4 +1,4 @@
-"""Byte-level BPE: DuckDB contracts the distinct pieces of a partition's texts, and decodes ids again.
+"""Byte-level BPE: DuckDB contracts the distinct pieces of a partition's texts; Arrow looks up the bytes of ids again.
 
 A text is cut into pieces by the tokenizer's pattern. A partition keeps the ids of pieces it has met; new
 ones go to DuckDB together, a row for each (piece, position), where a recursive query contracts each
@@ -14,7 +14,7 @@ import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import duckdb
 import numpy as np
@@ -46,7 +46,6 @@ with recursive parts(key, tok, step) as (
 ), last as (select key >> 8 as piece, max(step) as step from parts group by key >> 8)
 select p.key >> 8 as piece, tok from parts p join last l on l.piece = p.key >> 8 and l.step = p.step order by p.key
 """
-_DECODE = "select i.part, string_agg(v.spelt, '' order by i.pos) as spelt from ids i join vocabulary v on v.id = i.id group by i.part order by i.part"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -91,10 +90,8 @@ class Contractor:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         self.db.register("given", pa.table({"a": a, "b": b, "merged": merged}))
         self.db.execute("create table merges as select * from given")
-        # bytes as the characters 256 to 511: any bytes then make a valid string
-        spelt = ["".join(chr(256 + c) for c in t) for t in ranks]
-        self.db.register("tokens", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "spelt": spelt}))
-        self.db.execute("create table vocabulary as select * from tokens")
+        spelt = {r: t for t, r in ranks.items()}
+        self.spelt = pa.array([spelt.get(r, b"") for r in range(max(spelt, default=-1) + 2)], pa.binary())  # the last for ids beyond
 
     def _heap(self, piece: bytes) -> list[int]:
         ids, n = [int(self.byte[c]) for c in piece], len(piece)
@@ -118,7 +115,7 @@ class Contractor:
                     heapq.heappush(heap, (new, k))
         return [ids[i] for i in range(n) if ends[i]]
 
-    def _recursive(self, pieces: list[bytes]) -> Iterator[np.ndarray]:
+    def _recursive(self, pieces: list[bytes]) -> Iterator[bytes]:
         lengths = np.array([len(p) for p in pieces])
         first = np.cumsum(lengths) - lengths
         place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
@@ -126,7 +123,8 @@ class Contractor:
             "key": np.repeat(np.arange(len(pieces), dtype=np.int64), lengths) << 8 | place,
             "tok": self.byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]}))
         got = self.db.execute(_CONTRACT).fetchnumpy()
-        return iter(np.split(np.asarray(got["tok"], dtype="<u4"), np.searchsorted(got["piece"], np.arange(1, len(pieces)))))
+        ids, ends = np.asarray(got["tok"], dtype="<u4").tobytes(), np.searchsorted(got["piece"], np.arange(len(pieces) + 1)) * 4
+        return (ids[a:b] for a, b in pairwise(ends.tolist()))
 
     def learn(self, pieces: set[str]) -> None:
         """Find and keep the ids of new pieces."""
@@ -142,7 +140,7 @@ class Contractor:
         for a, b in _steps([len(data) ** 2 for _, data in new], PIECE_STEP) if new else ():
             part = new[a:b]
             for (piece, _), ids in zip(part, self._recursive([data for _, data in part])):
-                self.known[piece] = ids.tobytes()
+                self.known[piece] = ids
 
     def _unknown(self, pieces: set[str]) -> set[str]:
         """Those not kept; makes room for them first, where what was met again since then, and what is asked for, stays."""
@@ -169,17 +167,11 @@ class Contractor:
         return b"".join(out)
 
     def decode(self, many: list[bytes]) -> Iterator[bytes]:
-        """The bytes of each list of ids, by ordered aggregation in pieces of at most ROW_STEP rows."""
-        lengths = np.array([len(m) // 4 for m in many])
-        ids = np.frombuffer(b"".join(many), dtype="<u4").astype(np.int32)
-        parts = np.repeat(np.arange(len(many), dtype=np.int32), lengths)
-        text = [b""] * len(many)
-        for at in range(0, len(ids), ROW_STEP):
-            self.db.register("ids", pa.table({"part": parts[at:at + ROW_STEP], "id": ids[at:at + ROW_STEP],
-                                              "pos": np.arange(len(ids[at:at + ROW_STEP]), dtype=np.int32)}))
-            for part, spelt in self.db.execute(_DECODE).fetchall():
-                text[part] += spelt.encode("utf-16-le")[::2]
-        yield from text
+        """The bytes of each list of ids, ROW_STEP ids at a time; an id that no token has stands for nothing."""
+        for packed in many:
+            ids = np.minimum(np.frombuffer(packed, dtype="<u4"), np.uint32(len(self.spelt) - 1))
+            steps = (self.spelt.take(pa.array(ids[at:at + ROW_STEP])) for at in range(0, len(ids), ROW_STEP))
+            yield b"".join(pc.binary_join(pa.ListArray.from_arrays([0, len(s)], s), b"")[0].as_py() for s in steps)
 
 
 @lru_cache(maxsize=2)

@@ -256,6 +256,18 @@ print(peak("VmHWM") - before - held)
     assert float(got.stdout.split()[0]) < 110, got.stdout + got.stderr[-500:]
 
 
+def test_decoding_asks_no_database(monkeypatch):
+    """Ids are looked up, also one at a time; those that no token has stand for nothing."""
+    own = bpe.Contractor(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = [t or "" for _, t in token_rows()]
+    ids = list(own.encode(texts))
+    own.db = None
+    beyond = np.array([len(own.ranks) + 7, 2 ** 32 - 1], dtype="<u4").tobytes()
+    for step in (bpe.ROW_STEP, 1):
+        monkeypatch.setattr(bpe, "ROW_STEP", step)
+        assert list(own.decode([*ids, b"", beyond, beyond + ids[3]])) == [*[t.encode() for t in texts], b"", b"", texts[3].encode()]
+
+
 def test_plain_pattern_cuts_alike():
     plain = bpe._plain(public_tokenizers.PATTERN)
     import regex
