@@ -229,10 +229,12 @@ def _by_leaders(groups: DataFrame, sets: DataFrame, near: DataFrame) -> DataFram
         active = materialized(active.join(main.where("k > 1").select("s", F.col("m.c").alias("main"), (F.col("m.n") > 1).alias("several")), "s"))
         if active.isEmpty():
             return near
-        order = Window.partitionBy("s", "inside").orderBy(F.desc("common"), F.xxhash64("hash"), "hash")  # one order, so that groups share leaders
-        first = active.withColumn("inside", F.col("c") == F.col("main")).withColumn("place", F.row_number().over(order))
-        first = first.where(F.col("place") <= leaders).where("not inside or several and place = 1")
-        first = materialized(first.select("s", F.col("hash").alias("leader"), F.col("c").alias("of"), F.col("size").alias("size_of"), F.col("rest").alias("rest_of")))
+        place = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("common"), F.xxhash64("hash"), "hash"))  # one order, so that groups share leaders
+        outside = active.where("c <> main").withColumn("place", place).where(F.col("place") <= leaders)
+        inside = F.min(F.struct(-F.col("common"), F.xxhash64("hash"), "hash", "c", "size", "rest")).alias("l")
+        inside = active.where("c = main and several").groupBy("s").agg(inside).select("s", "l.*")
+        first = [x.select("s", F.col("hash").alias("leader"), F.col("c").alias("of"), F.col("size").alias("size_of"), F.col("rest").alias("rest_of")) for x in (outside, inside)]
+        first = materialized(first[0].union(first[1]))
         met = active.join(first, "s").where("c <> of").where(_may_meet("", "_of"))
         met = met.select(F.least("leader", "hash").alias("a"), F.greatest("leader", "hash").alias("b"), F.least("c", "of").alias("ca"), F.greatest("c", "of").alias("cb"))
         links = _verified(met.distinct(), sets, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
